@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from starfold.llm import chat, mixing, urls
+from starfold.llm import chat, decontaminate, mixing, quality, urls
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
     "op6_urls": urls.op6_urls,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op2_chat": chat.OP2_SQL,
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_urls": urls.OP6_SQL,
+    "op10_quality": quality.OP10_SQL,
 }
