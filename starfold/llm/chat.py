@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,19 +49,25 @@ def chosen_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     rows = written(rows, "chat-nodes")
     known = rows.select(F.col("id").alias("up"))
     ups = rows.select("id", "up").join(known, "up", "left_semi")
-    # far: id, up (an ancestor at the present distance), whole (scores from id to below up); done: id, whole up to its root
-    far = rows.select("id", "score").join(ups, "id", "left").select("id", "up", F.col("score").alias("whole"))
-    jumps, distance, limit = [], 1, rows.count()
+    above = ups.select(F.col("up").alias("id")).distinct().withColumn("inner", F.lit(True))
+    # state: id, up (an ancestor at the present distance, null beyond the root), whole (the scores from id to below up)
+    state = rows.select("t", "id", "node_id", "score").join(ups, "id", "left").join(above, "id", "left").select("t", "id", "node_id", "up", F.col("score").alias("whole"), F.col("inner").isNull().alias("leaf"))
+    jumps, ended, distance, limit = [], [], 1, rows.count()
+    new = state = written(state, "chat-state")
     while True:
-        far = written(far, "chat-jumps")
-        jumps.append((distance, far.filter("up is not null").select("id", "up")))
-        if distance > limit or far.filter("up is not null").isEmpty():
+        ended.append(new.filter("leaf and up is null"))
+        active = new.filter("up is not null")
+        jumps.append((distance, active.select("id", "up")))
+        if distance > limit or active.isEmpty():
             break
-        above = far.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("whole").alias("whole2"))
-        far = far.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("whole") + F.coalesce("whole2", F.lit(0.0))).alias("whole"))
+        upper = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("whole").alias("whole2"))
+        new = written(active.join(upper, "up").select("t", "id", "node_id", F.col("up2").alias("up"), (F.col("whole") + F.col("whole2")).alias("whole"), "leaf"), "chat-jumps")
+        # only trees that still have a way to go are carried on
+        going = new.filter("up is not null").select("t").distinct()
+        state = written(new.unionByName(state.filter("up is null")).join(going, "t", "left_semi"), "chat-state")
         distance *= 2
-    leaves = rows.join(ups.select(F.col("up").alias("id")), "id", "left_anti").select("t", "id", "node_id")
-    ranked = leaves.join(far.filter("up is null"), "id").withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy(F.col("whole").desc(), "node_id")))
+    leaves = reduce(DataFrame.unionByName, ended)
+    ranked = leaves.withColumn("rn", F.row_number().over(Window.partitionBy("t").orderBy(F.col("whole").desc(), "node_id")))
     paths = ranked.filter(F.col("rn") <= top).select(F.col("id").alias("path"), "id", F.lit(0).cast("long").alias("dist"))
     for step, jump in jumps:
         further = paths.join(jump, "id").select("path", F.col("up").alias("id"), (F.col("dist") + step).alias("dist"))
