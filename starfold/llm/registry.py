@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from starfold.llm import chat, decontaminate, mixing, quality, urls
+from starfold.llm import chat, classifier, decontaminate, mixing, near_dedup, packing, quality, urls
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
+    "op5_packing": packing.op5_packing,
     "op6_urls": urls.op6_urls,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_classifier": classifier.op8_classifier,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
