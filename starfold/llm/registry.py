@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from starfold.llm import chat, classifier, decontaminate, mixing, near_dedup, packing, quality, urls
+from starfold.llm import chat, classifier, decontaminate, lm, mixing, near_dedup, packing, quality, suffix, urls
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.op1_suffix_dedup,
     "op2_chat": chat.op2_chat,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_urls": urls.op6_urls,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_classifier": classifier.op8_classifier,
+    "op9_lm": lm.op9_lm,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
