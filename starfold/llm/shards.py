@@ -14,7 +14,7 @@ from starfold.llm.common import written
 from starfold.llm.words import U64, slices
 
 #: Bytes of text of a shard (a longer text is a shard alone), and of text behind one bucket.
-SHARD_BYTES, BUCKET_BYTES = 1 << 24, 1 << 24
+SHARD_BYTES, BUCKET_BYTES = 1 << 23, 1 << 22
 
 
 def pressed(a: np.ndarray | bytes) -> bytes:

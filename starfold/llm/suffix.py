@@ -31,7 +31,7 @@ OWNERS = LENGTH - GRAM + 1
 #: Different runs of an owner above which its windows go by their own hashes.
 MANY = 4096
 #: Bytes that one suffix array is made of, about.
-ARRAY_BYTES = 1 << 21
+ARRAY_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 _KEY = U64(0xFFFFFFFFFFFF0000)
 
@@ -150,7 +150,7 @@ def shard_runs(row: dict) -> tuple[np.ndarray, np.ndarray, Runs, np.ndarray, np.
     """data, offsets, runs of the whole shard, and hashes of the runs' bytes together with where the owner lies."""
     data, offs = body(row)
     found, prints = [], []
-    for lo, _, part, at in chunks(data, offs, 1 << 21):
+    for lo, _, part, at in chunks(data, offs, 1 << 20):
         r = owned(part, at)
         prints.append(mix(hashes(part, r.low, r.high + LENGTH, False) ^ r.owner))
         found.append(Runs(r.owner & _KEY, r.low + offs[lo], r.high + offs[lo], r.row + lo))
@@ -364,7 +364,7 @@ def removed(data: np.ndarray, p: Pieces, masks: np.ndarray) -> np.ndarray:
         at = some[((own[some] >> np.uint32(k)) & np.uint32(1)).astype(bool) & (p.runs_low[some] + k <= p.runs_high[some])]
         np.add.at(change, p.runs_low[at] + k, 1)
         np.add.at(change, p.runs_low[at] + k + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def digests(ids: list, data: np.ndarray, offs: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
