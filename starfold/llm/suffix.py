@@ -147,13 +147,16 @@ def _ids(row: dict) -> np.ndarray:
 
 
 def shard_runs(row: dict) -> tuple[np.ndarray, np.ndarray, Runs, np.ndarray, np.ndarray]:
-    """data, offsets, runs of the whole shard, and hashes of the runs' bytes together with where the owner lies."""
+    """data, offsets, runs of the whole shard, and hashes of the runs' bytes together with their owner.
+
+    Owners are least hashes, and so small numbers: they are mixed again, that buckets get equal shares.
+    """
     data, offs = body(row)
     found, prints = [], []
     for lo, _, part, at in chunks(data, offs, 1 << 20):
         r = owned(part, at)
         prints.append(mix(hashes(part, r.low, r.high + LENGTH, False) ^ r.owner))
-        found.append(Runs(r.owner & _KEY, r.low + offs[lo], r.high + offs[lo], r.row + lo))
+        found.append(Runs(mix(r.owner) & _KEY, r.low + offs[lo], r.high + offs[lo], r.row + lo))
     if not found:
         found, prints = [owned(data, offs)], [np.zeros(0, U64)]
     runs = Runs(*(np.concatenate([getattr(r, k) for r in found]) for k in ("owner", "low", "high", "row")))
