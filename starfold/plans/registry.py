@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from starfold.plans import curves, models, stars
+
+QUERIES = curves.QUERIES | stars.QUERIES | models.QUERIES
+ORACLE_SQL = curves.ORACLE_SQL | stars.ORACLE_SQL | models.ORACLE_SQL
