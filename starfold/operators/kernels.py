@@ -189,19 +189,22 @@ def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.
     for i, p in enumerate(periods):
         b = np.minimum(((t - start) / p % 1.0 * bins).astype(int), bins - 1)
         w, s = np.bincount(b, minlength=bins), np.bincount(b, f, minlength=bins)
-        cw, cs = np.concatenate(([0], np.cumsum(np.tile(w, 2)))), np.concatenate(([0.0], np.cumsum(np.tile(s, 2))))
-        for d in durations[durations / p < 0.5]:
-            width = max(round(d / p * bins), 1)
-            if width >= bins:
-                continue
-            r, q = cw[width : width + bins] - cw[:bins], cs[width : width + bins] - cs[:bins]
-            ok = (r > 0) & (r < n)
-            sr = np.where(ok, (q - r / n * total) ** 2 / np.maximum(r * (n - r) / n, 1e-12), -1.0)
-            sr = np.where(q / np.maximum(r, 1) < mean, sr, -1.0)
-            j = int(np.argmax(sr))
-            if sr[j] > best["power"][i]:
-                best["power"][i], best["duration"][i], best["depth"][i] = sr[j], d, mean - q[j] / r[j]
-                best["t0"][i] = start + ((j + width / 2) / bins % 1.0) * p
+        cw, cs = np.concatenate(([0], np.cumsum(np.concatenate((w, w))))), np.concatenate(([0.0], np.cumsum(np.concatenate((s, s)))))
+        fits = durations[durations / p < 0.5]
+        width = np.maximum(np.rint(fits / p * bins), 1).astype(int)
+        fits, width = fits[width < bins], width[width < bins]
+        if not len(width):
+            continue
+        ends = width[:, None] + np.arange(bins)  # all widths and starts at once
+        r, q = cw[ends] - cw[:bins], cs[ends] - cs[:bins]
+        ok = (r > 0) & (r < n) & (q < mean * r)
+        inner = np.where(ok, r, 1)
+        sr = np.where(ok, (q - inner / n * total) ** 2 / np.maximum(inner * (n - inner) / n, 1e-12), -1.0)
+        k = int(np.argmax(sr))  # the earliest duration, then the earliest start, wins ties
+        d, j = divmod(k, bins)
+        if sr[d, j] > 0:
+            best["power"][i], best["duration"][i], best["depth"][i] = sr[d, j], fits[d], mean - q[d, j] / r[d, j]
+            best["t0"][i] = start + ((j + width[d] / 2) / bins % 1.0) * p
     return best
 
 
