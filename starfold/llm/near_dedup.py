@@ -18,8 +18,8 @@ SHINGLE, PERCENT = 5, 75
 #: A pair at the limit shares no band with a chance of (1 - 0.75**ROWS)**BANDS, under 1e-6.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-#: Which bands further on part a large bucket, the first time and the second, and how many bands' large buckets are parted.
-STEPS, PARTED = ((1, 7), (3,)), 28
+#: Members of a large bucket that are compared with each other in one task; those of larger buckets meet block by block.
+BLOCK = 1024
 #: Leaves of a star that are compared in one run; larger stars are dealt out.
 STAR = 256
 _RANDOM = np.random.default_rng(7)
@@ -45,8 +45,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(sets) if sets else h[:0], np.cumsum([0, *map(len, sets)])
 
 
-def bands(sets: np.ndarray, soff: np.ndarray) -> np.ndarray:
-    """Band keys of each row (rows without shingles: of no use).
+def bins(sets: np.ndarray, soff: np.ndarray) -> np.ndarray:
+    """The mixed values of each row's bins (rows without shingles: of no use).
 
     One permutation: the value of a bin is the least hash whose leading part
     falls there.  An empty bin takes that of another, in an order that depends
@@ -69,10 +69,27 @@ def bands(sets: np.ndarray, soff: np.ndarray) -> np.ndarray:
         at = empty[good]
         values[at[:, 0], at[:, 1]] = values[at[:, 0], lender[good]]
         empty = empty[~good]
-    mixed = mix(values).reshape(n, BANDS, ROWS)
+    return mix(values)
+
+
+def bands(sets: np.ndarray, soff: np.ndarray) -> np.ndarray:
+    """Band keys of each row (rows without shingles: of no use)."""
+    mixed = bins(sets, soff).reshape(-1, BANDS, ROWS)
     return mix((mixed * _ROW).sum(axis=2, dtype=U64) ^ _BAND)
 
 
+def bin_bytes(texts: DataFrame) -> DataFrame:
+    """Distinct (id, bins) of (id, text): a byte of each bin's value."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in slices(batch, "text"):
+                held = (bins(*shingle_sets(data, offs)) >> U64(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array([x.tobytes() for x in held], pa.binary())], names=["id", "bins"])
+
+    return texts.mapInArrow(take, "id long, bins binary").distinct()
+
+
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, n_shingles, two hashes of the set, and its band keys (null without shingles)."""
 
@@ -124,31 +141,67 @@ def unsettled(buckets: DataFrame, named: DataFrame) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
-def crossing(rows: DataFrame, classes: DataFrame, small: int = 12) -> DataFrame:
-    """(center, id) of different components that share a bucket of ``small`` members at most.
+def fewest(n: np.ndarray) -> np.ndarray:
+    """How many equal bins a pair at the limit has at least, the smaller set of size n: six deviations below its mean.
+
+    Values that small sets lend to empty bins count as one.
+    """
+    own = 0.75 * BINS * (1 - np.exp(-n / BINS))
+    limit = PERCENT / 100
+    return BINS * (limit - 6 * np.sqrt(limit * (1 - limit) / np.maximum(own, 1)))
 
-    Larger buckets of (bucket, id, n, band, component) are dealt out anew together
-    with some other bands, twice if need be; what then is still larger gives
-    stars only, of many different centers.  Members of a small bucket have fewer than ``small`` partners, so
-    the pairs stay linear.
+
+def near_pairs(cell: pa.Table) -> pa.Table:
+    """(center, id) of different components in a cell of a large bucket, by their bins.
+
+    The cell holds one block of the bucket, whose members all meet, or two, of
+    which each meets the other.  A pair comes from the first band it shares.
+    """
+    cell = cell.sort_by("n")
+    ids, n, component, block = (cell.column(c).to_numpy() for c in ("id", "n", "component", "block"))
+    band, across = cell.column("band")[0].as_py(), block.min() != block.max()
+    held = np.frombuffer(b"".join(cell.column("bins").to_pylist()), np.uint8).reshape(len(ids), BINS)
+    columns = np.ascontiguousarray(held.T)
+    names, often = np.unique(component, return_counts=True)
+    others = np.flatnonzero(component != names[np.argmax(often)])  # each pair has one at least that is not of the largest
+    found = [np.zeros((2, 0), np.int64)]
+    for at in (others[k : k + 256] for k in range(0, len(others), 256)):
+        lo, hi = np.searchsorted(n, n[at[0]] * PERCENT // 100), np.searchsorted(n, n[at[-1]] * 100 // PERCENT, "right")
+        equal = np.zeros((len(at), hi - lo), np.uint8)
+        for k in range(BINS):
+            equal += columns[k, at, None] == columns[k, None, lo:hi]
+        good = (equal >= fewest(np.minimum(n[at, None], n[None, lo:hi]))) & (component[at, None] != component[None, lo:hi])
+        if across:
+            good &= block[at, None] != block[None, lo:hi]
+        x, y = np.nonzero(good)
+        x, y = at[x], y + lo
+        if len(x):
+            share = (held[x] == held[y]).reshape(-1, BANDS, ROWS).all(axis=2)
+            first = share[:, band] & ~share[:, :band].any(axis=1) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+            found.append(np.stack((ids[x[first]], ids[y[first]])))
+    both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+    return pa.table({"center": pa.array(both[0], pa.int64()), "id": pa.array(both[1], pa.int64())})
+
+
+def crossing(rows: DataFrame, texts: DataFrame, small: int = 12) -> DataFrame:
+    """(center, id): all pairs of different components that share a bucket and can be similar enough.
+
+    Members of a bucket of (bucket, id, n, band, component) with ``small`` members
+    at most are joined.  Those of larger ones meet in tasks that compare their
+    bins, a block of ``BLOCK`` members with itself and with each other block, so
+    that only pairs which are likely similar are told; no pair that shares a
+    bucket goes unseen.
     """
-    out = None
-    for level in range(len(STEPS) + 1):
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-        few = rows.join(sizes.filter(F.col("members") <= small).select("bucket"), "bucket")
-        pairs = few.join(few.select("bucket", F.col("id").alias("center"), F.col("component").alias("other"), F.col("n").alias("nc")), "bucket").filter("center < id and component <> other").filter(alike("n", "nc")).select("center", "id")
-        pairs = written(pairs, "pairs")  # short plans keep the driver small
-        out = pairs if out is None else out.unionByName(pairs)
-        many = rows.join(sizes.filter(F.col("members") > small).select("bucket"), "bucket")
-        many = many.filter(F.col("band") < PARTED)
-        if level == len(STEPS):
-            return out.unionByName(written(candidates(many.select("bucket", "id", "n")).select("center", "id"), "pairs")).distinct()
-        others = F.transform("bands", lambda _, i: F.array(*(F.element_at("bands", ((i + k) % BANDS + 1).cast("int")) for k in STEPS[level])))
-        keys = classes.join(many.select("id").distinct(), "id", "left_semi").select("id", F.posexplode(others).alias("band", "others"))
-        finer = many.join(keys, ["id", "band"]).select("component", "id", "n", "band", "bucket", F.explode("others").alias("other"))
-        finer = finer.select("component", "id", "n", "band", F.xxhash64("bucket", "other").alias("bucket"))
-        mixed = finer.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        rows = written(finer.join(mixed, "bucket"), "finer")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+    few = rows.join(sizes.filter(F.col("members") <= small).select("bucket"), "bucket")
+    pairs = few.join(few.select("bucket", F.col("id").alias("center"), F.col("component").alias("other"), F.col("n").alias("nc")), "bucket").filter("center < id and component <> other").filter(alike("n", "nc")).select("center", "id")
+    pairs = written(pairs, "pairs")  # short plans keep the driver small
+    many = written(rows.join(sizes.filter(F.col("members") > small), "bucket"), "many")
+    held = written(bin_bytes(texts.join(many.select("id").distinct(), "id", "left_semi")), "bins")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = many.join(held, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("block", "meets").alias("a"), F.greatest("block", "meets").alias("b"), "id", "n", "band", "component", "block", "bins")
+    return pairs.unionByName(written(dealt.groupBy("bucket", "a", "b").applyInArrow(near_pairs, "center long, id long"), "pairs")).distinct()
 
 
 def confirm(edges: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,7 +287,7 @@ def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
     links = links.unionByName(written(confirm(written(rest.select("center", "id").join(best, ["center", "id"], "left_anti"), "pairs"), texts), "confirmed"))
     named = components(links.select(F.col("center").alias("a"), F.col("id").alias("b")))
     tried = edges.select("center", "id")
-    pairs = written(crossing(written(unsettled(buckets, named), "unsettled"), classes).join(tried, ["center", "id"], "left_anti"), "pairs")
+    pairs = written(crossing(written(unsettled(buckets, named), "unsettled"), texts).join(tried, ["center", "id"], "left_anti"), "pairs")
     links = links.unionByName(written(confirm(pairs, texts), "confirmed"))
     return components(links.select(F.col("center").alias("a"), F.col("id").alias("b")))
 

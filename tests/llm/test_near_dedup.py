@@ -55,5 +55,20 @@ def test_groups_of_copies_that_only_their_source_links(spark):
     check(spark.createDataFrame(rows, SCHEMA).repartition(4))
 
 
+def on_one_template(groups):
+    """Each document has one near copy at the limit; all others are just below it, so most buckets are large."""
+    r = random.Random(12)
+    head, rows = [f"t{r.randrange(10**6)}" for _ in range(240)], []
+    for g in range(groups):
+        own = [f"g{r.randrange(10**9)}" for _ in range(42)]
+        for k in range(2):
+            rows.append((2 * g + k, " ".join([*head, *own[:6], *(own[6:] if k else [f"h{r.randrange(10**9)}" for _ in own[6:]])]), "en", "s", 1, "", "", "", ""))
+    return rows
+
+
+def test_pairs_whose_buckets_are_all_large(spark):
+    check(spark.createDataFrame(on_one_template(30), SCHEMA).repartition(4))
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
