@@ -70,5 +70,10 @@ def test_pairs_whose_buckets_are_all_large(spark):
     check(spark.createDataFrame(on_one_template(30), SCHEMA).repartition(4))
 
 
+def test_pairs_of_many_documents_on_one_template(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 50, raising=False)
+    check(spark.createDataFrame(on_one_template(120), SCHEMA).repartition(4))
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
