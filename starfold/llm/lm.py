@@ -33,8 +33,8 @@ STARTS = np.concatenate(([0], np.cumsum([1 << b for b in SLOTS])))
 #: Gates: how often a slot was seen, by powers of two.
 GATES = 10
 #: Bits after which a document's own weights are refined, and how strongly.
-BLOCK, RATE = 8192, 5e-5
-#: Bytes of training documents, picked by hash, that the gates' few weights are fitted on, about; the counts are of all.
+BLOCK, RATE = 1024, 2e-4
+#: Bytes of training documents, picked by hash, that give the gates' weights a start, about; the last step is over all.
 GATE_BYTES = 1 << 24
 TABLE_BLOCKS = 64
 U32 = np.uint32
@@ -139,31 +139,36 @@ class Mixer:
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Of each row, the log10 probability of its bytes and its end.
 
-        A document starts with the corpus' weights.  After every block all of
-        them are refined together by a step along the block's gradient, so each
-        bit's probability depends on what was read before it alone.
+        A document starts with the corpus' weights.  After every block each
+        predictor's weight takes a step of its own along the block's gradient,
+        so each bit's probability depends on what was read before it alone.
+        The documents' blocks of one rank go together.
         """
         s, soff = symbols(data, offs)
         t, bits, n_bits = self.parts(s)
         boff = np.concatenate(([0], np.cumsum(n_bits)))[soff]
         sign = 1 - 2 * bits.astype(np.float32)
-        z = t[0]
-        z += t[1]
-        z += t[2]
-        z *= sign  # now the stretched probability of what did not happen
+        x = [v * sign for v in t]  # stretched probabilities of what did not happen
         n_blocks = -(-np.diff(boff) // BLOCK)
-        if (n_blocks > 1).any():
-            starts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(boff[:-1].tolist(), boff[1:].tolist(), strict=True)])
-            first = np.concatenate(([0], np.cumsum(n_blocks)))[:-1]
-            slope = squash(z)
-            slope *= z
-            steps = np.add.reduceat(slope, starts).astype(float) * -RATE
-            before = np.cumsum(steps) - steps
-            own = 1 + np.clip(before - np.repeat(before[first], n_blocks), -0.5, 0.5)
-            z *= np.repeat(own.astype(np.float32), np.diff(np.append(starts, len(z))))
-        np.minimum(z, 20, out=z)
-        loss = np.log1p(np.exp(z, out=z), out=z)
-        return -np.add.reduceat(loss, boff[:-1], dtype=float) / np.log(10)
+        order = np.argsort(-n_blocks, kind="stable")
+        falling = -n_blocks[order]
+        own = np.ones((len(x), len(order)), np.float32)
+        out = np.zeros(len(order))
+        for k in range(int(n_blocks.max(initial=0))):
+            docs = order[: np.searchsorted(falling, -k)]
+            starts = boff[docs] + k * BLOCK
+            sizes = np.minimum(boff[docs + 1] - starts, BLOCK)
+            first = np.cumsum(sizes) - sizes
+            at = np.repeat(starts - first, sizes)
+            at += np.arange(len(at))
+            now = [v[at] for v in x]
+            z = sum(v * np.repeat(w[docs], sizes) for v, w in zip(now, own, strict=True))
+            odds = np.exp(np.minimum(z, 20, out=z), out=z)
+            out[docs] -= np.add.reduceat(np.log1p(odds), first, dtype=float)
+            odds /= 1 + odds
+            for v, w in zip(now, own, strict=True):
+                w[docs] = np.clip(w[docs] - RATE * np.add.reduceat(v * odds, first, dtype=float), 0.5, 1.5)
+        return out / np.log(10)
 
 
 def _summed(rows: DataFrame, parts: int) -> DataFrame:
@@ -188,7 +193,7 @@ def _train_rows(ids: list, of: int, out: int) -> np.ndarray:
 
 
 def train(table: DataFrame, of: int, out: int) -> Mixer:
-    """Counts of all training bits in the tables, then the gates' weights from a sample with each bit's own count left out."""
+    """Counts of all training bits in the tables, then the gates' weights with each bit's own count left out: steps on a sample, and the last over all."""
     spark = table.sparkSession
     last, n_bytes = table.agg(F.coalesce(F.max("shard"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     parts, sample = last // (1 << 24) + 1, max(1, n_bytes // GATE_BYTES)
@@ -230,11 +235,11 @@ def train(table: DataFrame, of: int, out: int) -> Mixer:
     weights = np.full((len(SLOTS), GATES), 0.4)
     dims = weights.size
     unit = 1 << 16
-    for _ in range(3):
+    for one_of in (sample, sample, sample, 1) if sample > 1 else (1, 1, 1):
         now = weights.copy()
 
-        def slopes(total, part, at, ids, keep, now=now):
-            own = np.array([zlib.crc32(b"gate" + str(i).encode()) % sample == 0 for i in ids], bool)[keep]
+        def slopes(total, part, at, ids, keep, now=now, one_of=one_of):
+            own = np.array([zlib.crc32(b"gate" + str(i).encode()) % one_of == 0 for i in ids], bool)[keep]
             if not own.any():
                 return
             data, offs = part[np.repeat(own, np.diff(at))], np.concatenate(([0], np.cumsum(np.diff(at)[own])))

@@ -173,6 +173,30 @@ def test_mix_is_a_probability():
     assert total == pytest.approx(1, abs=1e-4) and len(texts) == 256
 
 
+def test_each_predictor_is_refined_in_ordinary_documents():
+    """Bit by bit in plain Python, over texts of under 2 KB and one of several."""
+    code, rng = lm.huffman(np.arange(257)), np.random.default_rng(3)
+    m = lm.Mixer(code, rng.normal(0, 1, int(lm.STARTS[-1])).astype(np.float32))
+    texts = [prose(k, n).encode() for k, n in enumerate((1, 150, 40, 220, 600))]
+    offs = np.cumsum([0, *map(len, texts)])
+    s, soff = lm.symbols(np.frombuffer(b"".join(texts), np.uint8), offs)
+    t, bits, n_bits = m.parts(s)
+    boff, want, moved = np.concatenate(([0], np.cumsum(n_bits)))[soff], [], []
+    for a, b in zip(boff[:-1], boff[1:], strict=True):
+        w, grad, loss = np.ones(3), np.zeros(3), 0.0
+        for i in range(a, b):
+            if i > a and (i - a) % lm.BLOCK == 0:
+                w, grad = np.clip(w - lm.RATE * grad, 0.5, 1.5), np.zeros(3)
+            v = np.array([x[i] for x in t], float) * (1 - 2 * int(bits[i]))
+            z = min(float(v @ w), 20.0)
+            loss += np.log1p(np.exp(z))
+            grad += v / (1 + np.exp(-z))
+        want.append(-loss / np.log(10))
+        moved.append(len(set(w.round(9))) > 1)
+    assert m.log10(np.frombuffer(b"".join(texts), np.uint8), offs) == pytest.approx(np.array(want), rel=1e-5)
+    assert not moved[0] and moved[1] and len(texts[1]) < 1800
+
+
 def math_exp(x):
     import math
 
