@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from starfold.config import Search
 from starfold.operators import catalog, classify, kernels, learn, vetting
 from starfold.plans.stars import FEATURE_NAMES, _flags, features
 from starfold.sources.tables import light_curves, stars, table
@@ -45,7 +46,7 @@ def bls_kernel(spark, sf):
 
 @query()
 def two_stage_search(spark, sf):
-    return kernels.per_star(light_curves(spark, sf), lambda t, f, e: kernels.two_stage(t, f, 1.0, 10.0, 40.0, 40.0), "period double, t0 double, duration double, depth double, sde double, snr double, n_periods long, method string")
+    return kernels.per_star(light_curves(spark, sf), lambda t, f, e: kernels.two_stage(t, f, Search.period_min, Search.period_max, Search.coarse, Search.fine), "period double, t0 double, duration double, depth double, sde double, snr double, n_periods long, method string")
 
 
 @query()

@@ -30,3 +30,15 @@ def test_box_search_kernel_agrees_with_relations(spark):
         assert r["power"] <= other["power"] / med[r["tic_id"]] ** 2 * (1 + 1e-9) + 1e-9
         better += other["depth"] > 0 and abs(r["power"] - other["power"] / med[r["tic_id"]] ** 2) < 1e-6
     assert better > 0
+
+
+def test_two_stage_search_covers_short_periods(spark, monkeypatch):
+    import numpy as np
+    from starfold.plans import models
+
+    t = np.sort(np.random.default_rng(1).uniform(0, 30, 200))
+    f = np.where(np.abs(((t - 0.4) / 0.73 + 0.5) % 1 - 0.5) * 0.73 < 0.05, 900, 1000)
+    lc = spark.createDataFrame([(1, float(a), int(b), 1.0, 0.25, 0.3) for a, b in zip(t, f, strict=True)], "tic_id long, time double, f long, period double, t0 double, duration double")
+    monkeypatch.setattr(models, "light_curves", lambda spark, sf: lc)
+    r = registry.QUERIES["two_stage_search"](spark, DIR).first()
+    assert r["error"] is None and r["n_periods"] > 20_000 and abs(r["period"] - 0.73) < 0.002
