@@ -1,27 +1,34 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded
-buckets, star-shaped candidate edges, and links confirmed on the full sets."""
+buckets, star-shaped candidate edges, and links confirmed on the full sets.
+
+Stars only say which documents may be linked.  A cluster that they chain
+together is compared as a whole, so no link is lost when a star's center is
+similar to neither of two documents that are similar to each other.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfold.llm.common import load, shuffle_parts, written
-from starfold.llm.words import ANY, U64, bounds, grams, hashes, mix, slices
+from starfold.llm.words import ANY, U64, bounds, grams, hashes, mix, slices, spread
 
 SHINGLE, PERCENT = 5, 75
 #: A pair at the limit shares no band with a chance of (1 - 0.75**ROWS)**BANDS, under 1e-6.
 BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
-#: Members of a large bucket that are compared with each other in one task; those of larger buckets meet block by block.
-BLOCK = 1024
-#: Leaves of a star that are compared in one run; larger stars are dealt out.
-STAR = 256
+#: Classes and shingles that are compared with each other in one task, about; larger clusters meet block by block.
+BLOCK, SHINGLES = 512, 1 << 19
+#: Classes of a cluster above which its buckets are compared one by one.
+UNIT = 1 << 14
+#: Rows of a group up to which a shingle's pairs are counted one by one.
+FEW = 16
 _RANDOM = np.random.default_rng(7)
 #: For each bin, in which order the others lend it their value if it is empty.
 _LENDERS = np.array([_RANDOM.permutation(BINS) for _ in range(BINS)])
@@ -78,16 +85,10 @@ def bands(sets: np.ndarray, soff: np.ndarray) -> np.ndarray:
     return mix((mixed * _ROW).sum(axis=2, dtype=U64) ^ _BAND)
 
 
-def bin_bytes(texts: DataFrame) -> DataFrame:
-    """Distinct (id, bins) of (id, text): a byte of each bin's value."""
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offs in slices(batch, "text"):
-                held = (bins(*shingle_sets(data, offs)) >> U64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array([x.tobytes() for x in held], pa.binary())], names=["id", "bins"])
-
-    return texts.mapInArrow(take, "id long, bins binary").distinct()
+def set_sums(sets: np.ndarray, soff: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each row's set."""
+    sums = (np.concatenate(([U64(0)], np.cumsum(mix(sets ^ U64(k)), dtype=U64))) for k in (0x51ED270B, 0xA24BAED4963EE407))
+    return [(x[soff[1:]] - x[soff[:-1]]).view(np.int64) for x in sums]
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,198 +99,235 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             for part, data, offs in slices(batch, text):
                 sets, soff = shingle_sets(data, offs)
                 sizes, keys = np.diff(soff), bands(sets, soff)
-                sums = [np.concatenate(([U64(0)], np.cumsum(mix(sets ^ U64(s)), dtype=U64))) for s in (0x51ED270B, 0xA24BAED4963EE407)]
                 none = pa.array(sizes == 0)
-                held = [pa.array((x[soff[1:]] - x[soff[:-1]]).view(np.int64)) for x in sums]
+                held = [pa.array(x) for x in set_sums(sets, soff)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sizes) + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(sizes), *(pc.if_else(none, None, x) for x in held), pc.if_else(none, None, lists)], names=["id", "n_shingles", "sa", "sb", "bands"])
 
     return docs.select(key, text).mapInArrow(sketch, "id long, n_shingles long, sa long, sb long, bands array<long>")
 
 
-def alike(a: str, b: str) -> Column:
-    """Whether sets of these sizes can be similar enough at all."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
-
-def candidates(buckets: DataFrame) -> DataFrame:
-    """Stars: (center, id, shared) of each bucket's centers and other members; shared: in how many.
-
-    buckets has (bucket, id, n), each with several members; n is the size of a
-    member's set, and sizes too far apart are no candidates.  One center is the least
-    id, the other the member that shares buckets with most others: what copies
-    were made from is the more central the more there are.
-    """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    reach = buckets.join(sizes, "bucket").groupBy("id").agg(F.sum("members").alias("reach"))
-    ranked = buckets.join(reach, "id").groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("least"), F.max(F.struct("reach", (-F.col("id")).alias("id"), "n")).alias("most"))
-    centers = F.array_distinct(F.array(F.struct(F.col("least.id").alias("center"), F.col("least.n").alias("nc")), F.struct((-F.col("most.id")).alias("center"), F.col("most.n").alias("nc"))))
-    stars = buckets.join(ranked.select("bucket", F.inline(centers)), "bucket")
-    return stars.filter("id <> center").filter(alike("n", "nc")).groupBy("center", "id").agg(F.count(F.lit(1)).alias("shared"))
-
-
-def shared_buckets(dealt: DataFrame) -> DataFrame:
-    """The rows of (bucket, id, n, band) whose bucket has several ids."""
-    several = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    return dealt.join(several, "bucket")
+def joined(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle at every size: nothing that grows with the corpus is broadcast."""
+    return a.join(b.hint("merge"), on, how)
 
 
-def unsettled(buckets: DataFrame, named: DataFrame) -> DataFrame:
-    """(bucket, id, n, band, component) of the buckets that still hold several components."""
-    rows = buckets.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    return rows.join(mixed, "bucket")
-
-
-def fewest(n: np.ndarray) -> np.ndarray:
-    """How many equal bins a pair at the limit has at least, the smaller set of size n: six deviations below its mean.
-
-    Values that small sets lend to empty bins count as one.
-    """
-    own = 0.75 * BINS * (1 - np.exp(-n / BINS))
-    limit = PERCENT / 100
-    return BINS * (limit - 6 * np.sqrt(limit * (1 - limit) / np.maximum(own, 1)))
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row of each row's component, with links x - y among n rows."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        both = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, both)
+        np.minimum.at(least, y, both)
+        least = least[least]
+        if (before == least).all():
+            return least
 
 
-def near_pairs(cell: pa.Table) -> pa.Table:
-    """(center, id) of different components in a cell of a large bucket, by their bins.
+def similar(group: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray], sets: np.ndarray, soff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows x < y of one group that ``ok`` lets meet and whose full sets are similar enough.
 
-    The cell holds one block of the bucket, whose members all meet, or two, of
-    which each meets the other.  A pair comes from the first band it shares.
-    """
-    cell = cell.sort_by("n")
-    ids, n, component, block = (cell.column(c).to_numpy() for c in ("id", "n", "component", "block"))
-    band, across = cell.column("band")[0].as_py(), block.min() != block.max()
-    held = np.frombuffer(b"".join(cell.column("bins").to_pylist()), np.uint8).reshape(len(ids), BINS)
-    columns = np.ascontiguousarray(held.T)
-    names, often = np.unique(component, return_counts=True)
-    others = np.flatnonzero(component != names[np.argmax(often)])  # each pair has one at least that is not of the largest
-    found = [np.zeros((2, 0), np.int64)]
-    for at in (others[k : k + 256] for k in range(0, len(others), 256)):
-        lo, hi = np.searchsorted(n, n[at[0]] * PERCENT // 100), np.searchsorted(n, n[at[-1]] * 100 // PERCENT, "right")
-        equal = np.zeros((len(at), hi - lo), np.uint8)
-        for k in range(BINS):
-            equal += columns[k, at, None] == columns[k, None, lo:hi]
-        good = (equal >= fewest(np.minimum(n[at, None], n[None, lo:hi]))) & (component[at, None] != component[None, lo:hi])
-        if across:
-            good &= block[at, None] != block[None, lo:hi]
-        x, y = np.nonzero(good)
-        x, y = at[x], y + lo
-        if len(x):
-            share = (held[x] == held[y]).reshape(-1, BANDS, ROWS).all(axis=2)
-            first = share[:, band] & ~share[:, :band].any(axis=1) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
-            found.append(np.stack((ids[x[first]], ids[y[first]])))
-    both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-    return pa.table({"center": pa.array(both[0], pa.int64()), "id": pa.array(both[1], pa.int64())})
-
-
-def crossing(rows: DataFrame, texts: DataFrame, small: int = 12) -> DataFrame:
-    """(center, id): all pairs of different components that share a bucket and can be similar enough.
-
-    Members of a bucket of (bucket, id, n, band, component) with ``small`` members
-    at most are joined.  Those of larger ones meet in tasks that compare their
-    bins, a block of ``BLOCK`` members with itself and with each other block, so
-    that only pairs which are likely similar are told; no pair that shares a
-    bucket goes unseen.
+    Rows of a group lie together.  What two sets have in common is counted
+    exactly: a shingle of a few rows by its pairs, one of many as a column of
+    the group's incidence matrix, multiplied with itself.
     """
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    few = rows.join(sizes.filter(F.col("members") <= small).select("bucket"), "bucket")
-    pairs = few.join(few.select("bucket", F.col("id").alias("center"), F.col("component").alias("other"), F.col("n").alias("nc")), "bucket").filter("center < id and component <> other").filter(alike("n", "nc")).select("center", "id")
-    pairs = written(pairs, "pairs")  # short plans keep the driver small
-    many = written(rows.join(sizes.filter(F.col("members") > small), "bucket"), "many")
-    held = written(bin_bytes(texts.join(many.select("id").distinct(), "id", "left_semi")), "bins")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = many.join(held, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("block", "meets").alias("a"), F.greatest("block", "meets").alias("b"), "id", "n", "band", "component", "block", "bins")
-    return pairs.unionByName(written(dealt.groupBy("bucket", "a", "b").applyInArrow(near_pairs, "center long, id long"), "pairs")).distinct()
-
-
-def confirm(edges: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of (center, id): those whose full sets are similar enough.
-
-    texts has (id, text).  A center's text meets the texts of its leaves in
-    sorted order, so a task holds one set at a time; a large star is dealt out
-    to as many runs as it needs, each with the center's text of its own.
+    n, size = len(group), np.diff(soff)
+    row = np.repeat(np.arange(n), size)
+    first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    ends = np.append(first[1:], n)
+    place = np.repeat(np.arange(len(first)), ends - first)
+    value = mix(sets ^ (place.astype(U64) * U64(0x9E3779B97F4A7C15))[row])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(value)))
+    rank = np.arange(len(value)) - np.repeat(start, length)
+    of = np.repeat(length, length)
+    pairs = []
+    for d in range(1, FEW):
+        at = np.flatnonzero((of <= FEW) & (rank + d < of))
+        if not len(at):
+            break
+        x, y = row[at], row[at + d]
+        good = ok(x, y)
+        pairs.append(x[good] * n + y[good])
+    codes, common = np.unique(np.concatenate(pairs) if pairs else np.zeros(0, np.int64), return_counts=True)
+    found = []
+    many = np.flatnonzero(length > FEW)
+    dense = place[row[start[many]]]
+    whole = np.zeros(len(first), bool)
+    whole[dense] = True
+    for g in np.unique(dense).tolist():
+        lo, hi = first[g], ends[g]
+        m = int(hi - lo)
+        both = np.zeros((m, m), np.float32)
+        runs = many[dense == g]
+        for k in range(0, len(runs), 4096):
+            part = runs[k : k + 4096]
+            held = np.zeros((m, len(part)), np.float32)
+            at = spread(length[part])
+            held[row[np.repeat(start[part] - np.cumsum(length[part]) + length[part], length[part]) + np.arange(len(at))] - lo, at] = 1
+            both += held @ held.T
+        mine = slice(*np.searchsorted(codes, (lo * n, hi * n)))
+        both[codes[mine] // n - lo, codes[mine] % n - lo] += common[mine]
+        x, y = np.nonzero(np.triu((100 + PERCENT) * both >= PERCENT * (size[lo:hi, None] + size[None, lo:hi]), 1))
+        good = (both[x, y] > 0) & ok(x + lo, y + lo)
+        found.append(np.stack((x[good] + lo, y[good] + lo)))
+    x, y = codes // max(n, 1), codes % max(n, 1)
+    good = ~whole[place[x]] & ((100 + PERCENT) * common >= PERCENT * (size[x] + size[y]))
+    return tuple(np.concatenate([np.stack((x[good], y[good])), *found], axis=1))
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(a, b): links that join the classes of each group as all of its similar pairs do.
+
+    rows has (g, c, component, side, sa, text): the groups g, a class and its
+    component, and sa of its set; rows that repeat a class, and those of another
+    text under the same key, are passed over.  Only classes of different
+    components meet, and of different sides unless the side is 0.
     """
-    salted = edges.join(edges.groupBy("center").agg(F.count(F.lit(1)).alias("n")), "center").select("center", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / STAR)).alias("salt"))
-    salted = salted.withColumn("salt", F.coalesce("salt", F.lit(0)))
-    leaves = salted.join(texts, "id").select("center", "salt", F.lit(1).alias("kind"), "id", "text")
-    heads = salted.select("center", "salt").distinct().join(texts.withColumnRenamed("id", "center"), "center").select("center", "salt", F.lit(0).alias("kind"), F.col("center").alias("id"), "text")
-    met = leaves.unionByName(heads).repartition(shuffle_parts(edges.sparkSession), "center", "salt").sortWithinPartitions("center", "salt", "kind")
+    met = rows.repartition(shuffle_parts(rows.sparkSession), "g").sortWithinPartitions("g")
+
+    def solve(held: list[np.ndarray]) -> pa.RecordBatch:
+        g, c, component, side, size, sets = held
+        order = np.lexsort((side, c, g))
+        same = np.zeros(len(order), bool)
+        same[1:] = (np.diff(g[order]) == 0) & (np.diff(c[order]) == 0) & (np.diff(side[order]) == 0)
+        order = order[~same]
+        start = np.cumsum(size) - size
+        g, c, component, side, start, size = (x[order] for x in (g, c, component, side, start, size))
+        soff = np.concatenate(([0], np.cumsum(size)))
+        sets = sets[np.repeat(start - soff[:-1], size) + np.arange(soff[-1])]
+
+        def ok(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            alike = 100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])
+            return alike & (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] == 0))
+
+        least = forest(len(c), *similar(g, ok, sets, soff))
+        new = np.flatnonzero(least != np.arange(len(c)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(c[new], pa.int64()), "b": pa.array(c[least[new]], pa.int64())})
+
+    def part_of(one: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
+        return [*(x[keep] for x in one[:5]), one[5][np.repeat(keep, one[4])]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        held, total = [], 0
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
                 sets, soff = shingle_sets(data, offs)
-                keep = np.zeros(part.num_rows, bool)
-                for i, kind in enumerate(part.column("kind").to_pylist()):
-                    own = sets[soff[i] : soff[i + 1]]
-                    if kind == 0:
-                        now = own
-                        continue
-                    both = 0
-                    if 100 * min(len(own), len(now)) >= percent * max(len(own), len(now)):
-                        at = np.minimum(np.searchsorted(now, own), len(now) - 1)
-                        both = int((now[at] == own).sum())
-                    keep[i] = both > 0 and 100 * both >= percent * (len(own) + len(now) - both)
-                yield part.select(["center", "id"]).filter(pa.array(keep))
-
-    return met.mapInArrow(compare, "center long, id long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id, component (its least id) of all ids in links (a, b): large stars and small stars in turn, until nothing changes."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+                g, c, component, side, sa = (part.column(part.schema.get_field_index(x)).to_numpy() for x in ("g", "c", "component", "side", "sa"))
+                held.append(part_of([g, c, component, side, np.diff(soff), sets], set_sums(sets, soff)[0] == sa))
+                total += len(held[-1][5])
+                if total >= SHINGLES:
+                    one = [np.concatenate(x) for x in zip(*held, strict=True)]
+                    last = one[0] == one[0][-1]  # a group that may go on
+                    if not last.all():
+                        yield solve(part_of(one, ~last))
+                        one = part_of(one, last)
+                    held, total = [one], len(one[5])
+        if held:
+            yield solve([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def meet(left: DataFrame, right: DataFrame, pool: DataFrame) -> DataFrame:
+    """links() between all of ``left`` and all of ``right`` of each unit, block by block.
+
+    Both have (unit, c, n, component), n the size of a set.  A block holds about
+    ``BLOCK`` classes and ``SHINGLES`` shingles, so no task holds a unit; the
+    classes of one side go once to each block of the other.
+    """
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    sizes = joined(left.groupBy("unit").agg(blocks.alias("ka")), right.groupBy("unit").agg(blocks.alias("kb")), "unit")
+    own, all_of = lambda k: F.pmod(F.xxhash64("c"), F.col(k)).cast("int"), lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    a = joined(left, sizes, "unit").select("unit", own("ka").alias("x"), all_of("kb").alias("y"), "c", "component", F.lit(1).alias("side"))
+    b = joined(right, sizes, "unit").select("unit", all_of("ka").alias("x"), own("kb").alias("y"), "c", "component", F.lit(2).alias("side"))
+    return links(joined(a.unionByName(b).select(F.xxhash64("unit", "x", "y").alias("g"), "c", "component", "side"), pool, "c"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """c, component (its least c) of all that edges (a, b) join: large stars and small stars in turn, until nothing changes."""
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     told = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(joined(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = written(small, "links")
+        small = joined(large.filter("u <> v"), low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = written(small.distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == told:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            return edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
         told = now
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept: one row per row of ``docs``.
 
-    Rows of equal sets are one class with one text to compare.  Stars in each
-    bucket give the candidates: the first round confirms each class's strongest
-    edge, the second those that would still join two components.  The third takes
-    the buckets that hold several components yet, and compares across them.  Null and empty texts have
-    no shingles and are linked with nothing.  Rows without key are no part of the
-    graph: component_id null, kept.  Rows that repeat a key share its component.
+    Rows of equal sets are one class, of which one text is compared.  Stars in
+    each bucket of each band chain the classes to clusters of candidates, and
+    the full sets of a cluster's classes are compared with each other (large
+    clusters: see ``linked``).  Null and empty texts have no shingles and are
+    linked with nothing.  Rows without key are no part of the graph:
+    component_id null, kept.  Rows that repeat a key share its component, which
+    all their texts' links reach.  Ties: a component is named by its least key.
+    An empty table gives none; a very long text is one set like any other;
+    columns of other names, clashing ones too, are neither read nor returned.
     """
     known = written(sketches(docs, key, text), "sketches")
     whole = known.filter("id is not null and sa is not null")
-    classes = written(whole.groupBy("sa", "sb").agg(F.min(F.struct("id", "bands", "n_shingles")).alias("x")).select("sa", "sb", "x.id", "x.bands", F.col("x.n_shingles").alias("n")), "classes")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    found = linked(classes, texts)
-    named = classes.select("sa", "sb", "id").join(found, "id", "left").select("sa", "sb", F.coalesce("component", "id").alias("component"))
-    out = known.join(named, ["sa", "sb"], "left").select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    classes = whole.groupBy("sa", "sb").agg(F.min(F.struct("id", "bands", "n_shingles")).alias("x"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "sa", "sb", "x.id", "x.bands", F.col("x.n_shingles").alias("n")), "classes")
+    found = linked(classes, docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null"))
+    named = joined(known.select("id", "n_shingles", "sa", "sb"), classes.select("sa", "sb", "c"), ["sa", "sb"], "left").select("id", "n_shingles", "c")
+    named = written(named, "rows")
+    by_key = written(named.filter("c is not null").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("last")), "keys")
+    again = joined(named, by_key.filter("a <> last").select("id", "a"), "id").filter("c is not null").select("a", F.col("c").alias("b"))
+    told = joined(classes.select("c", "id"), components(found.unionByName(again)), "c", "left").select(F.col("c").alias("a"), "id", F.coalesce("component", "c").alias("component"))
+    told = joined(told, told.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("a", "component_id")
+    out = joined(named.select("id", "n_shingles"), joined(by_key.select("id", "a"), told, "a").select("id", "component_id"), "id", "left")
+    out = out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, component of all classes that are linked with another."""
-    buckets = written(shared_buckets(classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))), "buckets")
-    edges = written(candidates(buckets), "stars")
-    best = edges.groupBy("id").agg(F.max(F.struct("shared", -F.col("center"))).alias("x")).select("id", (-F.col("x.col2")).alias("center"))
-    links = written(confirm(best, texts), "confirmed")
-    named = components(links.select(F.col("center").alias("a"), F.col("id").alias("b")))
-    mine, other = named.withColumnRenamed("component", "ci"), named.select(F.col("id").alias("center"), F.col("component").alias("cc"))
-    rest = edges.join(mine, "id", "left").join(other, "center", "left").filter(F.coalesce("ci", "id") != F.coalesce("cc", "center"))
-    links = links.unionByName(written(confirm(written(rest.select("center", "id").join(best, ["center", "id"], "left_anti"), "pairs"), texts), "confirmed"))
-    named = components(links.select(F.col("center").alias("a"), F.col("id").alias("b")))
-    tried = edges.select("center", "id")
-    pairs = written(crossing(written(unsettled(buckets, named), "unsettled"), texts).join(tried, ["center", "id"], "left_anti"), "pairs")
-    links = links.unionByName(written(confirm(pairs, texts), "confirmed"))
-    return components(links.select(F.col("center").alias("a"), F.col("id").alias("b")))
+    """(a, b): classes that are linked, as a forest whose trees are the components.
+
+    classes has (c, sa, sb, id, bands, n), texts (id, text).  All pairs of a
+    cluster that fits a task are compared there.  In a larger one each class
+    first meets the center it shares most buckets with; then, in the buckets that
+    still hold several components, all classes outside a unit's largest component
+    meet the unit's others, block by block.  A unit is the cluster, or the
+    bucket where a cluster has over ``UNIT`` classes left.
+    """
+    dealt = classes.select("c", F.explode("bands").alias("bucket"))
+    heads = dealt.groupBy("bucket").agg(F.min("c").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket", "center")
+    buckets = written(joined(dealt, heads, "bucket").select("bucket", "c", "center"), "buckets")
+    edges = written(buckets.filter("c <> center").groupBy("center", "c").agg(F.count(F.lit(1)).alias("shared")), "stars")
+    clusters = components(edges.select(F.col("center").alias("a"), F.col("c").alias("b"))).withColumnRenamed("component", "cluster")
+    members = joined(clusters, classes.select("c", "id", "n", "sa"), "c")
+    large = ((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > SHINGLES)).alias("large")
+    members = written(joined(members, members.groupBy("cluster").agg(large), "cluster"), "members")
+    live = written(joined(texts, members.select("id", "c", "cluster", "sa", "large"), "id").drop("id"), "live")
+    small = written(links(live.filter("not large").select(F.col("cluster").alias("g"), "c", F.col("c").alias("component"), F.lit(0).alias("side"), "sa", "text")), "links")
+    big = members.filter("large").select("c", "cluster", "n")
+    if big.isEmpty():
+        return small
+    pool = live.filter("large").select("c", "sa", "text")
+    best = joined(edges, big.select("c", "n"), "c").groupBy("c", "n").agg(F.max(F.struct("shared", -F.col("center"))).alias("x")).select((-F.col("x.col2")).alias("unit"), "c", "n", F.col("c").alias("component"))
+    centers = joined(best.select(F.col("unit").alias("c")).distinct(), big, "c").select(F.col("c").alias("unit"), "c", "n", F.col("c").alias("component"))
+    first = written(meet(centers, best, pool), "links")
+    rows = joined(joined(buckets.select("bucket", "c"), big, "c"), components(first), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    rows = written(joined(rows, mixed, "bucket"), "unsettled")
+    left = rows.select("cluster", "c").distinct().groupBy("cluster").agg((F.count(F.lit(1)) > UNIT).alias("split"))
+    units = written(joined(rows, left, "cluster").select(F.when(F.col("split"), F.col("bucket")).otherwise(F.col("cluster")).alias("unit"), "c", "n", "component").distinct(), "units")
+    most = units.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max_by("component", "k").alias("most"))
+    others = joined(units, most, "unit").filter("component <> most").drop("most")
+    return small.unionByName(first).unionByName(written(meet(others, units, pool), "links"))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -71,9 +71,39 @@ def test_pairs_whose_buckets_are_all_large(spark):
 
 
 def test_pairs_of_many_documents_on_one_template(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK", 50)
     check(spark.createDataFrame(on_one_template(120), SCHEMA).repartition(4))
 
 
+def test_large_groups_without_their_source(spark):
+    """Most pairs are just below the limit; which are above it is by chance, so stars settle little."""
+    r = random.Random(3)
+    rows = []
+    for at, (n, words, changed) in ((0, (1300, 120, 2)), (5000, (600, 200, 4))):
+        base = prose(90 + at, words).split()
+        for k in range(n):
+            w = list(base)
+            for _ in range(changed):
+                w[r.randrange(len(w))] = f"other{r.randrange(10**6)}"
+            rows.append((at + k, " ".join(w), "en", "s", 1, "", "", "", ""))
+    check(spark.createDataFrame(rows, SCHEMA).repartition(4))
+
+
+def test_clusters_that_are_split_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "UNIT", 50)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 9000)
+    check(spark.createDataFrame(on_one_template(60), SCHEMA).repartition(4))
+
+
+def test_rows_that_repeat_a_key_share_its_component(spark):
+    one, two = prose(1, 60).split(), prose(2, 60).split()
+    near = lambda w: " ".join([*w[:30], "changed", *w[31:]])
+    texts = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (4, ""), (4, " ".join([*two[:29], "x", *two[30:]])), (5, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "", "", "", "") for i, t in texts], SCHEMA)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)}
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
