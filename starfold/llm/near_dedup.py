@@ -1,9 +1,9 @@
 """MinHash near-dedup: one-permutation hashing with optimal densification, banded
 buckets, star-shaped candidate edges, and links confirmed on the full sets.
 
-Stars only say which documents may be linked.  A cluster that they chain
-together is compared as a whole, so no link is lost when a star's center is
-similar to neither of two documents that are similar to each other.
+Stars only say which documents may be linked.  All that one center's stars hold
+are compared with each other, so no link is lost when the center is similar to
+neither of two documents that are similar to each other.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from starfold.llm.common import load, shuffle_parts, written
@@ -25,8 +25,6 @@ BANDS, ROWS = 40, 4
 BINS = BANDS * ROWS
 #: Classes and shingles that are compared with each other in one task, about; larger clusters meet block by block.
 BLOCK, SHINGLES = 512, 1 << 19
-#: Classes of a cluster above which its buckets are compared one by one.
-UNIT = 1 << 14
 #: Rows of a group up to which a shingle's pairs are counted one by one.
 FEW = 16
 _RANDOM = np.random.default_rng(7)
@@ -180,23 +178,19 @@ def similar(group: np.ndarray, ok: Callable[[np.ndarray, np.ndarray], np.ndarray
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(a, b): links that join the classes of each group as all of its similar pairs do.
+    """(a, b): links that join the ids of each group as all of its similar pairs do.
 
-    rows has (g, c, component, side, sa, text): the groups g, a class and its
-    component, and sa of its set; rows that repeat a class, and those of another
-    text under the same key, are passed over.  Only classes of different
-    components meet, and of different sides unless the side is 0.
+    rows has (g, c, component, side, text): a group, an id with its component and
+    one of its texts.  Only texts of different components meet, and of different
+    sides unless the side is 0.
     """
     met = rows.repartition(shuffle_parts(rows.sparkSession), "g").sortWithinPartitions("g")
 
     def solve(held: list[np.ndarray]) -> pa.RecordBatch:
         g, c, component, side, size, sets = held
-        order = np.lexsort((side, c, g))
-        same = np.zeros(len(order), bool)
-        same[1:] = (np.diff(g[order]) == 0) & (np.diff(c[order]) == 0) & (np.diff(side[order]) == 0)
-        order = order[~same]
-        start = np.cumsum(size) - size
-        g, c, component, side, start, size = (x[order] for x in (g, c, component, side, start, size))
+        order = np.lexsort((c, g))  # a group's least id is its first row
+        start = (np.cumsum(size) - size)[order]
+        g, c, component, side, size = (x[order] for x in (g, c, component, side, size))
         soff = np.concatenate(([0], np.cumsum(size)))
         sets = sets[np.repeat(start - soff[:-1], size) + np.arange(soff[-1])]
 
@@ -205,7 +199,7 @@ def links(rows: DataFrame) -> DataFrame:
             return alike & (component[x] != component[y]) & ((side[x] != side[y]) | (side[x] == 0))
 
         least = forest(len(c), *similar(g, ok, sets, soff))
-        new = np.flatnonzero(least != np.arange(len(c)))
+        new = np.flatnonzero(c[least] != c)
         return pa.RecordBatch.from_pydict({"a": pa.array(c[new], pa.int64()), "b": pa.array(c[least[new]], pa.int64())})
 
     def part_of(one: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
@@ -216,9 +210,8 @@ def links(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
                 sets, soff = shingle_sets(data, offs)
-                g, c, component, side, sa = (part.column(part.schema.get_field_index(x)).to_numpy() for x in ("g", "c", "component", "side", "sa"))
-                held.append(part_of([g, c, component, side, np.diff(soff), sets], set_sums(sets, soff)[0] == sa))
-                total += len(held[-1][5])
+                held.append([*(part.column(part.schema.get_field_index(x)).to_numpy() for x in ("g", "c", "component", "side")), np.diff(soff), sets])
+                total += len(sets)
                 if total >= SHINGLES:
                     one = [np.concatenate(x) for x in zip(*held, strict=True)]
                     last = one[0] == one[0][-1]  # a group that may go on
@@ -232,102 +225,109 @@ def links(rows: DataFrame) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
-def meet(left: DataFrame, right: DataFrame, pool: DataFrame) -> DataFrame:
-    """links() between all of ``left`` and all of ``right`` of each unit, block by block.
+def meet(rows: DataFrame, pool: DataFrame) -> DataFrame:
+    """links() between a unit's first and second side, block by block.
 
-    Both have (unit, c, n, component), n the size of a set.  A block holds about
-    ``BLOCK`` classes and ``SHINGLES`` shingles, so no task holds a unit; the
-    classes of one side go once to each block of the other.
+    rows has (unit, c, component, side, ka, kb), with ka and kb blocks on the
+    sides; pool (c, h, text).  A text goes to one block of its own side, and
+    with that to each block of the other.
     """
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
-    sizes = joined(left.groupBy("unit").agg(blocks.alias("ka")), right.groupBy("unit").agg(blocks.alias("kb")), "unit")
-    own, all_of = lambda k: F.pmod(F.xxhash64("c"), F.col(k)).cast("int"), lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    a = joined(left, sizes, "unit").select("unit", own("ka").alias("x"), all_of("kb").alias("y"), "c", "component", F.lit(1).alias("side"))
-    b = joined(right, sizes, "unit").select("unit", all_of("ka").alias("x"), own("kb").alias("y"), "c", "component", F.lit(2).alias("side"))
-    return links(joined(a.unionByName(b).select(F.xxhash64("unit", "x", "y").alias("g"), "c", "component", "side"), pool, "c"))
+    own = lambda k: F.pmod(F.xxhash64("c", "h"), F.col(k)).cast("int")
+    held = joined(rows, pool, "c").withColumn("x", F.when(F.col("side") == 1, own("ka"))).withColumn("y", F.when(F.col("side") == 2, own("kb")))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("kb")).otherwise(F.col("ka")) - 1)))
+    return links(held.select(F.xxhash64("unit", F.coalesce("x", "other"), F.coalesce("y", "other")).alias("g"), "c", "component", "side", "text"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """c, component (its least c) of all that edges (a, b) join: large stars and small stars in turn, until nothing changes."""
+    """c, component (its least c) of all that edges (a, b) join.
+
+    Large stars (each neighbour above u goes to u's least one) and small stars
+    (u and those below it go to the least of them) in turn, until a large star
+    changes nothing and no u has two neighbours below it.
+    """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    told = None
-    while True:
+    while not edges.isEmpty():
+        several, moved = Observation(), Observation()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(joined(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") < F.col("u")).cast("long")).alias("below")).observe(several, F.sum((F.col("below") > 1).cast("long")).alias("n"))
+        large = joined(both.filter("v > u"), least.select("u", F.least("u", "m").alias("m")), "u").observe(moved, F.sum((F.col("m") < F.col("u")).cast("long")).alias("n"))
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        if not several.get["n"] and not moved.get["n"]:
+            break
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = joined(large.filter("u <> v"), low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = joined(large, low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = written(small.distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == told:
-            return edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
-        told = now
+    return edges.select(F.col("u").alias("c"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept: one row per row of ``docs``.
 
-    Rows of equal sets are one class, of which one text is compared.  Stars in
-    each bucket of each band chain the classes to clusters of candidates, and
-    the full sets of a cluster's classes are compared with each other (large
-    clusters: see ``linked``).  Null and empty texts have no shingles and are
-    linked with nothing.  Rows without key are no part of the graph:
-    component_id null, kept.  Rows that repeat a key share its component, which
-    all their texts' links reach.  Ties: a component is named by its least key.
-    An empty table gives none; a very long text is one set like any other;
-    columns of other names, clashing ones too, are neither read nor returned.
+    Rows of equal sets are one class, compared under its least key.  Stars of
+    each bucket of each band say which classes may be linked, and the full sets
+    of all in a unit of stars are compared with each other (see ``linked``).
+    Null and empty texts have no shingles and are linked with nothing.  Rows
+    without key are no part of the graph: component_id null, kept false.  Rows
+    that repeat a key share its component, which all their texts' links reach.
+    Ties: a component is named by its least key.  An empty table gives none; a
+    very long text is one set like any other; columns of other names, clashing
+    ones too, are neither read nor returned.
     """
     known = written(sketches(docs, key, text), "sketches")
     whole = known.filter("id is not null and sa is not null")
     classes = whole.groupBy("sa", "sb").agg(F.min(F.struct("id", "bands", "n_shingles")).alias("x"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("c"), "sa", "sb", "x.id", "x.bands", F.col("x.n_shingles").alias("n")), "classes")
-    found = linked(classes, docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null"))
-    named = joined(known.select("id", "n_shingles", "sa", "sb"), classes.select("sa", "sb", "c"), ["sa", "sb"], "left").select("id", "n_shingles", "c")
-    named = written(named, "rows")
-    by_key = written(named.filter("c is not null").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("last")), "keys")
-    again = joined(named, by_key.filter("a <> last").select("id", "a"), "id").filter("c is not null").select("a", F.col("c").alias("b"))
-    told = joined(classes.select("c", "id"), components(found.unionByName(again)), "c", "left").select(F.col("c").alias("a"), "id", F.coalesce("component", "c").alias("component"))
-    told = joined(told, told.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("a", "component_id")
-    out = joined(named.select("id", "n_shingles"), joined(by_key.select("id", "a"), told, "a").select("id", "component_id"), "id", "left")
-    out = out.select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    classes = written(classes.select("sa", "sb", F.col("x.id").alias("c"), "x.bands", F.col("x.n_shingles").alias("n")), "classes")
+    named = written(joined(known.select("id", "n_shingles", "sa", "sb"), classes.select("sa", "sb", "c"), ["sa", "sb"], "left").select("id", "n_shingles", "c"), "rows")
+    keys = written(named.filter("c is not null").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("last")), "keys")
+    found = linked(classes, docs.select(F.col(key).alias("c"), F.col(text).alias("text")))
+    repeated = keys.filter("a <> last")
+    if not repeated.isEmpty():
+        again = joined(named.filter("c is not null"), repeated.select("id", "a"), "id").select("a", F.col("c").alias("b"))
+        found = components(again.unionByName(found.select(F.col("c").alias("a"), F.col("component").alias("b"))))
+    told = joined(keys.select("id", F.col("a").alias("c")), found, "c", "left").select("id", F.coalesce("component", "c").alias("component_id"))
+    out = joined(named.select("id", "n_shingles"), told, "id", "left").select(F.col("id").alias(key), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def linked(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): classes that are linked, as a forest whose trees are the components.
-
-    classes has (c, sa, sb, id, bands, n), texts (id, text).  All pairs of a
-    cluster that fits a task are compared there.  In a larger one each class
-    first meets the center it shares most buckets with; then, in the buckets that
-    still hold several components, all classes outside a unit's largest component
-    meet the unit's others, block by block.  A unit is the cluster, or the
-    bucket where a cluster has over ``UNIT`` classes left.
+    """c, component of all ids that are linked with another.
+
+    classes has (c, bands, n), texts (c, text).  A bucket's star goes from its
+    least id, and stars of one center are a unit, so two ids that share a bucket
+    share a unit.  All texts of a unit that fits a task are compared there.  In
+    a larger one each id first meets the center it shares most buckets with;
+    then, if several components are left, all outside the largest meet all
+    others, block by block.
     """
-    dealt = classes.select("c", F.explode("bands").alias("bucket"))
-    heads = dealt.groupBy("bucket").agg(F.min("c").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket", "center")
-    buckets = written(joined(dealt, heads, "bucket").select("bucket", "c", "center"), "buckets")
-    edges = written(buckets.filter("c <> center").groupBy("center", "c").agg(F.count(F.lit(1)).alias("shared")), "stars")
-    clusters = components(edges.select(F.col("center").alias("a"), F.col("c").alias("b"))).withColumnRenamed("component", "cluster")
-    members = joined(clusters, classes.select("c", "id", "n", "sa"), "c")
-    large = ((F.count(F.lit(1)) > BLOCK) | (F.sum("n") > SHINGLES)).alias("large")
-    members = written(joined(members, members.groupBy("cluster").agg(large), "cluster"), "members")
-    live = written(joined(texts, members.select("id", "c", "cluster", "sa", "large"), "id").drop("id"), "live")
-    small = written(links(live.filter("not large").select(F.col("cluster").alias("g"), "c", F.col("c").alias("component"), F.lit(0).alias("side"), "sa", "text")), "links")
-    big = members.filter("large").select("c", "cluster", "n")
-    if big.isEmpty():
-        return small
-    pool = live.filter("large").select("c", "sa", "text")
-    best = joined(edges, big.select("c", "n"), "c").groupBy("c", "n").agg(F.max(F.struct("shared", -F.col("center"))).alias("x")).select((-F.col("x.col2")).alias("unit"), "c", "n", F.col("c").alias("component"))
-    centers = joined(best.select(F.col("unit").alias("c")).distinct(), big, "c").select(F.col("c").alias("unit"), "c", "n", F.col("c").alias("component"))
-    first = written(meet(centers, best, pool), "links")
-    rows = joined(joined(buckets.select("bucket", "c"), big, "c"), components(first), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    rows = written(joined(rows, mixed, "bucket"), "unsettled")
-    left = rows.select("cluster", "c").distinct().groupBy("cluster").agg((F.count(F.lit(1)) > UNIT).alias("split"))
-    units = written(joined(rows, left, "cluster").select(F.when(F.col("split"), F.col("bucket")).otherwise(F.col("cluster")).alias("unit"), "c", "n", "component").distinct(), "units")
-    most = units.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("unit").agg(F.max_by("component", "k").alias("most"))
-    others = joined(units, most, "unit").filter("component <> most").drop("most")
-    return small.unionByName(first).unionByName(written(meet(others, units, pool), "links"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    dealt = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    heads = dealt.groupBy("bucket").agg(F.min("c").alias("unit"), F.max("c").alias("last")).filter("unit <> last").select("bucket", "unit")
+    units = written(joined(dealt, heads, "bucket").groupBy("unit", "c").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n")), "units")
+    units = written(joined(units, units.groupBy("unit").agg(blocks.alias("k")), "unit"), "units")
+    large = F.col("k") > 1
+    members = units.groupBy("c").agg(F.collect_list(F.when(~large, F.col("unit"))).alias("small"), F.max(F.when(large, F.struct("shared", (-F.col("unit")).alias("unit"), "k"))).alias("best"))
+    members = written(members, "members")  # a class has a unit for each band at most
+    live = joined(texts, members.select("c", "small"), "c").withColumn("h", F.xxhash64("text")).dropDuplicates(["c", "h"])
+    live = written(live, "live")
+    found = written(links(live.select(F.explode("small").alias("g"), "c", F.col("c").alias("component"), F.lit(0).alias("side"), "text")), "links")
+    far = units.filter(large)
+    if far.isEmpty():
+        return components(found)
+    pool = joined(live.select("c", "h", "text"), members.filter("best is not null").select("c"), "c")
+    leaves = members.filter("best is not null").select((-F.col("best.unit")).alias("unit"), "c", F.col("c").alias("component"), F.lit(2).alias("side"), F.lit(1).alias("ka"), F.col("best.k").alias("kb"))
+    centers = far.filter("unit = c").select("unit", "c", F.col("c").alias("component"), F.lit(1).alias("side"), F.lit(1).alias("ka"), F.col("k").alias("kb"))
+    found = components(found.unionByName(written(meet(centers.unionByName(leaves), pool), "links")))
+    rows = joined(far.select("unit", "c", "n"), found, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    rows = written(rows, "unsettled")
+    parts = rows.groupBy("unit", "component").agg(F.count(F.lit(1)).alias("ids"), F.sum("n").alias("n"))
+    sides = parts.groupBy("unit").agg(F.max(F.struct("ids", "n", "component")).alias("most"), F.sum("ids").alias("ids"), F.sum("n").alias("n")).filter("ids > most.ids")
+    count = lambda ids, n: F.greatest(F.ceil(ids / BLOCK), F.ceil(n / SHINGLES)).cast("int")
+    sides = sides.select("unit", F.col("most.component").alias("most"), count(F.col("ids") - F.col("most.ids"), F.col("n") - F.col("most.n")).alias("ka"), count(F.col("ids"), F.col("n")).alias("kb"))
+    rows = written(joined(rows, sides, "unit").select("unit", "c", "component", F.explode(F.when(F.col("component") == F.col("most"), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("side"), "ka", "kb"), "sides")
+    more = written(meet(rows, pool), "links")
+    if more.isEmpty():
+        return found
+    return components(more.unionByName(found.select(F.col("c").alias("a"), F.col("component").alias("b"))))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ def shingles(t):
 
 
 def brute(rows):
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    names = {}
+    sets = [(i, sum(1 << names.setdefault(g, len(names)) for g in shingles(t))) for i, t in rows if i is not None]
     part = {i: i for i, _ in sets}
 
     def root(a):
@@ -26,7 +27,7 @@ def brute(rows):
 
     for x, (i, a) in enumerate(sets):
         for j, b in sets[x + 1 :]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b) and root(i) != root(j):
+            if a and b and 100 * (a & b).bit_count() >= 75 * (a | b).bit_count() and root(i) != root(j):
                 part[max(root(i), root(j))] = min(root(i), root(j))
     return {(i, len(shingles(t)), None if i is None else root(i)) for i, t in rows}
 
@@ -89,9 +90,8 @@ def test_large_groups_without_their_source(spark):
     check(spark.createDataFrame(rows, SCHEMA).repartition(4))
 
 
-def test_clusters_that_are_split_by_buckets(spark, monkeypatch):
+def test_units_of_several_blocks_on_both_sides(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 20)
-    monkeypatch.setattr(near_dedup, "UNIT", 50)
     monkeypatch.setattr(near_dedup, "SHINGLES", 9000)
     check(spark.createDataFrame(on_one_template(60), SCHEMA).repartition(4))
 
