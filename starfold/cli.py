@@ -33,20 +33,26 @@ def run(args) -> int:
     from pyspark.sql import functions as F
 
     from starfold import config
-    from starfold.operators import catalog
+    from starfold.operators import catalog, clean
     from starfold.plans import pipeline
     from starfold.sources import files
 
     spark = session()
     try:
-        raw = files.read_fits(spark, args.input).filter("error is null") if args.fits else files.read_csv(spark, args.input)
+        raw = files.read_folder(spark, args.input)
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 2
-    lc = raw.select(F.col("tic_id").cast("long").alias("tic_id"), "time", F.col("flux").cast("double").alias("f")).filter("time is not null and f is not null and not isnan(f)")
+    if "error" in raw.columns:
+        raw = raw.filter("error is null")
+    lc = clean.finite_points(raw.withColumn("f", F.col("flux").cast("double")))
+    if "quality" in lc.columns:
+        lc = lc.filter("coalesce(quality, 0) = 0")
     if args.resume:
-        lc = catalog.pending(lc, files.read_catalog(spark, args.resume, args.format))
-    files.write_catalog(pipeline.process(lc, config=config.load(args.config) if args.config else config.Config()), f"{args.out}/catalog", args.format)
+        lc = catalog.pending(lc, files.read_manifest(spark, f"{args.resume}/manifest"))
+    known = lc.groupBy("tic_id").agg(*(F.max(c).cast("double").alias(c) if c in lc.columns else F.lit(None).cast("double").alias(c) for c in ("crowdsap", "radius")), F.lit(None).cast("double").alias("mass"))
+    rows = pipeline.process(lc.select("tic_id", "time", "f"), known, config.load(args.config) if args.config else config.Config())
+    files.write_bundle(rows, None, args.out, args.format)
     return 0
 
 
@@ -75,7 +81,6 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--minutes", type=float, default=8.0)
         if name == "run":
             s.add_argument("--input", required=True)
-            s.add_argument("--fits", action="store_true")
             s.add_argument("--resume")
         if name == "report":
             s.add_argument("--catalog", required=True)

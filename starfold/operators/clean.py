@@ -60,13 +60,32 @@ def outlier_mask(lc: DataFrame, upper: float = 3.0, lower: float = 20.0) -> Data
     return r.withColumn("keep", (F.col("_s") == 0) | ((F.col("resid") <= F.col("_s") * upper) & (F.col("resid") >= F.col("_s") * -lower))).drop("_rm", "_s")
 
 
+def finite_points(lc: DataFrame, time: str = "time", flux: str = "f") -> DataFrame:
+    """The rows whose time and flux are finite numbers."""
+    good = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    return lc.filter(good(time) & good(flux))
+
+
+def inverse_variance(lc: DataFrame, error: str = "flux_err") -> DataFrame:
+    """weight: 1 over the squared error, adding up to 1 by star.
+
+    Errors that are missing or not above 0 count as the star's median error;
+    without any error all points weigh alike.
+    """
+    good = F.when((F.col(error) > 0) & ~F.isnan(F.col(error).cast("double")), F.col(error).cast("double"))
+    used = F.coalesce(good, F.median(good).over(star()), F.lit(1.0))
+    raw = lc.withColumn("_w", 1 / (used * used))
+    return raw.withColumn("weight", F.col("_w") / F.sum("_w").over(star())).drop("_w")
+
+
 def time_binned(lc: DataFrame, bins: int = 20) -> DataFrame:
-    """Equal widths over each star's span; mean and standard error of the bins that have rows."""
+    """Equal widths over each star's span; mean and standard error, null in bins without rows."""
     w = lc.select("tic_id", "time", "f", F.min("time").over(star()).alias("lo"), F.max("time").over(star()).alias("hi"))
     spot = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("time") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))).otherwise(F.lit(0))
     g = w.withColumn("bin", spot.cast("int")).groupBy("tic_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("s"), F.sum(F.col("f") * F.col("f")).alias("ss"))
     mean = F.col("s") / F.col("n")
-    return g.select("tic_id", "bin", "n", mean.alias("mean"), (F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))) / F.sqrt(F.col("n").cast("double"))).alias("err"))
+    grid = lc.select("tic_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return grid.join(g, ["tic_id", "bin"], "left").select("tic_id", "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"), mean.alias("mean"), (F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))) / F.sqrt(F.col("n").cast("double"))).alias("err"))
 
 
 def stitched(lc: DataFrame, sector: str = "kind") -> DataFrame:

@@ -21,9 +21,9 @@ def phase_bins(lc: DataFrame, bins: int = 20) -> DataFrame:
     return g.select("tic_id", "bin", "n", (F.col("s") / F.col("n")).alias("mean"), "median")
 
 
-def filled_view(bins: DataFrame, n: int = 20, value: str = "median") -> DataFrame:
-    """Every bin: empty ones by straight lines between their neighbours, ends by the nearest."""
-    grid = bins.select("tic_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def filled_view(bins: DataFrame, n: int = 20, value: str = "median", stars: DataFrame | None = None) -> DataFrame:
+    """Every bin: empty ones by straight lines between their neighbours, ends by the nearest; stars without any bin are all 0."""
+    grid = (bins if stars is None else stars).select("tic_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rows = grid.join(bins.select("tic_id", "bin", F.col(value).alias("v")), ["tic_id", "bin"], "left")
     back, on = star().orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), star().orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("v").isNotNull(), F.col("bin"))
@@ -38,6 +38,63 @@ def normal_view(view: DataFrame) -> DataFrame:
     return v.select("tic_id", "bin", F.when(F.col("low") < -1e-12, F.col("value") / F.abs("low")).otherwise(F.col("value")).alias("value"))
 
 
+#: Views of a folded curve and how many bins each has.
+VIEWS = {"global": 2001, "local": 201, "secondary": 201, "odd": 201, "even": 201}
+
+
+def view_bins(lc: DataFrame, kind: str, bins: int) -> DataFrame:
+    """Medians by phase in a view's window: the whole turn, or three durations around mid-transit or half a turn from it."""
+    x = folded(lc)
+    half = F.greatest(F.least(F.lit(0.49), F.lit(3.0) * F.col("duration") / F.col("period")), F.lit(1.0 / bins))
+    if kind == "global":
+        half = F.lit(0.5)
+    if kind == "secondary":
+        u = (F.col("time") - F.col("t0")) / F.col("period")
+        x = x.withColumn("phase", u - F.floor(u) - 0.5)
+    if kind in ("odd", "even"):
+        x = x.filter((F.pmod(F.col("cycle"), F.lit(2)) != 0) == F.lit(kind == "odd"))
+    inside = x.withColumn("half", half).filter(F.abs("phase") <= F.col("half"))
+    b = F.least(F.floor((F.col("phase") + F.col("half")) / (2 * F.col("half")) * bins), F.lit(bins - 1)).cast("int")
+    return inside.withColumn("bin", b).groupBy("tic_id", "bin").agg(F.median("f").alias("median"))
+
+
+def view(lc: DataFrame, kind: str, bins: int | None = None) -> DataFrame:
+    """(tic_id, bin, value): one of ``VIEWS``, filled and normal."""
+    bins = bins or VIEWS[kind]
+    return normal_view(filled_view(view_bins(lc, kind, bins), bins, stars=lc))
+
+
+def panel_bins(x: DataFrame, bins: int, at: str = "phase") -> DataFrame:
+    """Means of f in equal bins over each star's own range of ``at``: (tic_id, bin, center, n, mean) of the bins that have rows."""
+    w = x.select("tic_id", "f", F.col(at).alias("x"), F.min(at).over(star()).alias("lo"), F.max(at).over(star()).alias("hi")).filter("hi > lo")
+    b = F.least(F.floor((F.col("x") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
+    g = w.withColumn("bin", b).groupBy("tic_id", "bin").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sum("f").alias("s"), F.count(F.lit(1)).alias("n"))
+    return g.select("tic_id", "bin", (F.col("lo") + (F.col("bin") + 0.5) * ((F.col("hi") - F.col("lo")) / bins)).alias("center"), "n", (F.col("s") / F.col("n")).alias("mean"))
+
+
+def panel_phase(lc: DataFrame, zoom: bool = False) -> DataFrame:
+    """The phase-fold panel: 80 bins of the whole turn, or 50 of which those within 2.5 durations are shown."""
+    x = folded(lc)
+    if not zoom:
+        return panel_bins(x, 80)
+    width = lc.groupBy("tic_id").agg((F.lit(2.5) * F.max("duration") / F.max("period")).alias("half"))
+    return panel_bins(x, 50).join(width, "tic_id").filter(F.abs("center") <= F.col("half")).drop("half")
+
+
+def panel_odd_even(lc: DataFrame) -> DataFrame:
+    """40 bins of the odd and of the even transits, each over its own range of phase."""
+    x = folded(lc).withColumn("odd", F.pmod(F.col("cycle"), F.lit(2)) != 0)
+    side = lambda odd: panel_bins(x.filter(F.col("odd") == F.lit(odd)), 40).withColumn("side", F.lit("odd" if odd else "even"))
+    return side(True).unionByName(side(False))
+
+
+def panel_secondary(lc: DataFrame, window: float = 0.15) -> DataFrame:
+    """25 bins around half a turn from mid-transit."""
+    x = folded(lc)
+    p = F.col("phase") - F.floor("phase")
+    return panel_bins(x.withColumn("phase", p).filter(F.abs(F.col("phase") - 0.5) < window), 25)
+
+
 def window_depths(lc: DataFrame) -> DataFrame:
     """Per star, for all, odd and even transits: median of the surroundings less the mean inside, and counts.
 
@@ -76,14 +133,19 @@ def noise(lc: DataFrame) -> DataFrame:
     return g.select("tic_id", (F.col("mad") * 1.4826).alias("flux_mad"), F.when(F.col("n") > 3, F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0)))).alias("oot_rms"))
 
 
-def secondary_scan(lc: DataFrame, steps: int = 20) -> DataFrame:
+def secondary_scan(lc: DataFrame, steps: int = 100) -> DataFrame:
     """The deepest dip away from the primary over a grid of phases; ties go to the smallest phase.
 
-    Each point meets only the grid places within half a duration of its own, by
-    sequence arithmetic instead of a cross join.
+    A point is spread only over the places within half a duration of its own
+    phase, whose first and last follow by arithmetic; the exact test is repeated
+    on those.
     """
     x = folded(lc).withColumn("med", F.median("f").over(star())).withColumn("h", F.col("duration") / F.col("period") / 2)
-    x = x.withColumn("g", F.explode(F.sequence(F.lit(-(steps // 2)), F.lit(steps // 2))))
+    first, last = F.floor((F.col("phase") - F.col("h")) * steps).cast("int"), F.ceil((F.col("phase") + F.col("h")) * steps).cast("int")
+    places = F.sequence(first, F.least(last, first + steps))
+    whole = F.transform(places, lambda g: F.pmod(g + steps // 2, F.lit(steps)) - steps // 2)
+    ends = F.when(F.array_contains(whole, -(steps // 2)), F.array(F.lit(steps // 2))).otherwise(F.array().cast("array<int>"))  # both ends of the turn are one place
+    x = x.withColumn("g", F.explode(F.array_distinct(F.concat(whole, ends))))
     at = F.col("g") / F.lit(float(steps))
     near = x.filter((F.abs(at) >= F.col("h") * 2) & (wrapped(F.col("phase"), at) <= F.col("h")))
     d = near.groupBy("tic_id", "g").agg(F.max("med").alias("med"), F.sum("f").alias("s"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
@@ -92,13 +154,18 @@ def secondary_scan(lc: DataFrame, steps: int = 20) -> DataFrame:
     return best.select("tic_id", F.col("b.depth").alias("secondary_depth"), (-F.col("b.g") / F.lit(float(steps))).alias("secondary_phase"), F.col("b.n").alias("n"))
 
 
-def river(lc: DataFrame, bins: int = 12, most: int = 200) -> DataFrame:
+def river(lc: DataFrame, bins: int = 60, most: int = 200) -> DataFrame:
     """Mean flux by transit, from the first on, and phase bin; stars of 2 to ``most`` transits."""
     b = F.least(F.floor((F.col("phase") + 0.5) * bins), F.lit(bins - 1)).cast("int")
     x = folded(lc).withColumns({"bin": b, "row": F.col("cycle") - F.min("cycle").over(star()), "rows": F.max("cycle").over(star()) - F.min("cycle").over(star()) + 1})
     return x.filter((F.col("rows") >= 2) & (F.col("rows") <= most)).groupBy("tic_id", "row", "bin").agg(F.sum("f").alias("s"), F.count(F.lit(1)).alias("n")).select("tic_id", "row", "bin", (F.col("s") / F.col("n")).alias("mean"))
 
 
+def river_range(grid: DataFrame) -> DataFrame:
+    """The range of color of each star's river: percentiles 3 and 97 of its cells."""
+    return grid.groupBy("tic_id").agg(F.percentile("mean", F.lit(0.03)).alias("low"), F.percentile("mean", F.lit(0.97)).alias("high"))
+
+
 def epochs(lc: DataFrame, most: int = 400) -> DataFrame:
     """Times of mid-transit inside each star's span."""
     g = lc.groupBy("tic_id").agg(F.min("time").alias("lo"), F.max("time").alias("hi"), F.first("period").alias("period"), F.first("t0").alias("t0"))

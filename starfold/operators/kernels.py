@@ -1,7 +1,7 @@
 """Per-star numerics that are iterative, as small numpy functions on one curve's arrays.
 
 Spark deals the stars out; a curve is bounded by its cadence and sector, so a
-group fits a task.  Longer stitched curves are split by gap segments first.
+group fits a task.
 """
 
 from __future__ import annotations
@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
+def dealt(lc: DataFrame) -> DataFrame:
+    """``lc`` by star over all cores: a curve takes long and holds few bytes, so partitions must not be joined by size."""
+    spark = lc.sparkSession
+    return lc.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "tic_id")
+
+
 def per_star(lc: DataFrame, work: Callable[[np.ndarray, np.ndarray, dict], dict[str, object]], schema: str, columns: tuple[str, ...] = ("period", "t0", "duration")) -> DataFrame:
     """One row or more per star from its time-ordered time and flux (over the median); the ephemeris comes as a dict.
 
@@ -36,30 +42,13 @@ def per_star(lc: DataFrame, work: Callable[[np.ndarray, np.ndarray, dict], dict[
         frame["tic_id"] = pdf["tic_id"].iloc[0]
         return frame.reindex(columns=["tic_id", *names, "error"])
 
-    return lc.select("tic_id", "time", "f", *columns).groupBy("tic_id").applyInPandas(run, f"tic_id long, {schema}, error string")
+    return dealt(lc.select("tic_id", "time", "f", *columns)).groupBy("tic_id").applyInPandas(run, f"tic_id long, {schema}, error string")
 
 
 def robust(x: np.ndarray) -> float:
     return MAD_SCALE * float(np.median(np.abs(x - np.median(x)))) if len(x) else float("nan")
 
 
-def biweight(v: np.ndarray, tuning: float = 5.0, rounds: int = 3) -> float:
-    """Tukey's location: from the median, points pulled in by how far they lie in deviations."""
-    c = float(np.median(v))
-    if len(v) < 3:
-        return c
-    for _ in range(rounds):
-        mad = float(np.median(np.abs(v - c)))
-        if mad <= 0:
-            break
-        u = (v - c) / (tuning * mad)
-        w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
-        if w.sum() <= 0:
-            break
-        c += float((w * (v - c)).sum() / w.sum())
-    return c
-
-
 def segments(t: np.ndarray, tolerance: float = 0.5) -> list[slice]:
     """Stretches between gaps."""
     at = np.flatnonzero(np.diff(t) > tolerance) + 1 if tolerance > 0 else np.zeros(0, int)
@@ -67,9 +56,48 @@ def segments(t: np.ndarray, tolerance: float = 0.5) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def middle(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Medians of rows of sorted values, of which the first ``size`` count."""
+    rows = np.arange(len(v))
+    return (v[rows, (size - 1) // 2] + v[rows, size // 2]) / 2
+
+
+def biweights(v: np.ndarray, size: np.ndarray, tuning: float = 5.0, rounds: int = 3) -> np.ndarray:
+    """Tukey's location of each row: from the median, points pulled in by how far they lie in deviations.
+
+    The first ``size`` values of a row count, the others are infinite.  Rows of
+    under three values, or without spread, stay at their median.
+    """
+    v = np.sort(v, axis=1)
+    c = middle(v, size)
+    live = size >= 3
+    inside = np.isfinite(v)
+    v = np.where(inside, v, 0.0)
+    for _ in range(rounds):
+        r = np.where(inside, v - c[:, None], np.inf)
+        mad = middle(np.sort(np.abs(r), axis=1), size)
+        live = live & (mad > 0)
+        if not live.any():
+            break
+        r = np.where(inside, r, 0.0)
+        u = r / (tuning * np.where(live, mad, 1.0))[:, None]
+        w = np.where(inside & (np.abs(u) < 1), (1 - u * u) ** 2, 0.0)
+        total = w.sum(axis=1)
+        live = live & (total > 0)
+        c = c + np.where(live, (w * r).sum(axis=1) / np.where(live, total, 1.0), 0.0)
+    return c
+
+
 def biweight_trend(t: np.ndarray, f: np.ndarray, window: float) -> np.ndarray:
     lo, hi = np.searchsorted(t, t - window / 2, "left"), np.searchsorted(t, t + window / 2, "right")
-    return np.array([biweight(f[a:b]) for a, b in zip(lo, hi, strict=True)])
+    size = hi - lo
+    out = np.empty(len(t))
+    step = max(1, (1 << 18) // int(size.max(initial=1)))
+    for k in range(0, len(t), step):
+        n = size[k : k + step]
+        at = np.arange(n.max())
+        out[k : k + step] = biweights(np.where(at < n[:, None], f[np.minimum(lo[k : k + step, None] + at, len(f) - 1)], np.inf), n)
+    return out
 
 
 def mirrored(f: np.ndarray, half: int) -> np.ndarray:
@@ -178,33 +206,56 @@ def frequencies(baseline: float, low: float, high: float, width: float, oversamp
     return np.sort(1 / (1 / high + df * np.arange(n)))
 
 
-DURATIONS = np.array([0.04, 0.08, 0.12, 0.16, 0.20, 0.25, 0.30])
+#: The durations of a box, in days.
+DURATIONS = np.array([0.04, 0.06, 0.08, 0.12, 0.16, 0.22, 0.30])
 
 
-def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.ndarray = DURATIONS, bins: int = 200) -> dict[str, np.ndarray]:
-    """For each period the best box over a folded histogram: power, duration, mid-transit and depth."""
-    start, total, mean = t[0], f.sum(), f.mean()
+def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.ndarray = DURATIONS, bins: int = 200, error: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """For each period the best box over a folded histogram: power, duration, mid-transit and depth.
+
+    With errors points weigh by their inverse squares, without they weigh alike.
+    Periods go in blocks: one count for all their histograms, then each width's
+    boxes as differences of running sums.
+    """
     n = len(t)
+    weight = np.ones(n)
+    if error is not None and np.isfinite(error).any():
+        weight = 1 / np.where(np.isfinite(error) & (error > 0), error, np.nanmedian(error)) ** 2
+        weight *= n / weight.sum()
+    start, mean = t[0], float((weight * f).sum() / weight.sum())
+    centred = weight * (f - mean)
+    noise = 1e-9 * float(np.abs(centred).sum())
     best = {k: np.zeros(len(periods)) for k in ("power", "duration", "t0", "depth")}
-    for i, p in enumerate(periods):
-        b = np.minimum(((t - start) / p % 1.0 * bins).astype(int), bins - 1)
-        w, s = np.bincount(b, minlength=bins), np.bincount(b, f, minlength=bins)
-        cw, cs = np.concatenate(([0], np.cumsum(np.concatenate((w, w))))), np.concatenate(([0.0], np.cumsum(np.concatenate((s, s)))))
-        fits = durations[durations / p < 0.5]
-        width = np.maximum(np.rint(fits / p * bins), 1).astype(int)
-        fits, width = fits[width < bins], width[width < bins]
-        if not len(width):
-            continue
-        ends = width[:, None] + np.arange(bins)  # all widths and starts at once
-        r, q = cw[ends] - cw[:bins], cs[ends] - cs[:bins]
-        ok = (r > 0) & (r < n) & (q < mean * r)
-        inner = np.where(ok, r, 1)
-        sr = np.where(ok, (q - inner / n * total) ** 2 / np.maximum(inner * (n - inner) / n, 1e-12), -1.0)
-        k = int(np.argmax(sr))  # the earliest duration, then the earliest start, wins ties
-        d, j = divmod(k, bins)
-        if sr[d, j] > 0:
-            best["power"][i], best["duration"][i], best["depth"][i] = sr[d, j], fits[d], mean - q[d, j] / r[d, j]
-            best["t0"][i] = start + ((j + width[d] / 2) / bins % 1.0) * p
+    step = max(1, (1 << 16) // max(n, 4 * bins))
+    for lo in range(0, len(periods), step):
+        p = periods[lo : lo + step, None]
+        m = len(p)
+        place = np.minimum(((t - start) / p % 1.0 * bins).astype(np.int64), bins - 1) + np.arange(m)[:, None] * bins
+        w, s = (np.bincount(place.reshape(-1), np.broadcast_to(x, (m, n)).reshape(-1), m * bins).reshape(m, bins) for x in (weight, centred))
+        cw, cs = (np.concatenate((np.zeros((m, 1)), np.cumsum(np.concatenate((x, x), axis=1), axis=1)), axis=1) for x in (w, s))
+        top = np.zeros(m)
+        before = np.zeros(m, np.int64)
+        for d in durations:
+            width = np.maximum(np.rint(d / p[:, 0] * bins), 1).astype(np.int64)
+            use = np.flatnonzero((d / p[:, 0] < 0.5) & (width < bins) & (width != before))  # of equal widths the first duration wins
+            before = width
+            if not len(use):
+                continue
+            ends = width[use, None] + np.arange(bins)
+            q = np.take_along_axis(cs[use], ends, axis=1) - cs[use, :bins]
+            r = np.take_along_axis(cw[use], ends, axis=1) - cw[use, :bins]
+            q = np.minimum(q, 0.0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                power = q * q / (r * (n - r)) * n
+            power[(q > -noise) | (r <= 0) | (n - r <= 1e-9 * n)] = 0.0
+            j = np.argmax(power, axis=1)  # the earliest start wins ties
+            found = power[np.arange(len(use)), j]
+            better = found > top[use]
+            at, j = use[better], j[better]
+            top[at] = found[better]
+            best["power"][lo + at], best["duration"][lo + at] = found[better], d
+            best["depth"][lo + at] = -q[better, j] / r[better, j]
+            best["t0"][lo + at] = start + ((j + width[at] / 2) / bins % 1.0) * p[at, 0]
     return best
 
 
@@ -219,30 +270,87 @@ def folded_depth(t: np.ndarray, f: np.ndarray, period: float, t0: float, duratio
     return float(np.median(f[around]) - np.median(f[inside])) if len(t) >= 10 and inside.any() and around.sum() >= 3 else float("nan")
 
 
-def two_stage(t: np.ndarray, f: np.ndarray, low: float = 0.5, high: float | None = None, coarse: float = 2.0, fine: float = 5.0, window: float = 0.05) -> dict[str, object]:
-    """A coarse search, then another within five hundredths of its period; efficiency is the coarse one's."""
-    base = float(t[-1] - t[0])
-    high = min(high or base / 2, base)
-    grid = frequencies(base, low, max(high, low * 1.1), float(DURATIONS[0]), coarse)
-    first = box_search(t, f, grid)
-    i = int(np.argmax(first["power"]))
-    near = frequencies(base, grid[i] * (1 - window), grid[i] * (1 + window), float(DURATIONS[0]), fine)
-    second = box_search(t, f, near)
-    j = int(np.argmax(second["power"]))
-    pick = (near[j], second, j) if second["power"][j] > 0 else (grid[i], first, i)
-    period, found, k = float(pick[0]), pick[1], pick[2]
-    duration, t0, depth = (float(found[n][k]) for n in ("duration", "t0", "depth"))
+def finalised(t: np.ndarray, f: np.ndarray, found: dict[str, object]) -> dict[str, object]:
+    """``found`` with the depth measured again under its ephemeris, where it can be, and its signal to noise."""
+    period, t0, duration, depth = (float(found[k]) for k in ("period", "t0", "duration", "depth"))
     exact = folded_depth(t, f, period, t0, duration) if duration > 0 else float("nan")
     depth = exact if np.isfinite(exact) and exact > 0 else depth
     d = np.abs(((t - t0) / period + 0.5) % 1.0 - 0.5) * period
     sigma, step = robust(f[d > duration / 2]), float(np.median(np.diff(t)))
     cycles = np.unique(np.rint((t[d <= duration / 2] - t0) / period))
     snr = depth / (sigma / np.sqrt(max(duration / step * len(cycles), 1.0))) if sigma > 0 else float("nan")
-    return {"period": period, "t0": t0, "duration": duration, "depth": depth, "sde": sde(first["power"]), "snr": snr, "n_periods": len(grid), "method": "bls+bls"}
+    return found | {"depth": depth, "snr": snr}
 
 
-def acf_period(t: np.ndarray, f: np.ndarray, low: float = 0.5, high: float | None = None) -> dict[str, float]:
-    """The highest peak of the autocorrelation on an even grid between the two periods."""
+def best_box(grid: np.ndarray, found: dict[str, np.ndarray]) -> dict[str, object]:
+    i = int(np.argmax(found["power"]))
+    return {"period": float(grid[i]), **{k: float(found[k][i]) for k in ("t0", "duration", "depth", "power")}}
+
+
+def two_stage(t: np.ndarray, f: np.ndarray, low: float = 0.5, high: float | None = None, coarse: float = 2.0, fine: float = 5.0, window: float = 0.05, error: np.ndarray | None = None) -> dict[str, object]:
+    """A coarse search, then another within five hundredths of its period; efficiency is the coarse one's."""
+    base = float(t[-1] - t[0])
+    high = min(high or base / 2, base)
+    grid = frequencies(base, low, max(high, low * 1.1), float(DURATIONS[0]), coarse)
+    first = box_search(t, f, grid, error=error)
+    triage = best_box(grid, first)
+    near = frequencies(base, triage["period"] * (1 - window), triage["period"] * (1 + window), float(DURATIONS[0]), fine)
+    second = best_box(near, box_search(t, f, near, error=error))
+    return finalised(t, f, second if second["power"] > 0 else triage) | {"sde": sde(first["power"]), "n_periods": len(grid), "method": "bls+bls"}
+
+
+def lomb_scargle(t: np.ndarray, f: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    """Normalised power at each frequency, with the time shift that parts sine from cosine."""
+    y = f - f.mean()
+    out = np.empty(len(freq))
+    step = max(1, (1 << 18) // max(len(t), 1))
+    for k in range(0, len(freq), step):
+        w = 2 * np.pi * freq[k : k + step, None]
+        tau = np.arctan2(np.sin(2 * w * t).sum(axis=1), np.cos(2 * w * t).sum(axis=1))[:, None] / (2 * w)
+        c, s = np.cos(w * (t - tau)), np.sin(w * (t - tau))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[k : k + step] = 0.5 * ((c @ y) ** 2 / (c * c).sum(axis=1) + (s @ y) ** 2 / (s * s).sum(axis=1))
+    variance = y.var()
+    return out / variance if variance > 0 else out
+
+
+METHODS = ("bls", "tls", "ls", "acf")
+
+
+def search(t: np.ndarray, f: np.ndarray, method: str = "bls", low: float = 0.5, high: float | None = None, oversample: float = 3.0, durations: np.ndarray | None = None, error: np.ndarray | None = None) -> dict[str, object]:
+    """The best detection by one method, with its spectrum as periods and power.
+
+    Under ten points give a row of nulls.  ``tls`` has no library here: the box
+    search takes its place, and ``tls_fallback`` says so.
+    """
+    method = method.lower()
+    if method not in METHODS:
+        raise ValueError(f"unknown search method {method!r}; one of {', '.join(METHODS)}")
+    none = float("nan")
+    out: dict[str, object] = {"period": none, "t0": none, "duration": none, "depth": none, "sde": none, "snr": none, "method": "bls" if method == "tls" else method, "tls_fallback": "bls" if method == "tls" else None, "periods": [], "power": []}
+    if len(t) < 10:
+        return out
+    base = float(t[-1] - t[0])
+    high = high or base / 2
+    if method == "acf":
+        return out | acf_spectrum(t, f, low, high)
+    if method == "ls":
+        n = int(np.clip((1 / low - 1 / high) * base * max(oversample * 3, 5), 64, 200_000))
+        freq = np.linspace(1 / high, 1 / low, n)
+        power = lomb_scargle(t, f, freq)
+        return out | {"period": float(1 / freq[int(np.argmax(power))]), "sde": sde(power), "periods": (1 / freq)[::-1].tolist(), "power": power[::-1].tolist()}
+    widths = DURATIONS if durations is None else np.atleast_1d(np.asarray(durations, float))
+    widths = widths[widths < 0.5 * high]
+    widths = widths if len(widths) else np.array([min(float(DURATIONS[0]), 0.1 * high)])
+    grid = frequencies(base, low, high, float(widths.min()), oversample)
+    found = box_search(t, f, grid, widths, error=error)
+    best = finalised(t, f, best_box(grid, found))
+    del best["power"]
+    return out | best | {"sde": sde(found["power"]), "periods": grid.tolist(), "power": found["power"].tolist()}
+
+
+def acf_spectrum(t: np.ndarray, f: np.ndarray, low: float = 0.5, high: float | None = None) -> dict[str, object]:
+    """The highest peak of the autocorrelation on an even grid between the two periods, with all lags between them."""
     step = float(np.median(np.diff(t)))
     grid = np.arange(t[0], t[-1], step)
     y = np.interp(grid, t, f)
@@ -256,7 +364,12 @@ def acf_period(t: np.ndarray, f: np.ndarray, low: float = 0.5, high: float | Non
     peak[1:-1] = (a[1:-1] > a[:-2]) & (a[1:-1] > a[2:])
     pool = np.flatnonzero(inside & peak) if (inside & peak).any() else np.flatnonzero(inside)
     i = int(pool[np.argmax(a[pool])])
-    return {"period": float(lag[i]), "power": float(a[i])}
+    return {"period": float(lag[i]), "sde": sde(a[inside]), "peak": float(a[i]), "periods": lag[inside].tolist(), "power": a[inside].tolist()}
+
+
+def acf_period(t: np.ndarray, f: np.ndarray, low: float = 0.5, high: float | None = None) -> dict[str, float]:
+    found = acf_spectrum(t, f, low, high)
+    return {"period": found["period"], "power": found["peak"]}
 
 
 def cdpp(t: np.ndarray, f: np.ndarray, hours: float = 2.0) -> float:
@@ -322,45 +435,180 @@ def fit_trapezoid(t: np.ndarray, f: np.ndarray, period: float, t0: float, durati
     flat = float((((f - 1) / sigma) ** 2).sum())
     error = np.sqrt(np.maximum(np.diag(cov), 0)) * sigma
     bic = 4 * np.log(max(len(f), 1)) + chi2
-    return {"t0": t0 + x[0], "depth": x[1], "duration": x[2], "ingress": x[3], "depth_err": error[1], "duration_err": error[2], "bic_transit": bic, "bic_flat": flat, "delta_bic": flat - bic, "v_shape_metric": min(x[3] / 0.5, 1.0)}
+    return {"t0": t0 + x[0], "depth": x[1], "duration": x[2], "ingress": x[3], "t0_err": error[0], "depth_err": error[1], "duration_err": error[2], "bic_transit": bic, "bic_flat": flat, "delta_bic": flat - bic, "v_shape_metric": min(x[3] / 0.5, 1.0)}
+
+
+def occulted(z: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Share of a uniform disc that a disc of radius k hides at distance z."""
+    z2, k2 = z * z, k * k
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.arccos(np.clip((z2 + k2 - 1) / np.maximum(2 * z * k, 1e-12), -1, 1))
+        y = np.arccos(np.clip((z2 + 1 - k2) / np.maximum(2 * z, 1e-12), -1, 1))
+        part = (k2 * x + y - 0.5 * np.sqrt(np.maximum((1 + k - z) * (z + k - 1) * (z + 1 - k) * (z + k + 1), 0))) / np.pi
+    return np.where(z >= 1 + k, 0.0, np.where(z <= np.abs(1 - k), np.minimum(k2, 1.0), part))
+
+
+def transit_flux(t: np.ndarray, period, t0, k, a, b, u1, u2, samples: int = 1, exposure: float = 0.0) -> np.ndarray:
+    """Flux of a planet in front of a disc that darkens quadratically; parameters may be columns, one row each.
 
+    With ``samples`` over 1 it is the mean over that many instants of an exposure.
+    """
+    if samples > 1 and exposure > 0:
+        shifts = (np.arange(samples) + 0.5) / samples - 0.5
+        return sum(transit_flux(t + x * exposure, period, t0, k, a, b, u1, u2) for x in shifts) / samples
+    angle = 2 * np.pi * (((t - t0) / period + 0.5) % 1.0 - 0.5)
+    tilt = np.clip(b / a, 0, 1)
+    z = a * np.sqrt(np.sin(angle) ** 2 + (np.cos(angle) * tilt) ** 2)
+    mu = 1 - np.sqrt(np.maximum(1 - np.minimum(z * z, 1.0), 0.0))
+    dark = (1 - u1 * mu - u2 * mu * mu) / (1 - u1 / 3 - u2 / 6)
+    return np.where(np.cos(angle) > 0, 1 - occulted(z, k) * dark, 1.0)
+
+
+def a_of_duration(period: float, duration: float, k: float, b: float) -> float:
+    s = np.sin(np.pi * duration / period)
+    return float(np.sqrt(max((1 + k) ** 2 - b * b, 0.0)) / s) if s > 0 else float("nan")
+
+
+def correlation_time(chain: np.ndarray, window: float = 5.0) -> np.ndarray:
+    """Integrated autocorrelation time of each parameter of (steps, walkers, parameters), by a window that grows with it."""
+    steps = len(chain)
+    n = 1 << (2 * steps - 1).bit_length()
+    y = chain - chain.mean(axis=0)
+    a = np.fft.irfft(np.abs(np.fft.rfft(y, n, axis=0)) ** 2, n, axis=0)[:steps]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = np.nanmean(a / a[0], axis=1)
+    total = 2 * np.cumsum(a, axis=0) - 1
+    out = np.empty(a.shape[1])
+    for k in range(a.shape[1]):
+        good = np.flatnonzero(np.arange(steps) >= window * total[:, k])
+        out[k] = total[good[0] if len(good) else -1, k]
+    return out
+
+
+def sample(log_density: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int, seed: int) -> tuple[np.ndarray, float]:
+    """Affine-invariant stretch moves of two halves of walkers in turn, from ``start`` (walkers, parameters).
 
-def sample(log_density: Callable[[np.ndarray], float], start: np.ndarray, spread: np.ndarray, walkers: int = 16, steps: int = 300, seed: int = 42) -> np.ndarray:
-    """Affine-invariant stretch moves of two halves of walkers in turn; the second half of the steps."""
+    Returns the samples after three correlation times, thinned by half of the
+    least one, and the share of moves taken.  ``log_density`` takes rows.
+    """
     rng = np.random.default_rng(seed)
-    x = start + spread * rng.normal(size=(walkers, len(start)))
-    logp = np.array([log_density(p) for p in x])
-    out = []
+    x = start.copy()
+    walkers, dims = x.shape
+    logp = log_density(x)
+    chain, taken = np.empty((steps, walkers, dims)), 0
     for step in range(steps):
         for half in (0, 1):
             mine, other = np.arange(half, walkers, 2), np.arange(1 - half, walkers, 2)
             z = (1 + rng.random(len(mine))) ** 2 / 2
             mate = x[rng.choice(other, len(mine))]
             trial = mate + z[:, None] * (x[mine] - mate)
-            new = np.array([log_density(p) for p in trial])
+            new = log_density(trial)
             with np.errstate(invalid="ignore"):  # a walker outside the priors stays until it moves inside
-                take = (np.log(rng.random(len(mine))) < (len(start) - 1) * np.log(z) + new - logp[mine]) | (np.isfinite(new) & ~np.isfinite(logp[mine]))
+                take = (np.log(rng.random(len(mine))) < (dims - 1) * np.log(z) + new - logp[mine]) | (np.isfinite(new) & ~np.isfinite(logp[mine]))
             x[mine[take]], logp[mine[take]] = trial[take], new[take]
-        if step >= steps // 2:
-            out.append(x.copy())
-    return np.concatenate(out)
+            taken += int(take.sum())
+        chain[step] = x
+    tau = correlation_time(chain)
+    burn = int(np.clip(np.nanmax(tau) * 3 if np.isfinite(tau).all() else steps // 3, 1, max(1, steps - 2)))
+    thin = max(1, int(np.nanmin(tau) * 0.5)) if np.isfinite(tau).all() else 1
+    kept = chain[burn::thin].reshape(-1, dims)
+    return (kept if len(kept) >= 8 else chain[steps // 2 :].reshape(-1, dims)), taken / (steps * walkers)
 
 
-def fit_posterior(t: np.ndarray, f: np.ndarray, period: float, t0: float, duration: float, seed: int = 42) -> dict[str, float]:
-    """Percentiles 16, 50 and 84 of depth and duration under uniform priors around the least-squares dip."""
-    best = fit_trapezoid(t, f, period, t0, duration)
-    near = lambda shift: (((t - t0 - shift) / period + 0.5) % 1.0 - 0.5) * period
-    sigma = robust(f - trapezoid(near(best["t0"] - t0), best["depth"], best["duration"], best["ingress"])) or 1e-9
+#: Limb darkening that fits start from.
+LIMB = (0.4, 0.3)
+PARAMETERS = ("period", "t0", "depth", "duration", "rp_rs", "a_rs", "b", "inclination", "u1", "u2")
+FIT = ", ".join(f"{p} double, {p}_err_lo double, {p}_err_hi double" for p in PARAMETERS) + ", bic_transit double, bic_flat double, delta_bic double, snr double, v_shape_metric double, trapezoid_chi2 double, acceptance double, n_samples long, fit_method string, warning string"
+
+
+def triples(values: dict[str, tuple[float, float, float]]) -> dict[str, float]:
+    return {name: v for p, x in values.items() for name, v in zip((p, f"{p}_err_lo", f"{p}_err_hi"), x, strict=True)}
 
-    def density(x: np.ndarray) -> float:
-        if not (abs(x[0]) < duration and 0 < x[1] < 1 and 0.1 * duration < x[2] < min(4 * duration, period) and 0 < x[3] <= 0.5):
-            return -np.inf
-        return -0.5 * float((((f - trapezoid(near(x[0]), *x[1:])) / sigma) ** 2).sum())
 
-    start = np.array([best["t0"] - t0, max(best["depth"], 1e-6), best["duration"], min(max(best["ingress"], 0.02), 0.48)])
-    s = sample(density, start, np.array([0.02 * duration, 0.05 * start[1], 0.02 * duration, 0.02]), seed=seed)
-    q = np.percentile(s, [16, 50, 84], axis=0)
-    return {"depth": q[1, 1], "depth_err_lo": q[1, 1] - q[0, 1], "depth_err_hi": q[2, 1] - q[1, 1], "duration": q[1, 2], "duration_err_lo": q[1, 2] - q[0, 2], "duration_err_hi": q[2, 2] - q[1, 2], "rp_rs": float(np.sqrt(q[1, 1])), "delta_bic": best["delta_bic"]}
+def fit_snr(f: np.ndarray, error: np.ndarray, model: np.ndarray, depth: float) -> float:
+    """Depth over the median error, by the points where the model dips by over a tenth of it."""
+    inside = int((model < 1 - 0.1 * depth).sum())
+    if not np.isfinite(depth) or depth <= 0 or not inside:
+        return float("nan")
+    sigma = float(np.nanmedian(error))
+    return depth / (sigma if np.isfinite(sigma) and sigma > 0 else robust(f) or 1e-3) * float(np.sqrt(inside))
+
+
+def seed_only(period: float, t0: float, duration: float, depth: float, snr: float, warning: str) -> dict[str, object]:
+    """The detection itself as a fit, without errors."""
+    none = float("nan")
+    k = float(np.sqrt(depth)) if np.isfinite(depth) and depth > 0 else none
+    known = {"period": period, "t0": t0, "depth": depth, "duration": duration, "rp_rs": k}
+    return triples({p: (known.get(p, none), none, none) for p in PARAMETERS}) | {"bic_transit": none, "bic_flat": none, "delta_bic": none, "snr": snr, "v_shape_metric": none, "trapezoid_chi2": none, "acceptance": none, "n_samples": 0, "fit_method": "seed_only", "warning": warning}
+
+
+def fit_transit(t: np.ndarray, f: np.ndarray, period: float, t0: float, duration: float, depth: float | None = None, snr: float = float("nan"), error: np.ndarray | None = None, posterior: bool = True, steps: int = 1500, walkers: int = 32, seed: int = 42) -> dict[str, object]:
+    """Ten parameters with errors: a least-squares trapezoid, then, if ``posterior``, samples of the transit itself.
+
+    The posterior is over period, mid-transit, radius ratio, scaled distance,
+    impact and limb darkening (as q1, q2), under uniform priors around the
+    trapezoid.  A detection without period, or under 8 points, comes back as it is.
+    """
+    none = float("nan")
+    if not (np.isfinite(period) and period > 0):
+        return seed_only(period, t0, duration, depth or none, snr, "no period")
+    if len(t) < 8:
+        return seed_only(period, t0, duration, depth or none, snr, "under 8 points")
+    scatter = robust(f) or 1e-3
+    err = np.full(len(f), scatter) if error is None else np.where(np.isfinite(error) & (error > 0), error, np.nanmedian(error) if np.isfinite(error).any() else scatter)
+    trap = fit_trapezoid(t, f, period, t0 if np.isfinite(t0) else float(t[0]), duration, depth)
+    height, width, at = float(np.clip(trap["depth"], 1e-6, 0.95)), trap["duration"], trap["t0"]
+    k, b = float(np.sqrt(height)), 0.3
+    a = a_of_duration(period, width, k, b)
+    a = float(np.clip(a, 1.5, 49.0)) if np.isfinite(a) and a > 1.5 else 10.0
+    model = trapezoid((((t - at) / period + 0.5) % 1.0 - 0.5) * period, height, width, trap["ingress"])
+    chi2 = lambda m: float((((f - m) / err) ** 2).sum())
+    flat, own, n = chi2(np.ones(len(f))), chi2(model), max(len(f), 1)
+    out = {"bic_transit": 4 * np.log(n) + own, "bic_flat": flat, "snr": fit_snr(f, err, model, height), "v_shape_metric": trap["v_shape_metric"], "trapezoid_chi2": own, "acceptance": none, "n_samples": 0, "fit_method": "trapezoid", "warning": None}
+    values = {"period": (period, none, none), "t0": (at, trap["t0_err"], trap["t0_err"]), "depth": (height, trap["depth_err"], trap["depth_err"]), "duration": (width, trap["duration_err"], trap["duration_err"]), "rp_rs": (k, 0.5 * trap["depth_err"] / max(k, 1e-6), 0.5 * trap["depth_err"] / max(k, 1e-6)), "a_rs": (a, none, none), "b": (b, none, none), "inclination": (float(np.degrees(np.arccos(min(b / a, 1.0)))), none, none), "u1": (LIMB[0], none, none), "u2": (LIMB[1], none, none)}
+    if posterior:
+        near = max(2 * width, 0.005 * period) if width > 0 else 0.02 * period
+        k0 = float(np.clip(k, 1e-3, 0.49))
+        low = np.array([0.98 * period, at - near, max(1e-3, 0.2 * k0), max(1.5, 0.3 * a), 0.0, 0.0, 0.0])
+        high = np.array([1.02 * period, at + near, min(0.5, 5 * k0), min(50.0, 3 * a), 1.0, 1.0, 1.0])
+        q1, q2 = sum(LIMB) ** 2, LIMB[0] / (2 * sum(LIMB))
+
+        def density(x: np.ndarray) -> np.ndarray:
+            good = ((x[:, [0, 1, 2, 3, 5, 6]] > low[[0, 1, 2, 3, 5, 6]]) & (x[:, [0, 1, 2, 3, 5, 6]] < high[[0, 1, 2, 3, 5, 6]])).all(axis=1) & (x[:, 4] >= 0) & (x[:, 4] < 1 + x[:, 2])
+            logp = np.full(len(x), -np.inf)
+            if good.any():
+                y = x[good].T[:, :, None]
+                m = transit_flux(t, y[0], y[1], y[2], y[3], y[4], 2 * np.sqrt(y[5]) * y[6], np.sqrt(y[5]) * (1 - 2 * y[6]))
+                logp[good] = -0.5 * (((f - m) / err) ** 2).sum(axis=1)
+            return logp
+
+        spread_of = np.array([0.002 * period, 0.1 * near, 0.01, 0.5, 0.05, 0.05, 0.05])
+        walkers = max(walkers, 14)
+        start = np.clip(np.array([period, at, k0, a, b, q1, q2]) + spread_of * np.random.default_rng(seed).normal(size=(walkers, 7)), low + 1e-6, high - 1e-6)
+        s, taken = sample(density, start, steps, seed)
+        inc = np.degrees(np.arccos(np.clip(s[:, 4] / s[:, 3], 0, 1)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            wide = s[:, 0] / np.pi * np.arcsin(np.clip(np.sqrt(np.maximum((1 + s[:, 2]) ** 2 - s[:, 4] ** 2, 0)) / (s[:, 3] * np.sin(np.radians(inc))), -1, 1))
+        drawn = {"period": s[:, 0], "t0": s[:, 1], "depth": s[:, 2] ** 2, "duration": wide, "rp_rs": s[:, 2], "a_rs": s[:, 3], "b": s[:, 4], "inclination": inc, "u1": 2 * np.sqrt(s[:, 5]) * s[:, 6], "u2": np.sqrt(s[:, 5]) * (1 - 2 * s[:, 6])}
+        values = {}
+        for p, v in drawn.items():
+            lo, mid, hi = np.percentile(v[np.isfinite(v)], (16, 50, 84)) if np.isfinite(v).any() else (none, none, none)
+            values[p] = (float(mid), float(mid - lo), float(hi - mid))
+        best = [values[p][0] for p in ("period", "t0", "rp_rs", "a_rs", "b", "u1", "u2")]
+        model = transit_flux(t, *best)
+        out |= {"bic_transit": 7 * np.log(n) + chi2(model), "snr": fit_snr(f, err, model, values["depth"][0]), "acceptance": taken, "n_samples": len(s), "fit_method": "posterior"}
+    out["snr"] = out["snr"] if np.isfinite(out["snr"]) else snr
+    return triples(values) | out | {"delta_bic": flat - out["bic_transit"]}
+
+
+def model_grid(fit: dict[str, float], points: int = 1000) -> dict[str, list[float]]:
+    """The fitted transit over one period around its middle, for a panel."""
+    if not (np.isfinite(fit["period"]) and fit["period"] > 0):
+        return {"time": [], "flux": []}
+    value = lambda n, default: fit[n] if fit.get(n) is not None and np.isfinite(fit[n]) else default
+    x = fit["t0"] + np.linspace(-0.5, 0.5, points) * fit["period"]
+    flux = transit_flux(x, fit["period"], fit["t0"], value("rp_rs", 0.1), value("a_rs", 10.0), value("b", 0.3), value("u1", LIMB[0]), value("u2", LIMB[1]))
+    return {"time": x.tolist(), "flux": flux.tolist()}
 
 
 def detrended(lc: DataFrame, method: str, window: float = 3.0) -> DataFrame:
@@ -371,4 +619,4 @@ def detrended(lc: DataFrame, method: str, window: float = 3.0) -> DataFrame:
         t, flat, trend = detrend(pdf["time"].to_numpy(float), f / max(np.median(f), 1e-9), method, window, tolerance=2.0)
         return pd.DataFrame({"tic_id": pdf["tic_id"].iloc[0], "time": t, "flux": flat, "trend": trend})
 
-    return lc.select("tic_id", "time", "f").groupBy("tic_id").applyInPandas(run, "tic_id long, time double, flux double, trend double")
+    return dealt(lc.select("tic_id", "time", "f")).groupBy("tic_id").applyInPandas(run, "tic_id long, time double, flux double, trend double")

@@ -25,10 +25,10 @@ def transit_snr(lc: DataFrame) -> DataFrame:
     x = fold.folded(lc)
     out = F.when(F.abs("dt") > F.col("duration") / 2, F.col("f"))
     x = x.withColumn("om", F.median(out).over(clean.star()))
-    s = x.groupBy("tic_id").agg((F.median(F.when(F.abs("dt") > F.col("duration") / 2, F.abs(F.col("f") - F.col("om")))) * X.MAD_SCALE).alias("sigma"), F.count(F.lit(1)).alias("n"), F.max("duration").alias("duration"))
+    s = x.groupBy("tic_id").agg((F.median(F.when(F.abs("dt") > F.col("duration") / 2, F.abs(F.col("f") - F.col("om")))) * X.MAD_SCALE).alias("sigma"), F.count(F.lit(1)).alias("n"), F.max("duration").alias("duration"), F.max("period").alias("period"))
     j = s.join(fold.folded_depth(lc), "tic_id").join(fold.transit_counts(lc), "tic_id").join(clean.cadence(lc), "tic_id")
     points = F.greatest(F.col("duration") / (F.col("cadence_us") / 86400000000.0) * F.col("n_even"), F.lit(1.0))
-    return j.select("tic_id", F.when((F.col("n") >= 5) & (F.col("sigma") > 0), F.col("depth") / (F.col("sigma") / F.sqrt(points))).alias("snr"))
+    return j.select("tic_id", "period", "duration", F.when((F.col("n") >= 5) & (F.col("sigma") > 0), F.col("depth") / (F.col("sigma") / F.sqrt(points))).alias("snr"))
 
 
 def multiple_event(depth: Column, cdpp_ppm: Column, n: Column) -> Column:
@@ -58,10 +58,9 @@ def metrics(lc: DataFrame, stars: DataFrame) -> DataFrame:
     rel = lambda n: c(n) / c("med")
     depth = rel("all_depth")
     sigma = F.abs(rel("odd_depth") - rel("even_depth")) / (err * F.sqrt(F.try_divide(F.lit(1.0), c("odd_in")) + F.try_divide(F.lit(1.0), c("even_in"))))
-    period = F.lit(1.0) + F.lit(0.5) * (c("tic_id") % 7)
     radius = F.when(depth > 0, F.sqrt(depth) * c("radius") * X.RSUN_RJUP)
     k = F.when(depth > 0, F.sqrt(F.least(depth, F.lit(1.0))))
-    ratio = X.density_of(period, X.a_of_duration(period, F.lit(0.3), k, F.lit(0.3))) / (c("mass") / (c("radius") * c("radius") * c("radius")) * X.RHO_SUN)
+    ratio = X.density_of(c("period"), X.a_of_duration(c("period"), c("duration"), k, F.lit(0.3))) / (c("mass") / (c("radius") * c("radius") * c("radius")) * X.RHO_SUN)
     second = rel("secondary_depth")
     return j.select(
         "tic_id", "crowdsap", "radius", "mass", "tmag", rounded(depth).alias("depth"), rounded(rel("odd_depth")).alias("odd_depth"), rounded(rel("even_depth")).alias("even_depth"), rounded(sigma).alias("odd_even_depth_sigma"),

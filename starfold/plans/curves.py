@@ -65,7 +65,8 @@ def lc_outlier_mask(spark, sf):
 @query(_W + """, w AS (SELECT tic_id, time, f, min(time) OVER (PARTITION BY tic_id) AS lo, max(time) OVER (PARTITION BY tic_id) AS hi FROM lc),
 b AS (SELECT tic_id, f, CASE WHEN hi > lo THEN least(floor((time - lo) / ((hi - lo) / 20)), 19)::INT ELSE 0 END AS bin FROM w),
 g AS (SELECT tic_id, bin, count(*) AS n, sum(f)::BIGINT AS s, sum(f * f)::BIGINT AS ss FROM b GROUP BY ALL)
-SELECT tic_id, bin, n, s / n AS mean, sqrt(greatest(ss / n - (s / n) * (s / n), 0)) / sqrt(n::DOUBLE) AS err FROM g""")
+, r AS (SELECT DISTINCT tic_id, unnest(range(0, 20))::INT AS bin FROM lc)
+SELECT tic_id, bin, coalesce(n, 0) AS n, s / n AS mean, sqrt(greatest(ss / n - (s / n) * (s / n), 0)) / sqrt(n::DOUBLE) AS err FROM r LEFT JOIN g USING (tic_id, bin)""")
 def lc_time_bin(spark, sf):
     return clean.time_binned(light_curves(spark, sf))
 
@@ -181,9 +182,9 @@ def noise_features(spark, sf):
     return fold.noise(light_curves(spark, sf))
 
 
-SECOND_SQL = """, sx AS (SELECT *, median(f) OVER (PARTITION BY tic_id) AS med, duration / period / 2 AS h FROM fo), sg AS (SELECT tic_id, f, phase, med, h, unnest(range(-10, 11)) AS g FROM sx),
-sw AS (SELECT *, phase - g / 20.0::DOUBLE + 0.5 AS q FROM sg), sd AS (SELECT tic_id, g, max(med) - sum(f)::BIGINT / count(*) AS depth, count(*) AS n FROM sw WHERE abs(g / 20.0::DOUBLE) >= h * 2 AND abs(q - floor(q) - 0.5) <= h GROUP BY tic_id, g HAVING count(*) >= 3),
-sec AS (SELECT tic_id, depth AS secondary_depth, g / 20.0::DOUBLE AS secondary_phase, n FROM (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY depth DESC, g) AS rn FROM sd) WHERE rn = 1)"""
+SECOND_SQL = """, sx AS (SELECT *, median(f) OVER (PARTITION BY tic_id) AS med, duration / period / 2 AS h FROM fo), sg AS (SELECT tic_id, f, phase, med, h, unnest(range(-50, 51)) AS g FROM sx),
+sw AS (SELECT *, phase - g / 100.0::DOUBLE + 0.5 AS q FROM sg), sd AS (SELECT tic_id, g, max(med) - sum(f)::BIGINT / count(*) AS depth, count(*) AS n FROM sw WHERE abs(g / 100.0::DOUBLE) >= h * 2 AND abs(q - floor(q) - 0.5) <= h GROUP BY tic_id, g HAVING count(*) >= 3),
+sec AS (SELECT tic_id, depth AS secondary_depth, g / 100.0::DOUBLE AS secondary_phase, n FROM (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY depth DESC, g) AS rn FROM sd) WHERE rn = 1)"""
 
 
 @query(FOLD_SQL + SECOND_SQL + " SELECT * FROM sec")
@@ -191,7 +192,7 @@ def secondary_scan(spark, sf):
     return fold.secondary_scan(light_curves(spark, sf))
 
 
-@query(FOLD_SQL + """, r AS (SELECT tic_id, f, least(floor((phase + 0.5) * 12), 11)::INT AS bin, cycle - min(cycle) OVER (PARTITION BY tic_id) AS row, max(cycle) OVER (PARTITION BY tic_id) - min(cycle) OVER (PARTITION BY tic_id) + 1 AS rows_ FROM fo)
+@query(FOLD_SQL + """, r AS (SELECT tic_id, f, least(floor((phase + 0.5) * 60), 59)::INT AS bin, cycle - min(cycle) OVER (PARTITION BY tic_id) AS row, max(cycle) OVER (PARTITION BY tic_id) - min(cycle) OVER (PARTITION BY tic_id) + 1 AS rows_ FROM fo)
 SELECT tic_id, row, bin, sum(f)::BIGINT / count(*) AS mean FROM r WHERE rows_ BETWEEN 2 AND 200 GROUP BY tic_id, row, bin""")
 def river_grid(spark, sf):
     return fold.river(light_curves(spark, sf))

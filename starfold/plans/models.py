@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starfold.config import Search
-from starfold.operators import catalog, classify, kernels, learn, vetting
+from starfold.operators import kernels, learn
+from starfold.plans import pipeline
 from starfold.plans.stars import FEATURE_NAMES, _flags, features
 from starfold.sources.tables import light_curves, stars, table
 from starfold.streaming.sessions import star_sessions
@@ -34,6 +35,31 @@ for _name in ("biweight", "median", "savgol", "spline"):
 _PERIODS = np.array([1.0 + 0.5 * i for i in range(8)])
 
 
+@query()
+def bls_search(spark, sf):
+    """The box search alone over the full grid, without its spectrum."""
+    return _search(spark, sf, "bls")
+
+
+@query()
+def tls_search(spark, sf):
+    """The box search in the place of a library that is absent, marked so."""
+    return _search(spark, sf, "tls")
+
+
+@query()
+def lomb_scargle_search(spark, sf):
+    return _search(spark, sf, "ls")
+
+
+def _search(spark, sf, method: str):
+    def work(t, f, e):
+        found = kernels.search(t, f, method, Search.period_min, Search.period_max)
+        return {k: v for k, v in found.items() if k not in ("periods", "power", "peak")} | {"n_periods": len(found["periods"])}
+
+    return kernels.per_star(light_curves(spark, sf), work, "period double, t0 double, duration double, depth double, sde double, snr double, n_periods long, method string, tls_fallback string")
+
+
 @query()
 def bls_kernel(spark, sf):
     """The same periods as the relational box search, by the kernel: 40 bins, three widths."""
@@ -61,10 +87,12 @@ def cdpp(spark, sf):
 
 @query()
 def bootstrap_fap(spark, sf):
-    return kernels.per_star(light_curves(spark, sf), lambda t, f, e: {"fap": kernels.false_alarm(t, f, _PERIODS, 20, e["tic_id"])}, "fap double")
+    """200 shuffles of each curve over 60 periods, uniform in frequency."""
+    grid = 1 / np.linspace(1 / Search.period_max, 1 / Search.period_min, 60)
+    return kernels.per_star(light_curves(spark, sf), lambda t, f, e: {"fap": kernels.false_alarm(t, f, grid, 200, e["tic_id"])}, "fap double")
 
 
-_FIT = "t0 double, depth double, duration double, ingress double, depth_err double, duration_err double, bic_transit double, bic_flat double, delta_bic double, v_shape_metric double"
+_FIT = "t0 double, depth double, duration double, ingress double, t0_err double, depth_err double, duration_err double, bic_transit double, bic_flat double, delta_bic double, v_shape_metric double"
 
 
 def _fits(lc):
@@ -83,10 +111,20 @@ def v_shape_fit(spark, sf):
 
 @query()
 def mcmc_fit(spark, sf):
+    """Ten parameters with errors from 32 walkers of 1,500 steps."""
+    def work(t, f, e):
+        return kernels.fit_transit(t, f, e["period"], e["t0"], e["duration"], seed=42 + e["tic_id"])
+
+    return kernels.per_star(light_curves(spark, sf), work, kernels.FIT)
+
+
+@query()
+def fit_model_grid(spark, sf):
+    """The least-squares fit as a curve of 200 phases."""
     def work(t, f, e):
-        return kernels.fit_posterior(t, f, e["period"], e["t0"], e["duration"], 42 + e["tic_id"])
+        return kernels.model_grid(kernels.fit_transit(t, f, e["period"], e["t0"], e["duration"], posterior=False), 200)
 
-    return kernels.per_star(light_curves(spark, sf), work, "depth double, depth_err_lo double, depth_err_hi double, duration double, duration_err_lo double, duration_err_hi double, rp_rs double, delta_bic double")
+    return kernels.per_star(light_curves(spark, sf), work, "time double, flux double")
 
 
 @query()
@@ -101,19 +139,8 @@ def ml_predict(spark, sf):
 
 @query()
 def pipeline_catalog(spark, sf):
-    """Search, vetting, classes, gated fit, and one catalog row per star."""
-    lc = light_curves(spark, sf)
-    found = two_stage_search(spark, sf).select("tic_id", F.col("period").alias("found"), F.col("t0").alias("t0_found"), "sde", F.col("snr").alias("snr_found"))
-    flagged = _flags(spark, sf).join(found, "tic_id", "left")
-    first = classify.labelled(classify.veto(classify.softmax(classify.rule_scores(flagged)))).cache()
-    worth = classify.fit_gate(first).filter("fits").select("tic_id")
-    fits = _fits(lc.join(worth, "tic_id", "left_semi")).select("tic_id", F.col("depth").alias("depth_fit"), "depth_err", "delta_bic")
-    rows = first.join(fits, "tic_id", "left")
-    depth = F.coalesce("depth_fit", "depth")
-    return catalog.conform(rows.select(
-        "tic_id", F.lit(1).alias("sector"), F.col("found").alias("period"), F.col("t0_found").alias("t0"), F.lit(0.3).alias("duration"), depth.alias("depth"), F.col("depth_err").alias("depth_err_lo"), F.col("depth_err").alias("depth_err_hi"), (depth * 1e6).alias("depth_ppm"),
-        F.coalesce("transit_snr", "snr_found").alias("snr"), "sde", F.lit("bls+bls").alias("detection_method"), "class", "confidence", F.lit("rules").alias("classify_method"), *(f"prob_{c}" for c in classify.CLASSES), catalog.joined_flags(vetting.FLAGS).alias("flags"), "delta_bic", F.when(F.col("depth_fit").isNotNull(), "trapezoid").alias("fit_method"),
-    ))
+    """Search, vetting, classes, gated fit, and one catalog row per star, all under the ephemeris that the search finds."""
+    return pipeline.process(light_curves(spark, sf).select("tic_id", "time", F.col("f").cast("double").alias("f")), stars(spark, sf))
 
 
 @query()

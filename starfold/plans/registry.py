@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starfold.plans import curves, models, stars
+from starfold.plans import curves, models, panels, stars, training
 
-QUERIES = curves.QUERIES | stars.QUERIES | models.QUERIES
-ORACLE_SQL = curves.ORACLE_SQL | stars.ORACLE_SQL | models.ORACLE_SQL
+QUERIES = curves.QUERIES | stars.QUERIES | models.QUERIES | panels.QUERIES | training.QUERIES
+ORACLE_SQL = curves.ORACLE_SQL | stars.ORACLE_SQL | models.ORACLE_SQL | panels.ORACLE_SQL | training.ORACLE_SQL

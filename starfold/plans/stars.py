@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from starfold.functions import columns as X
 from starfold.operators import catalog, classify, clean, fold, vetting
 from starfold.plans.curves import COUNT_SQL, DEPTH_SQL, FOLD_SQL, FOLDED_SQL, SECOND_SQL
-from starfold.sources.tables import LC_SQL, STARS_SQL, light_curves, stars, table
+from starfold.sources.tables import LC_SQL, STARS_SQL, light_curves, saved, stars, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -60,13 +61,15 @@ def _flags(spark, sf):
 
 @query(FOLD_SQL + SNR_SQL + " SELECT tic_id, round(snr, 6) AS snr FROM snr")
 def transit_snr(spark, sf):
-    return vetting.transit_snr(light_curves(spark, sf)).withColumn("snr", F.round("snr", 6))
+    return vetting.transit_snr(light_curves(spark, sf)).select("tic_id", F.round("snr", 6).alias("snr"))
 
 
-@query(DEPTH_SQL + COUNT_SQL + " SELECT tic_id, round(all_depth / (50.0::DOUBLE * 1e-6) * sqrt(greatest(n_floor, 1)::DOUBLE) / 1e9, 6) AS mes FROM dep JOIN tc USING (tic_id)")
+@query(DEPTH_SQL + COUNT_SQL + ", md AS (SELECT tic_id, median(f) AS med FROM lc GROUP BY tic_id) SELECT tic_id, round(all_depth / med / (50.0::DOUBLE * 1e-6) * sqrt(greatest(n_floor, 1)::DOUBLE), 6) AS mes FROM dep JOIN tc USING (tic_id) JOIN md USING (tic_id)")
 def mes(spark, sf):
+    """Of the depth relative to the star's median, at a noise of 50 millionths."""
     lc = light_curves(spark, sf)
-    return fold.window_depths(lc).join(fold.transit_counts(lc), "tic_id").select("tic_id", F.round(vetting.multiple_event(F.col("all_depth"), F.lit(50.0), F.col("n_floor")) / 1e9, 6).alias("mes"))
+    found = fold.window_depths(lc).join(fold.transit_counts(lc), "tic_id").join(lc.groupBy("tic_id").agg(F.median("f").alias("med")), "tic_id")
+    return found.select("tic_id", F.round(vetting.multiple_event(F.col("all_depth") / F.col("med"), F.lit(50.0), F.col("n_floor")), 6).alias("mes"))
 
 
 @query("WITH " + LC_SQL + SWEET_SQL + " SELECT tic_id, round(sweet_metric, 6) AS sweet_metric FROM swe")
@@ -206,8 +209,8 @@ def catalog_summary(spark, sf):
 
 @query(CATALOG_SQL + " SELECT tic_id, period, depth, snr, class, confidence FROM cat WHERE class IN ('transit', 'blend') AND confidence >= 0.5 AND snr BETWEEN -100 AND 100 AND contains(tic_id::VARCHAR, '1')")
 def dashboard_filter(spark, sf):
-    # a dashboard filters the same catalog again and again; kept rows also stop filters from unfolding the rules' expressions
-    c = _catalog(spark, sf).cache()
+    # a dashboard filters the same catalog again and again; saved rows also stop filters from unfolding the rules' expressions
+    c = saved(_catalog(spark, sf), "catalog")
     return c.filter(F.col("class").isin("transit", "blend") & (F.col("confidence") >= 0.5) & F.col("snr").between(-100, 100) & F.col("tic_id").cast("string").contains("1")).select("tic_id", "period", "depth", "snr", "class", "confidence")
 
 
@@ -349,3 +352,7 @@ def knn_l2(spark, sf):
 @query(_knn_sql(True))
 def knn_cosine(spark, sf):
     return _knn(spark, sf, True)
+
+
+# each step once: unfolded into one another, the long chains never end
+ORACLE_SQL.update({k: re.sub(r"(\w+(?:\([\w, ]+\))?) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", v) for k, v in ORACLE_SQL.items()})

@@ -6,6 +6,9 @@ integer, so sums agree whatever their order.  Attributes come from ``customer``.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again, for what is used more than once.
+
+    Only where that is unset, in local runs, a folder of this process is taken.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="starfold-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tic_id, us, time (days), f (integer flux), quality, kind, and the ephemeris period, t0, duration."""
     e = table(spark, sf_dir, "events")

@@ -9,8 +9,50 @@ from starfold.sources import synthetic as S
 
 def test_robust_scale_and_locations():
     assert K.robust(np.array([1, 2, 3, 4, 5.0])) == pytest.approx(1.4826)
-    assert abs(K.biweight(np.array([1.0] * 20 + [50.0])) - 1) < 1e-6
-    assert K.biweight(np.array([2.0, 4.0])) == 3.0
+    assert abs(K.biweights(np.array([[1.0] * 20 + [50.0]]), np.array([21]))[0] - 1) < 1e-6
+    assert K.biweights(np.array([[4.0, 2.0, np.inf]]), np.array([2]))[0] == 3.0
+    v = np.random.default_rng(4).normal(5, 1, 40)
+    c = np.median(v)
+    for _ in range(3):
+        u = (v - c) / (5 * np.median(np.abs(v - c)))
+        w = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
+        c += (w * (v - c)).sum() / w.sum()
+    assert K.biweights(np.concatenate((v, [np.inf] * 7))[None], np.array([40]))[0] == pytest.approx(c)
+
+
+def test_box_search_agrees_with_a_plain_one():
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.uniform(0, 20, 90))
+    f = 1 + rng.normal(0, 1e-3, 90)
+    err = rng.uniform(5e-4, 2e-3, 90)
+    periods, bins = np.array([0.6, 1.7, 4.0, 9.9]), 50
+    for error in (None, err):
+        got = K.box_search(t, f, periods, bins=bins, error=error)
+        w = np.ones(90) if error is None else 1 / error**2 / (1 / error**2).mean()
+        mean = (w * f).sum() / 90
+        for i, p in enumerate(periods):
+            place = np.minimum(((t - t[0]) / p % 1 * bins).astype(int), bins - 1)
+            best = (0.0, None)
+            for d in K.DURATIONS[K.DURATIONS / p < 0.5]:
+                for j in range(bins):
+                    inside = (place - j) % bins < max(round(d / p * bins), 1)
+                    r, s = w[inside].sum(), (w * (f - mean))[inside].sum()
+                    if 0 < r < 90 and s < 0 and s * s / (r * (90 - r) / 90) > best[0] + 1e-15:
+                        best = (s * s / (r * (90 - r) / 90), -s / r)
+            assert got["power"][i] == pytest.approx(best[0]) and got["depth"][i] == pytest.approx(best[1])
+
+
+def test_search_by_each_method():
+    t = np.arange(0, 20, 0.02)
+    f = np.where(np.abs(((t - 1) / 3.1 + 0.5) % 1 - 0.5) * 3.1 < 0.08, 0.99, 1.0) + np.random.default_rng(1).normal(0, 5e-4, len(t))
+    for method in ("bls", "TLS"):
+        r = K.search(t, f, method, 1.0, 8.0)
+        assert abs(r["period"] / 3.1 - 1) < 0.01 and r["snr"] > 7 and len(r["periods"]) == len(r["power"]) and r["method"] == "bls" and r["tls_fallback"] == ("bls" if method == "TLS" else None)
+    wave = 1 + 0.01 * np.sin(2 * np.pi * t / 2.5)
+    assert K.search(t, wave, "ls", 0.5)["period"] == pytest.approx(2.5, rel=0.02) and K.search(t, wave, "acf", 0.5)["period"] == pytest.approx(2.5, abs=0.1)
+    assert np.isnan(K.search(t[:5], f[:5], "bls")["period"])
+    with pytest.raises(ValueError):
+        K.search(t, f, "fft")
 
 
 @pytest.mark.parametrize("method", ["biweight", "median", "savgol", "spline"])
@@ -47,8 +89,24 @@ def test_fits_recover_depth_and_duration():
     f = K.trapezoid((((t - 1) / 3 + 0.5) % 1 - 0.5) * 3, 0.01, 0.2, 0.2) + rng.normal(0, 4e-4, len(t))
     x = K.fit_trapezoid(t, f, 3.0, 1.01, 0.22)
     assert x["depth"] == pytest.approx(0.01, rel=0.1) and x["duration"] == pytest.approx(0.2, rel=0.1) and x["delta_bic"] > 0
-    p = K.fit_posterior(t, f, 3.0, 1.01, 0.22)
-    assert p["depth"] == pytest.approx(0.01, rel=0.15) and p["depth_err_lo"] > 0
+    assert 0 < x["t0_err"] < 0.05
+
+
+def test_posterior_recovers_the_transit():
+    rng = np.random.default_rng(2)
+    t = np.arange(0, 20, 0.02)
+    a = K.a_of_duration(3.0, 0.2, 0.1, 0.2)
+    f = K.transit_flux(t, 3.0, 1.0, 0.1, a, 0.2, 0.4, 0.3) + rng.normal(0, 4e-4, len(t))
+    p = K.fit_transit(t, f, 3.0, 1.01, 0.22, 0.01, steps=300)
+    assert p["fit_method"] == "posterior" and p["rp_rs"] == pytest.approx(0.1, rel=0.1) and p["period"] == pytest.approx(3.0, abs=0.01) and p["delta_bic"] > 0 and p["snr"] > 7
+    assert all(p[f"{n}_err_lo"] >= 0 and p[f"{n}_err_hi"] >= 0 for n in K.PARAMETERS) and p["depth"] == pytest.approx(p["rp_rs"] ** 2, rel=0.05) and 60 < p["inclination"] <= 90
+    grid = K.model_grid(p)
+    assert len(grid["time"]) == 1000 and min(grid["flux"]) < 0.993 and max(grid["flux"]) == 1.0
+    fast = K.fit_transit(t, f, 3.0, 1.01, 0.22, 0.01, posterior=False)
+    assert fast["fit_method"] == "trapezoid" and np.isnan(fast["period_err_lo"]) and fast["depth_err_lo"] > 0
+    none = K.fit_transit(t[:5], f[:5], 3.0, 1.0, 0.2, 0.01, 9.0)
+    assert none["fit_method"] == "seed_only" and none["snr"] == 9.0 and none["rp_rs"] == pytest.approx(0.1) and K.fit_transit(t, f, float("nan"), 1.0, 0.2)["warning"] == "no period"
+    assert np.allclose(K.transit_flux(t, 3.0, 1.0, 0.1, a, 0.2, 0.4, 0.3, 7, 0.02), K.transit_flux(t, 3.0, 1.0, 0.1, a, 0.2, 0.4, 0.3), atol=3e-3)
 
 
 def test_autocorrelation_and_false_alarms():

@@ -20,6 +20,27 @@ def test_every_kind_gives_a_row_and_a_report(spark):
         assert got[i]["error"] is None and got[i]["class"] in classify.CLASSES and sum(got[i][f"prob_{c}"] for c in classify.CLASSES) == pytest.approx(1)
     assert got[1]["class"] == "eclipsing_binary" and got[2]["class"] == "blend"
     assert "## Classes" in pipeline.report(rows)
+    fits = [r for r in got.values() if r["fit_method"] == "trapezoid"]
+    assert fits and all(r["delta_bic"] is not None and r["depth_err_lo"] >= 0 and r["t0_err_hi"] is not None and r["period_err_lo"] is None for r in fits)
+    assert all(got[i]["fit_method"] == "" for i in got if got[i]["class"] == "blend" and got[i]["snr"] is None)
+    with_samples = config.merged(setting, {"fit": {"posterior": True, "steps": 60}})
+    one = pipeline.fitted(lc.filter("tic_id = 0"), rows.filter("tic_id = 0"), with_samples).first()
+    assert one["fit_method"] == "posterior" and one["fit_a_rs"] > 0 and one["fit_period_err_lo"] is not None
+
+
+def test_models_are_kept(spark, tmp_path):
+    from starfold.operators import learn
+
+    rows = spark.createDataFrame([(i, float(i % 2), float(i % 2) + 0.01 * i, None if i == 3 else 1.0) for i in range(40)], "tic_id long, y double, a double, b double")
+    names = ["a", "b"]
+    data = learn.assembled(rows, names, learn.medians(rows, names))
+    model = learn.forest(data, names, trees=5)
+    learn.save({"ml": model}, str(tmp_path / "m"))
+    with pytest.warns(UserWarning):
+        back = learn.load(str(tmp_path / "m"))
+    assert list(back) == ["ml"] and back["ml"].transform(data).filter("prediction <> y").count() == 0
+    few = learn.calibrated(learn.out_of_fold(rows.limit(9), names, "tic_id", trees=3), "y", 2).collect()
+    assert len(few) == 9 and all(r["cal_0"] + r["cal_1"] == pytest.approx(1) for r in few)
 
 
 def test_config(tmp_path):

@@ -9,15 +9,20 @@ def test_against_sql(spark, name):
     same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"ml_predict"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"ml_predict", "forest_importances"}))
 def test_rows(spark, name):
     df = registry.QUERIES[name](spark, DIR)
     rows = df.collect()
-    assert rows and len({r["tic_id"] for r in rows}) > 1
+    assert rows and len({r["tic_id"] for r in rows}) > 1 and all(r["class"] for r in rows if name == "ensemble_classes")
     if "error" in df.columns:
         assert all(r["error"] is None for r in rows)
 
 
+def test_importances(spark):
+    rows = registry.QUERIES["forest_importances"](spark, DIR).collect()
+    assert len(rows) == 38 and sum(r["importance"] for r in rows) == pytest.approx(1)
+
+
 def test_box_search_kernel_agrees_with_relations(spark):
     from pyspark.sql import functions as F
 

@@ -15,12 +15,52 @@ def test_csv_aliases(spark, tmp_path):
         files.read_csv(spark, str(tmp_path / "b.csv"))
 
 
+def test_csv_files_of_different_headers_and_without_ids(spark, tmp_path):
+    (tmp_path / "a12.csv").write_text("time,flux\n1.0,10\n2.0,11\n")
+    (tmp_path / "b.csv").write_text("flux,time,flux_err,tic_id\n20,5.0,0.5,TIC 77\n")
+    (tmp_path / "c.csv").write_text("day,light\n1,2\n")
+    with pytest.warns(UserWarning):
+        rows = files.read_csv(spark, str(tmp_path)).orderBy("time").collect()
+    assert [(r["tic_id"], r["time"], r["flux"], r["flux_err"]) for r in rows] == [(12, 1.0, 10.0, None), (12, 2.0, 11.0, None), (77, 5.0, 20.0, 0.5)]
+    with pytest.raises(FileNotFoundError):
+        files.read_csv(spark, str(tmp_path / "none"))
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep/x.fit").write_bytes(fits_bytes())
+    with pytest.warns(UserWarning):
+        both = files.read_folder(spark, str(tmp_path))
+    assert {r["tic_id"] for r in both.collect()} == {12, 42, 77} and both.filter("tic_id = 42").first()["teff"] == 5700.0
+
+
+def test_labels_and_archive(spark, tmp_path):
+    (tmp_path / "toi.csv").write_text("# a comment\ntid,toi,tfopwg_disp\n5,100.01,PC\nx,1,FP\n")
+    rows = files.read_labels(spark, str(tmp_path / "toi.csv")).collect()
+    assert [(r["tid"], r["tfopwg_disp"], r["sectors"]) for r in rows] == [(5, "PC", None), (None, "FP", None)]
+    with pytest.warns(UserWarning):
+        none = files.read_labels(spark, str(tmp_path / "none.csv"), "kepler")
+    assert none.count() == 0 and "koi_period" in none.columns
+    with pytest.raises(files.DataUnavailable):
+        files.read_remote(spark, 1)
+
+
+def test_bundle_and_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.5, "transit"), (2, None, None)], "tic_id long, period double, class string")
+    panels = spark.createDataFrame([(1, "phase", 0.1, 5.0)], "tic_id long, panel string, x double, y double")
+    out = str(tmp_path / "run")
+    back = {r["tic_id"]: r for r in files.write_bundle(rows, panels, out).collect()}
+    assert back[1]["panel_path"] == f"{out}/panels" and back[2]["panel_path"] is None
+    assert [r["tic_id"] for r in files.read_manifest(spark, f"{out}/manifest").orderBy("tic_id").collect()] == ["1", "2"]
+    assert files.read_manifest(spark, str(tmp_path / "none")).count() == 0 and spark.read.text(f"{out}/sidecars").count() == 2
+    files.write_curves(spark.createDataFrame([(3, 2.0, 1.0), (3, 1.0, 0.5)], "tic_id long, time double, f double"), str(tmp_path / "lc"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "lc"))
+    assert got.count() == 2 and got.columns == ["time", "flux", "flux_err", "tic_id"]
+
+
 def card(k, v):
     return f"{k:<8}= {v:>20}".ljust(80)
 
 
 def fits_bytes():
-    head = "".join([card("SIMPLE", "T"), card("BITPIX", "8"), card("NAXIS", "0"), card("TICID", "42"), "END".ljust(80)]).ljust(2880)
+    head = "".join([card("SIMPLE", "T"), card("BITPIX", "8"), card("NAXIS", "0"), card("TICID", "42"), card("TEFF", "5700.0"), "END".ljust(80)]).ljust(2880)
     table = np.zeros(5, np.dtype([("TIME", ">f8"), ("PDCSAP_FLUX", ">f4"), ("QUALITY", ">i4")]))
     table["TIME"], table["PDCSAP_FLUX"], table["QUALITY"] = np.arange(5), 2.5, [0, 0, 32, 0, 0]
     cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", "8"), card("NAXIS", "2"), card("NAXIS1", "16"), card("NAXIS2", "5"), card("PCOUNT", "0"), card("GCOUNT", "1"), card("TFIELDS", "3")]
