@@ -1,5 +1,9 @@
 """Quality rules: counting rules, then Jensen-Shannon distances of character-class
-and common-word histograms from references of the document's language."""
+and common-word histograms from references of the document's language.
+
+The word histogram is over common words alone, so that a text in another
+language stands far off; how many of a text's words are common is judged apart.
+"""
 
 from __future__ import annotations
 
@@ -39,8 +43,10 @@ _SORTED = _KEYS[_ORDER]
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: A reference of fewer words judges nothing.
 MIN_REFERENCE = 1000
-#: Largest distances, of 0 to 1, that are kept.
-MAX_CLASS, MAX_COMMON = 0.3, 0.7
+#: Largest distances, of 0 to 1, that are kept; the words' counts from so many common words on.
+MAX_CLASS, MAX_COMMON, MIN_COMMON = 0.3, 0.9, 20
+#: Least share of common words among all, in hundredths.
+MIN_SHARE = 3
 
 
 def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -63,6 +69,24 @@ def histograms(data: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.n
     return chars, common
 
 
+def repeats(data: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Words of each row in 3-word windows that the row has twice or more."""
+    starts, ends, woff = words
+    g, row = grams(hashes(data, starts, ends, False), 3), spread(np.diff(woff))
+    whole = row[: len(g)] == row[2:] if len(g) else np.zeros(0, bool)
+    _, back, often = np.unique(mix(g[whole] ^ mix(row[: len(g)][whole].astype(U64) + U64(1))), return_inverse=True, return_counts=True)
+    twice = np.zeros(len(row) + 2, bool)
+    at = np.flatnonzero(whole)[often[back] > 1]
+    for k in range(3):
+        twice[at + k] = True
+    return per_row(twice[: len(row)], woff)
+
+
+def failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
+    """Whether the base rules reject a row."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT * n_words)
+
+
 def base_counts(data: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
     starts, ends, woff = words
     inside = ANY[data]
@@ -75,17 +99,10 @@ def base_counts(data: np.ndarray, offs: np.ndarray, words: tuple[np.ndarray, np.
     keys = mix(hashes(data, lines[0], lines[1], False)[full] ^ mix(of.astype(U64) + U64(1)))
     new = np.unique(keys, return_index=True)[1]
     n = len(offs) - 1
-    g, row = grams(hashes(data, starts, ends, False), 3), spread(n_words)
-    whole = row[: len(g)] == row[2:] if len(g) else np.zeros(0, bool)
-    _, back, often = np.unique(mix(g[whole] ^ mix(row[: len(g)][whole].astype(U64) + U64(1))), return_inverse=True, return_counts=True)
-    twice = np.zeros(len(row) + 2, bool)
-    at = np.flatnonzero(whole)[often[back] > 1]
-    for k in range(3):
-        twice[at + k] = True
     return {
         "n_words": n_words, "word_chars": per_row(inside & ~_CONTINUES[data], offs),
         "n_symbols": per_row(_CLASS[data] == 4, offs), "n_dup_lines": np.bincount(of, minlength=n) - np.bincount(of[new], minlength=n),
-        "n_repeat_words": per_row(twice[: len(row)], woff),
+        "n_repeat_words": repeats(data, offs, words),
     }
 
 
@@ -106,7 +123,7 @@ def _langs(batch: pa.RecordBatch, lang: str) -> np.ndarray:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> np.ndarray:
-    """Summed histograms over all documents of each known language, and of all other languages together.
+    """Summed histograms over all documents of each known language that pass the base rules, and of all other languages together.
 
     That is a fixed small number of counts.  Each task sums its own rows first.
     """
@@ -115,8 +132,9 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> np.nd
         out = np.zeros((len(COMMON) + 1, CLASSES + len(WORDS) + 1), np.int64)
         for batch in batches:
             for part, data, offs in slices(batch, text):
-                both = np.hstack(histograms(data, offs, bounds(data, offs, ANY)))
-                np.add.at(out, _langs(part, lang), both)
+                words = bounds(data, offs, ANY)
+                good = ~failed(np.diff(words[2]), repeats(data, offs, words))
+                np.add.at(out, _langs(part, lang)[good], np.hstack(histograms(data, offs, words))[good])
         at = np.nonzero(out)
         yield pa.record_batch({"row": pa.array(at[0], pa.int32()), "col": pa.array(at[1], pa.int32()), "n": pa.array(out[at], pa.int64())})
 
@@ -127,7 +145,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> np.nd
     return out
 
 
-FIELDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "class_distance": "double", "common_distance": "double", "kept": "boolean"}
+FIELDS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "class_distance": "double", "common_distance": "double", "n_common": "long", "kept": "boolean"}
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", columns: list[str] | None = None, filtering: bool = False) -> DataFrame:
@@ -136,9 +154,11 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", columns: list
     columns: those of ``docs`` to carry, all by default; results replace columns
     of their names.  Null or empty texts have no words, so the base rules reject
     them.  A document is rejected by the method if a histogram's distance from
-    its language's reference is over the limit; other languages share a
-    character reference and have none of words.  Nothing is judged against a
-    reference of under ``MIN_REFERENCE`` words.  Repeated rows are judged alike.
+    its language's reference is over its limit, or if too small a share of its
+    words are common; other languages share a character reference and have none
+    of words.  Nothing is judged against a reference of under ``MIN_REFERENCE``
+    words, and word distances not of under ``MIN_COMMON`` common words.  Repeated
+    rows are judged alike, and very long texts as one.  Empty tables give none.
     """
     known = references(docs, text, lang)
     ready = known[:, CLASSES:].sum(axis=1) >= MIN_REFERENCE
@@ -154,10 +174,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", columns: list
                 out = base_counts(data, offs, words)
                 chars, common = histograms(data, offs, words)
                 of = _langs(part, lang)
-                out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT * out["n_words"])
+                out["base_failed"] = failed(out["n_words"], out["n_repeat_words"])
                 out["class_distance"] = np.where(ready[of], distance(chars, known[of, :CLASSES]), 0.0)
-                out["common_distance"] = np.where(ready[of] & (of < len(COMMON)), distance(common, known[of, CLASSES:]), 0.0)
-                out["kept"] = ~out["base_failed"] & (out["class_distance"] <= MAX_CLASS) & (out["common_distance"] <= MAX_COMMON)
+                own = common[:, :-1].sum(axis=1)
+                worded = ready[of] & (of < len(COMMON))
+                out["n_common"] = own
+                out["common_distance"] = np.where(worded & (own >= MIN_COMMON), distance(common[:, :-1], known[of, CLASSES:-1]), 0.0)
+                few = worded & (100 * own < MIN_SHARE * out["n_words"])
+                out["kept"] = ~out["base_failed"] & (out["class_distance"] <= MAX_CLASS) & (out["common_distance"] <= MAX_COMMON) & ~few
                 given = part.select(carried)
                 if filtering:
                     yield given.filter(pa.array(out["kept"]))
@@ -189,20 +213,21 @@ q_common AS (SELECT rid, list_transform(LIST, lambda w: len(list_filter(low, lam
     + "q_chars AS (SELECT rid, known, length(t)::DOUBLE AS nc, "
     + ", ".join(_class_sql(f"c{i}", p) for i, p in enumerate(("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[#*$%&|<>]", r"[!\x22\x27-\x29+-/:;=?@\x5B-\x60{{}}~]", r"[\x00-\x08\x0E-\x1F\x7F]", r"[^\x00-\x7F]")))
     + " FROM q_words),\n"
-    + "q_all AS (SELECT c.*, [c0, c1, c2, c3, c4, c5, c6, c7] AS cc, list_append(cw, nw - coalesce(list_sum(cw), 0)) AS cw, nw FROM q_chars c JOIN q_common USING (rid)),\n"
+    + "q_ok AS (SELECT rid FROM q_words LEFT JOIN q_twice USING (rid) WHERE len(ws) >= 50 AND 100 * coalesce(n_repeat_words, 0) <= 50 * len(ws)),\n"
+    + "q_all AS (SELECT c.*, [c0, c1, c2, c3, c4, c5, c6, c7] AS cc, cw, coalesce(list_sum(cw), 0) AS nk, nw FROM q_chars c JOIN q_common USING (rid)),\n"
     + "q_ref AS (SELECT known, ["
     + ", ".join(f"sum(c{i})" for i in range(CLASSES))
     + "] AS rc, sum(nc) AS rn, ["
-    + ", ".join(f"sum(cw[{i + 1}])" for i in range(len(WORDS) + 1))
-    + "] AS rw, sum(nw) AS rwn FROM q_all GROUP BY known),\n"
+    + ", ".join(f"sum(cw[{i + 1}])" for i in range(len(WORDS)))
+    + "] AS rw, sum(nk) AS rk, sum(nw) AS rwn FROM q_all SEMI JOIN q_ok USING (rid) GROUP BY known),\n"
     + "q_far AS (SELECT rid, CASE WHEN rwn >= 1000 AND nc > 0 THEN "
     + _DISTANCE_SQL.format(p="cc", n="nc", q="rc", m="rn")
-    + " ELSE 0 END AS dc, CASE WHEN rwn >= 1000 AND nw > 0 AND q_all.known <> '' THEN "
-    + _DISTANCE_SQL.format(p="cw", n="nw", q="rw", m="rwn")
-    + " ELSE 0 END AS dw FROM q_all JOIN q_ref USING (known)),\n"
-    + r"""judged AS (SELECT *, NOT base_failed AND dc <= 0.3 AND dw <= 0.7 AS kept FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+    + " ELSE 0 END AS dc, CASE WHEN rwn >= 1000 AND nk >= 20 AND rk > 0 AND q_all.known <> '' THEN "
+    + _DISTANCE_SQL.format(p="cw", n="nk", q="rw", m="rk")
+    + " ELSE 0 END AS dw, coalesce(rwn >= 1000 AND q_all.known <> '' AND 100 * nk < 3 * nw, false) AS few FROM q_all LEFT JOIN q_ref USING (known)),\n"
+    + r"""judged AS (SELECT *, NOT base_failed AND dc <= 0.3 AND dw <= 0.9 AND NOT few AS kept FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
   SELECT w.* EXCLUDE (t, ws, known), len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, dc, dw
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, dc, dw, few
   FROM q_words w LEFT JOIN q_twice USING (rid) LEFT JOIN q_lines USING (rid) JOIN q_far USING (rid))))
 """
 )

@@ -30,12 +30,27 @@ def test_quality_counts_of_odd_rows(spark):
 
 
 def test_divergence_rejects_symbol_soup_and_keeps_prose(spark):
-    clean = [(i, prose(i, 200).lower(), "en", "s", 1, "", "", "", "") for i in range(40)]
+    clean = [(i, with_common(prose(i, 200).lower(), "en", i), "en", "s", 1, "", "", "", "") for i in range(40)]
     soup = [(100, " ".join(f"{w}%%%" if k % 2 else f"{w}***" for k, w in enumerate(prose(5, 200).split())), "en", "s", 1, "", "", "", ""), (101, prose(6, 200).upper() + "!!", "en", "s", 1, "", "", "", "")]
     got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(clean + soup, SCHEMA)).collect()}
     assert all(got[i] for i in range(40)) and not got[100] and not got[101]
 
 
+def with_common(text, lang, seed):
+    """Every third word is a common one of the language."""
+    import random
+
+    r = random.Random(seed)
+    return " ".join(r.choice(quality.COMMON[lang]) if k % 3 == 0 else w for k, w in enumerate(text.split()))
+
+
+def test_divergence_rejects_other_languages_and_texts_without_common_words(spark):
+    rows = [(100 * n + i, with_common(prose(100 * n + i, 200).lower(), lang, i), lang, "s", 1, "", "", "", "") for n, lang in enumerate(("de", "en", "fr")) for i in range(30)]
+    wrong = [(1000, with_common(prose(1, 200).lower(), "en", 1), "de", "s", 1, "", "", "", ""), (1001, prose(2, 200).lower(), "fr", "s", 1, "", "", "", ""), (1002, with_common(prose(3, 200).lower(), "de", 3), "en", "s", 1, "", "", "", ""), (1003, prose(4, 200).lower(), "xx", "s", 1, "", "", "", "")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows + wrong, SCHEMA)).collect()}
+    assert all(got[r[0]] for r in rows) and not got[1000] and not got[1001] and not got[1002] and got[1003]
+
+
 def test_mix_reaches_targets_and_agrees_again(spark):
     rows = [(i, prose(i, 20 + i % 7), "en", ("a", "b", "c", None)[min(i % 9, 3)], 1, "", "", "", "") for i in range(900)]
     df = spark.createDataFrame(rows, SCHEMA)
