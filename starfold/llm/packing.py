@@ -182,7 +182,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
         enc = encoder(ranks)
         shard, held, keys, total = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
-            for part, data, offs in slices(batch, text, 1 << 22):
+            for part, data, offs in slices(batch, text, 1 << 20):
                 ids, at = token_ids(data, offs, enc)
                 n = np.diff(at) + 1
                 whole = np.full(int(n.sum()), end_id, "<u2")
