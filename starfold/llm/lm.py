@@ -32,10 +32,10 @@ SLOTS = (18, 19, 20)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in SLOTS])))
 #: Gates: how often a slot was seen, by powers of two.
 GATES = 10
-#: Bits after which a document's own weights are refined, and how strongly.
-BLOCK, RATE = 1024, 2e-4
-#: Bytes of training documents, picked by hash, that give the gates' weights a start, about; the last step is over all.
-GATE_BYTES = 1 << 24
+#: Weight of every gate before the step that fits them.
+START = 0.4
+#: A document's own weights are refined after its first 64 bits, then as often as its bits have doubled, then after each so many; and how strongly.
+FIRST, BLOCK, RATE = 64, 1024, 2e-4
 TABLE_BLOCKS = 64
 U32 = np.uint32
 
@@ -125,6 +125,12 @@ def squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def block_edges(n: int) -> np.ndarray:
+    """Bits of a document of n after which its weights are refined, from 0 on, the last at n or beyond."""
+    doubled = FIRST << np.arange((BLOCK // FIRST).bit_length())
+    return np.concatenate(([0], doubled, np.arange(2 * BLOCK, n + BLOCK, BLOCK)))
+
+
 @dataclass(frozen=True)
 class Mixer:
     """tables: for every slot of all predictors, its gated weight times its stretched probability."""
@@ -149,15 +155,17 @@ class Mixer:
         boff = np.concatenate(([0], np.cumsum(n_bits)))[soff]
         sign = 1 - 2 * bits.astype(np.float32)
         x = [v * sign for v in t]  # stretched probabilities of what did not happen
-        n_blocks = -(-np.diff(boff) // BLOCK)
+        lengths = np.diff(boff)
+        edges = block_edges(int(lengths.max(initial=0)))
+        n_blocks = np.searchsorted(edges, lengths)
         order = np.argsort(-n_blocks, kind="stable")
         falling = -n_blocks[order]
         own = np.ones((len(x), len(order)), np.float32)
         out = np.zeros(len(order))
         for k in range(int(n_blocks.max(initial=0))):
             docs = order[: np.searchsorted(falling, -k)]
-            starts = boff[docs] + k * BLOCK
-            sizes = np.minimum(boff[docs + 1] - starts, BLOCK)
+            starts = boff[docs] + edges[k]
+            sizes = np.minimum(boff[docs + 1] - starts, edges[k + 1] - edges[k])
             first = np.cumsum(sizes) - sizes
             at = np.repeat(starts - first, sizes)
             at += np.arange(len(at))
@@ -193,10 +201,9 @@ def _train_rows(ids: list, of: int, out: int) -> np.ndarray:
 
 
 def train(table: DataFrame, of: int, out: int) -> Mixer:
-    """Counts of all training bits in the tables, then the gates' weights with each bit's own count left out: steps on a sample, and the last over all."""
+    """Counts of all training bits in the tables, then the gates' weights by one step over all of them, each bit's own count left out."""
     spark = table.sparkSession
-    last, n_bytes = table.agg(F.coalesce(F.max("shard"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    parts, sample = last // (1 << 24) + 1, max(1, n_bytes // GATE_BYTES)
+    parts = table.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] // (1 << 24) + 1
 
     def per_task(work, size: int, n_blocks: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,20 +218,20 @@ def train(table: DataFrame, of: int, out: int) -> Mixer:
                             part = part[np.repeat(keep, np.diff(at))]
                             at = np.concatenate(([0], np.cumsum(np.diff(at)[keep])))
                         if len(at) > 1:
-                            work(total, part, at, row["ids"][lo:hi], keep)
+                            work(total, part, at)
             step = -(-size // n_blocks)
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()] * n_blocks, pa.int64()), "block": pa.array(range(n_blocks), pa.int32()), "v": pa.array([pressed(total[b * step : (b + 1) * step]) for b in range(n_blocks)], pa.binary())})
 
         rows = _summed(table.mapInArrow(run, "part long, block int, v binary"), max(parts, 1 << 18 if parts > 4096 else 4096)).orderBy("block").collect()
         return np.concatenate([opened(r["v"], np.int64) for r in rows]) if rows else np.zeros(size, np.int64)
 
-    def tally(total, part, at, ids, keep):
+    def tally(total, part, at):
         total += np.bincount(symbols(part, at)[0], minlength=257)
 
     code = huffman(per_task(tally, 257, 1))
     size = int(STARTS[-1])
 
-    def count(total, part, at, ids, keep):
+    def count(total, part, at):
         where, bits, _ = spots(symbols(part, at)[0], code)
         for k, x in enumerate(where):
             a, n = 2 * STARTS[k], 2 << SLOTS[k]
@@ -232,41 +239,36 @@ def train(table: DataFrame, of: int, out: int) -> Mixer:
 
     counts = per_task(count, 2 * size, TABLE_BLOCKS).reshape(size, 2)
     sent = spark.sparkContext.broadcast(np.minimum(counts, 1 << 30).astype(np.int32))
-    weights = np.full((len(SLOTS), GATES), 0.4)
+    weights = np.full((len(SLOTS), GATES), START)
     dims = weights.size
     unit = 1 << 16
-    for one_of in (sample, sample, sample, 1) if sample > 1 else (1, 1, 1):
-        now = weights.copy()
-
-        def slopes(total, part, at, ids, keep, now=now, one_of=one_of):
-            own = np.array([zlib.crc32(b"gate" + str(i).encode()) % one_of == 0 for i in ids], bool)[keep]
-            if not own.any():
-                return
-            data, offs = part[np.repeat(own, np.diff(at))], np.concatenate(([0], np.cumsum(np.diff(at)[own])))
-            where, bits, _ = spots(symbols(data, offs)[0], code)
-            z, xs, gs = 0.0, [], []
-            for k, x in enumerate(where):
-                n = sent.value[x + STARTS[k]].astype(np.float32)
-                n[np.arange(len(bits)), bits] -= 1
-                x, g = stretched(n[:, 0], n[:, 1]), gate(n.sum(axis=1))
-                xs.append(x)
-                gs.append(g)
-                z = z + now[k][g] * x
-            p = squash(z)
-            error, bend = bits - p, np.maximum(p * (1 - p), 1e-4)
-            grad = np.concatenate([np.bincount(g, error * x, minlength=GATES) for x, g in zip(xs, gs, strict=True)])
-            curve = np.zeros((dims, dims))
-            for i, (x, g) in enumerate(zip(xs, gs, strict=True)):
-                for j, (y, h) in enumerate(zip(xs, gs, strict=True)):
-                    if j >= i:
-                        c = np.bincount(g * GATES + h, bend * x * y, minlength=GATES * GATES).reshape(GATES, GATES)
-                        curve[i * GATES : (i + 1) * GATES, j * GATES : (j + 1) * GATES] = c
-                        curve[j * GATES : (j + 1) * GATES, i * GATES : (i + 1) * GATES] = c.T
-            total += np.rint(np.concatenate((grad, curve.reshape(-1))) * unit).astype(np.int64)
-
-        v = per_task(slopes, dims + dims * dims, 1) / unit
-        step = np.linalg.lstsq(v[dims:].reshape(dims, dims) + 10 * np.eye(dims), v[:dims], rcond=None)[0]
-        weights = np.clip(weights + step.reshape(weights.shape), 0, 1.5)
+
+    def slopes(total, part, at):
+        where, bits, _ = spots(symbols(part, at)[0], code)
+        z, xs, gs = 0.0, [], []
+        for k, x in enumerate(where):
+            n = sent.value[x + STARTS[k]]
+            hit = np.where(bits, n[:, 1], n[:, 0]).astype(np.float32) - 1
+            all_ = (n[:, 0] + n[:, 1]).astype(np.float32) - 1
+            x, g = np.log((hit + 0.2) / (all_ - hit + 0.2)), gate(all_)  # of what happened
+            xs.append(x)
+            gs.append(g)
+            z = z + np.float32(START) * x
+        p = squash(z)
+        error, bend = 1 - p, np.maximum(p * (1 - p), 1e-4)
+        grad = np.concatenate([np.bincount(g, error * x, minlength=GATES) for x, g in zip(xs, gs, strict=True)])
+        curve = np.zeros((dims, dims))
+        for i, (x, g) in enumerate(zip(xs, gs, strict=True)):
+            for j, (y, h) in enumerate(zip(xs, gs, strict=True)):
+                if j >= i:
+                    c = np.bincount(g * GATES + h, bend * x * y, minlength=GATES * GATES).reshape(GATES, GATES)
+                    curve[i * GATES : (i + 1) * GATES, j * GATES : (j + 1) * GATES] = c
+                    curve[j * GATES : (j + 1) * GATES, i * GATES : (i + 1) * GATES] = c.T
+        total += np.rint(np.concatenate((grad, curve.reshape(-1))) * unit).astype(np.int64)
+
+    v = per_task(slopes, dims + dims * dims, 1) / unit
+    step = np.linalg.lstsq(v[dims:].reshape(dims, dims) + 10 * np.eye(dims), v[:dims], rcond=None)[0]
+    weights = np.clip(START + step.reshape(weights.shape), 0, 1.5)
     sent.unpersist()
     tables = np.zeros(size, np.float32)
     for k in range(len(SLOTS)):
