@@ -102,21 +102,26 @@ def test_packing_round_trip(spark):
     assert packing.pack(table(spark, [])).count() == 0 and packing.pack(table(spark)).count() > 0
 
 
-def test_cascade_is_exact_over_its_universe(spark):
-    keys = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = urls.build_cascade(keys)
-    assert len(cascade.levels) > 1
-    wrong = keys.withColumns(dict(zip(("a", "b"), urls._pair("key"), strict=True))).filter(urls._member(cascade) != F.col("listed"))
-    assert wrong.count() == 0 and urls.build_cascade(keys, max_bits=100) is None
-
-
-@pytest.mark.parametrize("bits", [1 << 28, 1])
-def test_url_rules(spark, bits):
-    rows = [("http://WWW.Example.com/en/x?q", "www.example.com/en/", "allow"), ("http://a.example.com/en/", "example.com/en/", "block"), ("https://spam-farm.a.com", None, "block"), ("https://spam-farm.a.com/", "com/", "allow"), ("x://b.net/es/1", "net/es/", "block"), ("nothing", None, "allow"), (None, None, "allow"), ("", None, "allow"), ("a://casino-win.org?x", None, "block"), ("a://fine.org#casino-win.org", None, "allow")]
-    df = spark.createDataFrame([(i, u, "clash") for i, (u, _, _) in enumerate(rows)], "page_id long, url string, host string")
-    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df, max_bits=bits).collect()}
-    assert got == {i: x[1:] for i, x in enumerate(rows)}
+@pytest.mark.parametrize("most", [1 << 28, 1 << 12])
+def test_cascades_are_exact_over_their_universe(spark, most):
+    keys = spark.range(9000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
+    cascades = urls.build_cascades(keys, max_bits=most)
+    assert (len(cascades) > 1) == (most == 1 << 12) and len(cascades[0].levels) > 1 and all(sum(x[0] for x in c.levels) <= most for c in cascades)
+    wrong = keys.withColumns(dict(zip(("a", "b"), urls._pair("key"), strict=True))).filter(urls._member(cascades) != F.col("listed"))
+    assert wrong.count() == 0
+    with pytest.raises(ValueError):
+        urls.build_cascades(keys, max_bits=100)
+
+
+def test_url_rules(spark):
+    few, many = "text " * 100, '<a href="x">y</a>' * 20
+    rows = [("http://WWW.Example.com/en/x?q", "www.example.com/en/", "allow", many), ("http://a.example.com/en/", "example.com/en/", "block", few), ("https://spam-farm.a.com", None, "block", many), ("https://spam-farm.a.com/", "com/", "allow", many), ("x://b.net/es/1", "net/es/", "block", few), ("nothing", None, "allow", many), (None, None, "allow", many), ("", None, "allow", None), ("a://casino-win.org?x", None, "block", many), ("a://casino-win.org?x", None, "block", few), ("a://fine.org#casino-win.org", None, "allow", None), ("a://fine.org/" + "p" * 100_000, None, "allow", few)]
+    df = spark.createDataFrame([(i, u, h, "clash") for i, (u, _, _, h) in enumerate(rows)], "page_id long, url string, html string, host string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(df).collect()}
+    assert got == {i: x[1:3] for i, x in enumerate(rows)}
     assert urls.judge(df.limit(0)).count() == 0
+    own = {r["page_id"]: r["verdict"] for r in urls.judge(df, listed_host=F.col("key").endswith(".org")).collect()}
+    assert own[10] == "block" and own[2] == "allow"
 
 
 def test_reply_trees_choose_the_best_branch(spark):
@@ -200,16 +205,16 @@ def test_each_predictor_is_refined_in_ordinary_documents():
     for a, b in zip(boff[:-1], boff[1:], strict=True):
         w, grad, loss = np.ones(3), np.zeros(3), 0.0
         for i in range(a, b):
-            if i > a and (i - a) % lm.BLOCK == 0:
+            if i > a and (i - a in (64, 128, 256, 512) or (i - a) % lm.BLOCK == 0):
                 w, grad = np.clip(w - lm.RATE * grad, 0.5, 1.5), np.zeros(3)
             v = np.array([x[i] for x in t], float) * (1 - 2 * int(bits[i]))
             z = min(float(v @ w), 20.0)
             loss += np.log1p(np.exp(z))
             grad += v / (1 + np.exp(-z))
         want.append(-loss / np.log(10))
-        moved.append(len(set(w.round(9))) > 1)
+        moved.append(bool((w != 1).any()))
     assert m.log10(np.frombuffer(b"".join(texts), np.uint8), offs) == pytest.approx(np.array(want), rel=1e-5)
-    assert not moved[0] and moved[1] and len(texts[1]) < 1800
+    assert all(moved[1:]) and len(texts[2]) < 400
 
 
 def math_exp(x):
