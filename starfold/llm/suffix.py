@@ -215,12 +215,7 @@ def pieces(data: np.ndarray, runs: Runs, prints: np.ndarray, ids: np.ndarray, ki
     full = np.concatenate((prints[a], single))
     low, high = np.concatenate((runs.low[a], start)), np.concatenate((runs.high[a], start))
     doc = ids[np.concatenate((runs.row[a], np.repeat(runs.row[b], sizes)))]
-    order = np.lexsort((doc, full, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (full[order][1:] != full[order][:-1])
-    first = order[new]
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
+    first, of = alike(key, full, doc, data, low, high + LENGTH - low)
     return Pieces(key[first], low[first], high[first], doc[first], of, low, high, doc)
 
 
@@ -241,6 +236,27 @@ def gather(data: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return data[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(low - (stops - sizes), sizes)]
 
 
+def alike(key: np.ndarray, full: np.ndarray, doc: np.ndarray, text: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First piece, by least document, of each class of equal bytes under one key, and each piece's class.
+
+    Classes are found by hashes and then compared byte by byte; where two
+    different pieces share a hash, another one takes its place.
+    """
+    n = len(key)
+    for seed in range(1, 256):
+        order = np.lexsort((doc, full, key))
+        new = np.ones(n, bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (full[order][1:] != full[order][:-1])
+        of = np.empty(n, np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = order[new]
+        again = first[of]
+        if np.array_equal(sizes[again], sizes) and all(np.array_equal(gather(text, low[k : k + 65536], sizes[k : k + 65536]), gather(text, low[again[k : k + 65536]], sizes[k : k + 65536])) for k in range(0, n, 65536)):
+            return first, of
+        full = hashes(text ^ np.uint8(seed), low, low + sizes, False) ^ sizes.astype(U64)
+    raise AssertionError("pieces that 255 hashes do not part")
+
+
 def settle(keys: np.ndarray, sizes: np.ndarray, text: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each piece, sorted by key, a mask of its windows that start in an earlier document's piece too."""
     out = np.zeros(len(keys), np.uint32)
@@ -279,12 +295,7 @@ def merge_pieces(lists: list[np.ndarray], extras: list[bytes]) -> tuple[list[np.
     low = np.cumsum(sizes) - sizes
     full = hashes(text, low, low + sizes, False)
     # equal pieces of different shards are one, of their least document
-    order = np.lexsort((doc, full, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (full[order][1:] != full[order][:-1])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    first = order[new]
+    first, of = alike(key, full, doc, text, low, sizes)
     # a key of one piece has nothing else to meet
     alone = np.ones(len(first), bool)
     alone[1:] &= key[first][1:] != key[first][:-1]
@@ -317,7 +328,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null texts are empty; texts under 50 bytes lose nothing.  Rows that share a
     doc_id do not count as earlier than each other; rows without one come after
-    all others.  An empty table gives an empty one.
+    all others.  An empty table gives an empty one; a very long text is a shard
+    alone; columns of other names are neither read nor returned.
     """
     table = shards(docs, key, text)
     n = n_buckets(table)

@@ -58,3 +58,11 @@ def test_repeats_match_brute_force(spark, monkeypatch, many):
 
 def test_empty_table(spark):
     assert suffix.repeated_spans(table(spark, [])).count() == 0
+
+
+def test_pieces_of_one_hash_are_told_apart_by_their_bytes():
+    text = np.frombuffer(b"abcabdabcxyz", np.uint8)
+    low, sizes = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3])
+    key, doc = np.full(4, 7, np.uint64), np.array([5, 4, 3, 2])
+    first, of = suffix.alike(key, np.zeros(4, np.uint64), doc, text, low, sizes)
+    assert of[0] == of[2] and len(set(of.tolist())) == 3 and first[of[0]] == 2
