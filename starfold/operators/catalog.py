@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,28 +105,57 @@ def cone_search(targets: DataFrame, sources: DataFrame, radius: float) -> DataFr
 
 
 def neighbours(cone: DataFrame) -> DataFrame:
-    """Per target: the brightest in the cone is it; how many others, and how much fainter the brightest of them is."""
-    g = cone.groupBy("tic_id").agg(F.min(F.struct("mag", "source_id")).alias("t"), F.count("mag").alias("n"), F.array_sort(F.collect_list("mag")).alias("mags"))
-    return g.select("tic_id", F.col("t.source_id").alias("target_id"), (F.col("n") - 1).alias("n_neighbors"), F.when(F.col("n") > 1, F.element_at("mags", 2) - F.col("t.mag")).alias("delta_mag"))
+    """Per target: the brightest in the cone is it; how many others, and how much fainter the brightest of them is.
+
+    With a column ruwe, target_ruwe is the target's.
+    """
+    more = ["ruwe"] if "ruwe" in cone.columns else []
+    own = cone.groupBy("tic_id").agg(F.min(F.struct("mag", "source_id", *more)).alias("t"), F.count("mag").alias("n"))
+    other = joined_other(cone, own)
+    return own.join(other, "tic_id", "left").select("tic_id", F.col("t.source_id").alias("target_id"), (F.col("n") - 1).alias("n_neighbors"), (F.col("next") - F.col("t.mag")).alias("delta_mag"), *(F.col("t.ruwe").alias("target_ruwe") for _ in more))
+
+
+def joined_other(cone: DataFrame, own: DataFrame) -> DataFrame:
+    """The least magnitude of each target's cone without the target itself."""
+    rest = cone.join(own.select("tic_id", F.col("t.source_id").alias("_target")), "tic_id").filter("source_id <> _target")
+    return rest.groupBy("tic_id").agg(F.min("mag").alias("next"))
+
+
+#: Queries and vectors that meet in one task.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 1 << 16
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False) -> DataFrame:
-    """The k nearest of ``vectors`` to each of a stated, small set of queries: exact, in blocks, by (query_id, rank).
+    """The k nearest of ``vectors`` to each of the queries: exact, as (query_id, vec_id, d2, rank).
 
-    Every query meets every vector, which is what an exact search is; a partial
-    top-k in each task keeps the shuffle at k rows per query and task.
+    Queries and vectors are dealt to blocks of bounded size, each block of the one
+    meets each of the other in a task, and only k rows per query leave it.
     """
-    def unit(v: Column) -> Column:
-        x = F.transform(v, lambda e: e.cast("double"))
-        if not cosine:
-            return x
-        size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, e: s + e * e))
-        return F.when(size > 0, F.transform(x, lambda e: e / size)).otherwise(x)
-
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    d2 = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e)
-    near = v.crossJoin(q).select("query_id", "vec_id", d2.alias("d2"))
+    n_q, n_v = queries.count(), vectors.count()
+    x, y = max(1, -(-n_q // QUERY_BLOCK)), max(1, -(-n_v // VECTOR_BLOCK))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.transform("embedding", lambda e: e.cast("double")).alias("v")
+    rows = queries.select(deal("vec_id", x).alias("x"), each(y).alias("y"), F.lit(True).alias("asks"), F.col("vec_id").cast("long").alias("id"), v)
+    rows = rows.unionByName(vectors.select(each(x).alias("x"), deal("vec_id", y).alias("y"), F.lit(False).alias("asks"), F.col("vec_id").cast("long").alias("id"), v))
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
+        m = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
+        if cosine:
+            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = np.where(size > 0, m / np.where(size > 0, size, 1), m)
+        order = np.flatnonzero(~asks)[np.argsort(ids[~asks], kind="stable")]  # equal distances go by id
+        out = {"query_id": [], "vec_id": [], "d2": []}
+        for i in np.flatnonzero(asks).tolist():
+            d2 = np.concatenate([((m[order[a : a + 4096]] - m[i]) ** 2).sum(axis=1) for a in range(0, len(order), 4096)] or [np.zeros(0)])
+            best = np.argsort(d2, kind="stable")[:k]
+            out["query_id"] += [int(ids[i])] * len(best)
+            out["vec_id"] += ids[order[best]].tolist()
+            out["d2"] += d2[best].tolist()
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "d2": pa.array(out["d2"], pa.float64())})
+
+    near = rows.groupBy("x", "y").applyInArrow(meet, "query_id long, vec_id long, d2 double")
     order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -134,9 +163,3 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False
 def gaussian_fit(chi2: Column, n: Column, k: int) -> Column:
     """Bayes information criterion of k parameters."""
     return F.lit(float(k)) * F.log(F.greatest(n, F.lit(1)).cast("double")) + chi2
-
-
-def bloom_size(n: int, p: float) -> tuple[int, int]:
-    """Bits and hashes of a Bloom filter."""
-    m = math.ceil(-n * math.log(p) / math.log(2) ** 2)
-    return m, max(1, round(m / n * math.log(2)))

@@ -56,15 +56,16 @@ def box_power(hist: DataFrame, bins: int, durations: tuple[float, ...]) -> DataF
     one = hist.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("n", "s")))).alias("m"), F.sum("n").alias("tn"), F.sum("s").alias("ts"))
     ring = F.transform(F.sequence(F.lit(0), F.lit(2 * bins - 1)), lambda b: F.struct(b.alias("start"), F.coalesce(F.col("m")[b % bins]["n"], F.lit(0).cast("long")).alias("n"), F.coalesce(F.col("m")[b % bins]["s"], F.lit(0).cast("long")).alias("s")))
     dense = one.select(*keys, "tn", "ts", F.inline(ring))
-    # a box is a difference of two running sums, the later one fetched by its place
+    # a box is a difference of two running sums, both in the one array of its period: no join, and no further shuffle
     run = Window.partitionBy("tic_id", "period_idx").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     sums = dense.withColumns({"cn": F.sum("n").over(run), "cs": F.sum("s").over(run)})
-    ends = sums.select("tic_id", "period_idx", F.col("start").alias("end"), F.col("cn").alias("en"), F.col("cs").alias("es"))
+    whole = sums.groupBy("tic_id", "period_idx").agg(F.first("period").alias("period"), F.first("tn").alias("tn"), F.first("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("start", "cn", "cs", "n", "s"))).alias("sums"))
     lengths = F.array(*(F.struct(F.lit(d).alias("dur_idx"), F.lit(length).alias("length")) for d, length in enumerate(durations)))
     width = F.greatest(F.rint(F.col("length") / F.col("period") * bins), F.lit(1.0)).cast("int")
-    wide = sums.filter(F.col("start") < bins).select("*", F.inline(lengths)).withColumn("width", width).filter((F.col("width") < bins) & (F.col("length") / F.col("period") < 0.5))
-    boxes = wide.withColumn("end", F.col("start") + F.col("width") - 1).join(ends, ["tic_id", "period_idx", "end"])
-    out = boxes.select(*keys, "tn", "ts", "dur_idx", "start", (F.col("en") - F.col("cn") + F.col("n")).alias("n"), (F.col("es") - F.col("cs") + F.col("s")).alias("s")).filter("n > 0 and n < tn")
+    wide = whole.select("*", F.inline(lengths)).withColumn("width", width).filter((F.col("width") < bins) & (F.col("length") / F.col("period") < 0.5))
+    at = lambda i: F.get("sums", i)
+    box = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.struct(j.alias("start"), (at(j + F.col("width") - 1)["cn"] - at(j)["cn"] + at(j)["n"]).alias("n"), (at(j + F.col("width") - 1)["cs"] - at(j)["cs"] + at(j)["s"]).alias("s")))
+    out = wide.select(*keys, "tn", "ts", "dur_idx", F.inline(box)).filter("n > 0 and n < tn")
     diff = F.col("s") - F.col("n").cast("double") / F.col("tn") * F.col("ts")
     return out.select(*keys, "dur_idx", "start", (diff * diff / (F.col("n").cast("double") * (F.col("tn") - F.col("n")) / F.col("tn"))).alias("power"), (F.col("ts") / F.col("tn") - F.col("s") / F.col("n")).alias("depth"))
 

@@ -133,8 +133,17 @@ def test_population_counts(n, want):
         S.population(3, 0, {"noise": 0.0})
 
 
-def test_bloom_size():
-    assert catalog.bloom_size(10_000, 0.01) == (95_851, 7)
+def test_nearest_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(catalog, "VECTOR_BLOCK", 7)
+    v = np.random.default_rng(0).normal(size=(40, 5)).round(2)
+    v[11] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in catalog.nearest(df.filter("vec_id % 4 = 0"), df, 3).collect()}
+    for i in range(0, 40, 4):
+        d = ((v - v[i]) ** 2).sum(axis=1)
+        assert [got[i, k] for k in (1, 2, 3)] == sorted(range(40), key=lambda j: (d[j], j))[:3]
+    assert catalog.nearest(df.limit(0), df, 3).count() == 0
 
 
 def test_geometry_numbers(spark):
