@@ -79,7 +79,8 @@ def format_paths(paths: DataFrame, learn: str = "assistant") -> DataFrame:
     """One row per path: tree_id, path, formatted, loss_spans (byte start and length in ``formatted`` of each text of the role ``learn``).
 
     Null roles and texts count as empty.  A conversation is one text, so its
-    rows meet in one task; that is the size of the output row itself.
+    rows meet in one task; that is the size of the output row itself.  Other
+    columns are not carried; an empty table gives none.
     """
     role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     turns = paths.select("path", "tree_id", "pos", F.concat(F.lit(OPEN), role, F.lit(SHUT)).alias("head"), text.alias("body"), (F.coalesce("role", F.lit("")) == learn).alias("learn"))
@@ -103,7 +104,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def linear_trees(conversations: DataFrame) -> DataFrame:
-    """A chain for each conversation: rows by turn, those of one turn by role, then text; nulls come first."""
+    """A chain for each conversation: rows by turn, those of one turn by role, then text; nulls come first.
+
+    Rows that repeat a turn, or are equal, all stay.  Other columns are not
+    carried; an empty table gives none.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     return conversations.withColumn("node_id", F.row_number().over(order).cast("long")).select(F.col("conv_id").alias("tree_id"), "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"), "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("double").alias("score"))
 

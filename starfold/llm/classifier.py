@@ -170,11 +170,14 @@ def judge(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4,
     Labels of rows whose crc32(doc_id) modulo ``folds`` is ``held_out`` are never
     read.  A doc_id of several labels counts with their mean rounded up; null
     labels do not count.  Null doc_ids are scored, are not held out and have no
-    label.  Empty texts are scored like others.
+    label.  Empty texts are scored like others, and very long ones as a whole.
+    Rows that repeat a doc_id train once, with the least of their statistics, and
+    are scored each by its own text.  Columns of other names are not read; an
+    empty table gives none, and without labels all scores are 0.5.
     """
     found = written(features(docs), "statistics")
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y")).filter(remainder(F.col("id"), folds) != held_out)
-    model = fit(found.join(known, "id").dropDuplicates(["id"]).select("id", "x", "y"))
+    model = fit(found.join(known, "id").groupBy("id", "y").agg(F.min("x").alias("x")))
     return score(found, model).select(F.col("id").alias("doc_id"), (remainder(F.col("id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 

@@ -287,7 +287,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", of: int = 5,
     ids train.  Null and empty texts are an end alone.  Counts of tokens go by
     shard through hash buckets: each shard sends its distinct words once, and
     gets back the corpus' counts of just these.  With no training documents the
-    base and the mix know nothing, and score so.
+    base and the mix know nothing, and score so.  Rows that repeat a doc_id are
+    scored, and train, each by its own text; a very long text is scored whole;
+    columns of other names are neither read nor returned; an empty table gives none.
     """
     spark = docs.sparkSession
     table = shards(docs, key, text)

@@ -136,6 +136,19 @@ def test_reply_trees_choose_the_best_branch(spark):
         assert "[INST]" not in r["formatted"] and r["formatted"].count("</s>") == len(r["turns"])
 
 
+def test_reply_trees_of_odd_rows(spark):
+    schema = "tree_id string, node_id long, parent_id long, role string, text string, score double, formatted string"
+    long = "é<|" * 60_000
+    nodes = [("a", 1, None, "user", "hi", 0.0, "x"), ("a", 1, None, "user", "hi", 0.0, "x"), ("a", 3, 1, "assistant", "three", 2.0, "x"), ("a", 2, 1, "assistant", "two", 2.0, "x"), ("b", 1, None, "assistant", long, None, "x"), ("b", 1, None, "assistant", None, None, "x")]
+    df = spark.createDataFrame(nodes, schema)
+    back = {r["tree_id"]: r for r in chat.read_back(chat.format_paths(chat.chosen_paths(df))).collect()}
+    assert [x["text"] for x in back["a"]["turns"]] == ["hi", "two"]  # a repeated node is one; equal scores go to the smaller leaf
+    assert [x["text"] for x in back["b"]["turns"]] == [""]  # of two rows of a node the least counts
+    only = chat.read_back(chat.format_paths(chat.chosen_paths(df.filter("text is not null")))).filter("tree_id = 'b'").first()
+    assert only["turns"][0]["text"] == long == only["loss_text"]
+    assert chat.format_paths(chat.chosen_paths(df.limit(0))).count() == 0 and chat.linear_trees(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
 def test_long_chains_take_few_joins(spark):
     said = spark.range(37).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
     r = chat.read_back(chat.format_paths(chat.chosen_paths(chat.linear_trees(said)))).collect()
@@ -153,6 +166,28 @@ def test_classifier_tells_labels_it_never_saw(spark):
     assert classifier.judge(docs.limit(0), labels).count() == 0 and classifier.judge(docs, labels.limit(0)).count() == 242
 
 
+def test_ridge_and_isotonic_against_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    x, y = np.sort(rng.uniform(0, 1, 60)), rng.integers(0, 2, 60).astype(float)
+    w = rng.integers(1, 5, 60).astype(float)
+    knots, levels = classifier.isotonic(x, y, w)
+    fit = np.interp(x, knots, levels)
+    best = np.array([max(min(np.average(y[a : b + 1], weights=w[a : b + 1]) for b in range(i, 60)) for a in range(i + 1)) for i in range(60)])  # the max-min formula
+    assert np.all(np.diff(levels) >= -1e-12) and np.abs(fit - best).mean() < 0.1
+    dims = classifier.statistics(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
+    data = rng.normal(size=(300, dims))
+    truth = (data[:, 0] + 0.3 * data[:, 1] > 0).astype(int)
+    rows = spark.createDataFrame([(i, d.tolist(), int(t)) for i, (d, t) in enumerate(zip(data, truth, strict=True))], "id long, x array<double>, y int")
+    model = classifier.fit(rows)
+    assert np.allclose(model.mean, data.mean(axis=0)) and np.allclose(model.scale, data.std(axis=0), rtol=1e-6)
+    learns = np.array([not r["c"] for r in rows.select("id", (F.pmod(F.xxhash64(F.lit(classifier.SEED), "id"), F.lit(4)) == 0).alias("c")).orderBy("id").collect()])
+    z = model.lifted(data[learns])
+    penalty = classifier.RIDGE * learns.sum() * np.eye(z.shape[1]) / classifier.FEATURES
+    penalty[-1, -1] = 0
+    assert np.allclose(z @ model.weights, z @ np.linalg.solve(z.T @ z + penalty, z.T @ truth[learns]), atol=1e-5)
+    assert np.mean((model.score(data) > 0.5) == truth) > 0.8
+
+
 def test_language_model_base_and_mix(spark):
     import math
     import zlib
