@@ -25,29 +25,27 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Automaton:
     """Suffix automaton of several word sequences, with the items behind each state.
 
-    ``items[v]``: places of the items that hold the strings of state v.
+    ``steps``: from state and word, as one number, to the next state.
     ``ten[v]``: the state of the last ``window`` words of what v ends with.
-    ``short[v]``: (length, item) of items under ``window`` words that end there.
+    ``items[v]``: places of the items that hold the strings of v, of such states only.
+    ``short[v]``: (length, item) of items under ``window`` words that end there, where there are any.
+
+    Only these are kept: states have no tables of their own, and most no items.
     """
 
     def __init__(self, sequences: list[list[int]], window: int = WINDOW) -> None:
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.items: list[set[int]] = [set()]
         ends = []
-        for place, sequence in enumerate(sequences):
+        for sequence in sequences:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
-                self.items[last].add(place)
             ends.append(last)
         order = sorted(range(1, len(self.link)), key=lambda v: -self.length[v])
-        for v in order:
-            if self.link[v] > 0:
-                self.items[self.link[v]] |= self.items[v]
         self.ten = [0] * len(self.link)
-        self.short: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
         own: dict[int, list[tuple[int, int]]] = {}
         for place, (sequence, v) in enumerate(zip(sequences, ends, strict=True)):
             if 0 < len(sequence) < window:
@@ -57,13 +55,24 @@ class Automaton:
         for v in reversed(order):
             above = self.link[v]
             self.ten[v] = self.ten[above] if self.length[above] >= window else v
-            self.short[v] = (*own.get(v, ()), *self.short[above])
+            if short := (*own.get(v, ()), *self.short.get(above, ())):
+                self.short[v] = short
+        self.steps = {v << 32 | word: q for v, after in enumerate(self.next) for word, q in after.items()}
+        del self.next
+        # an item holds the windows that its own words pass, so one more walk finds them all
+        found: dict[int, set[int]] = {}
+        for place, sequence in enumerate(sequences):
+            v = 0
+            for k, word in enumerate(sequence):
+                v = self.steps[v << 32 | word]
+                if k + 1 >= window:
+                    found.setdefault(self.ten[v], set()).add(place)
+        self.items = {v: tuple(sorted(x)) for v, x in found.items()}
 
     def _new(self, length: int, link: int, after: dict[int, int]) -> int:
         self.length.append(length)
         self.link.append(link)
         self.next.append(after)
-        self.items.append(set())
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, word: int) -> int:
@@ -92,15 +101,15 @@ class Automaton:
         """Follows the longest match that ends at each word; flags in ``hit``, from ``at`` on, the words of windows."""
         v = length = 0
         for i, word in enumerate(words):
-            while v and word not in self.next[v]:
+            while v and v << 32 | word not in self.steps:
                 v = self.link[v]
                 length = self.length[v]
-            v = self.next[v].get(word, 0)
+            v = self.steps.get(v << 32 | word, 0)
             length = length + 1 if v else 0
             if length >= self.window:
                 hit[at + i - self.window + 1 : at + i + 1] = True
-                found |= self.items[self.ten[v]]
-            for n, item in self.short[v]:
+                found.update(self.items[self.ten[v]])
+            for n, item in self.short.get(v, ()):
                 if n <= length:
                     hit[at + i - n + 1 : at + i + 1] = True
                     found.add(item)
@@ -159,7 +168,7 @@ def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(items: DataFrame, most_bytes: int = 8 << 20) -> Iterator[Items]:
+def blocks(items: DataFrame, most_bytes: int = 4 << 20) -> Iterator[Items]:
     """The benchmark in blocks of bounded size; each is one pass over the documents."""
     ids, texts, n = [], [], 0
     for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
@@ -198,8 +207,10 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", columns: list[st
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base] + [FIELDS])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))
     for block in blocks(items):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # one copy for all tasks of a worker; at most a block's size
 
-        def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block = sent.value
             for batch in batches:
                 for part, data, offs in slices(batch, text):
                     starts, ends, woff, h = words_of(data, offs)
