@@ -14,29 +14,33 @@ from starfold.llm.common import load, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep; null and empty texts go, repeated rows are judged alike, none of none is none."""
     return quality.judge(docs, filtering=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without doc_id stay."""
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each group of near duplicates, its least doc_id.
+
+    Rows without doc_id stay, and so do null and empty texts.  Rows that repeat a
+    doc_id stay or go together.
+    """
+    gone = near_dedup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the benchmark's windows; n_chars follows the text."""
+    """Texts without the benchmark's windows; n_chars follows the text.  Null and empty texts stay, repeated rows lose the same."""
     clean = decontaminate.strip(docs, load(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate takes it."""
+    """Each document as often as its source's rate takes it, at most twice; null sources are one, null and empty texts count 0 words."""
     return mixing.emit(mixing.mix(docs), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed id matrices."""
+    """Packed id matrices; null and empty texts are one end id, repeated rows are packed each."""
     return packing.pack(docs)
 
 

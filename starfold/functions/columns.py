@@ -22,6 +22,12 @@ def finite(c: Column) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def first_finite(columns: list[str], names: tuple[str, ...], prefixes: tuple[str, ...] = ("",)) -> Column:
+    """The first finite number among prefix + name of the ``columns`` that exist: all names of a prefix before the next prefix; booleans count 1 or 0."""
+    there = [f"{p}{n}" for p in prefixes for n in names if f"{p}{n}" in columns]
+    return F.coalesce(*(finite(F.col(f"`{c}`").cast("double")) for c in there), F.lit(None).cast("double"))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

@@ -31,6 +31,15 @@ def conform(rows: DataFrame) -> DataFrame:
     return rows.select(*map(one, COLUMNS), *(c for c in rows.columns if c not in COLUMNS))
 
 
+#: The columns a table on screen shows.
+DISPLAYED = ("tic_id", "sector", "period", "depth_ppm", "duration", "snr", "sde", "class", "confidence", "flags")
+
+
+def displayed(rows: DataFrame) -> DataFrame:
+    """Those of ``DISPLAYED`` that there are, in that order."""
+    return rows.select(*(c for c in DISPLAYED if c in rows.columns))
+
+
 def joined_flags(names: tuple[str, ...]) -> Column:
     """Names of the flags that are raised, in the given order."""
     return F.concat_ws(";", *(F.when(F.col(n), n) for n in names))

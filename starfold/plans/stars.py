@@ -187,6 +187,11 @@ def catalog_rows(spark, sf):
     return _catalog(spark, sf)
 
 
+@query(CATALOG_SQL + " SELECT tic_id, sector, period, depth_ppm, duration, snr, sde, class, confidence, flags FROM cat")
+def catalog_display(spark, sf):
+    return catalog.displayed(_catalog(spark, sf))
+
+
 @query(CATALOG_SQL + ", kn(class) AS (VALUES ('transit'), ('eclipsing_binary'), ('blend'), ('other')) SELECT coalesce(k.class, c.class) AS class, count(c.tic_id) AS n FROM kn k FULL JOIN cat c ON c.class = k.class GROUP BY 1")
 def class_counts(spark, sf):
     return catalog.class_counts(_catalog(spark, sf))

@@ -171,3 +171,11 @@ def test_rule_scores_of_known_cases(spark):
     assert got[1]["class"] == "eclipsing_binary" and got[1]["prob_transit"] == pytest.approx(0.022228, abs=1e-5)
     assert got[2]["class"] == "blend" and got[2]["prob_blend"] == pytest.approx(0.945387, abs=1e-5)
     assert got[3]["class"] == "transit" and got[3]["prob_transit"] == pytest.approx(0.475367, abs=1e-5)
+
+
+def test_first_finite_of_aliases(spark):
+    from starfold.functions import columns as X
+
+    rows = spark.createDataFrame([(1, None, float("nan"), True, 3.0), (2, 5.0, 4.0, False, None)], "id long, fit_depth double, depth double, flag boolean, det_depth double")
+    first = lambda names, prefixes=("",): [r["x"] for r in rows.select(X.first_finite(rows.columns, names, prefixes).alias("x")).collect()]
+    assert first(("depth",), ("fit_", "", "det_")) == [3.0, 5.0] and first(("flag", "depth")) == [1.0, 0.0] and first(("none",)) == [None, None]
