@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     each bucket of each band say which classes may be linked, and the full sets
     of all in a unit of stars are compared with each other (see ``linked``).
     Null and empty texts have no shingles and are linked with nothing.  Rows
-    without key are no part of the graph: component_id null, kept false.  Rows
+    without key are no part of the graph: component_id null, kept true.  Rows
     that repeat a key share its component, which all their texts' links reach.
     Ties: a component is named by its least key.  An empty table gives none; a
     very long text is one set like any other; columns of other names, clashing
