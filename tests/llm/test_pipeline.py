@@ -19,6 +19,38 @@ def test_stages_carry_whole_rows(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "source_mix", "token_ids"]
 
 
+def test_stages_against_plain_versions(spark):
+    from collections import Counter
+
+    from starfold.llm import registry
+    from tests.llm.test_decontaminate import brute as leaks
+    from tests.llm.test_near_dedup import brute as copies
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: {r["doc_id"]: r.asDict() for r in df.collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole, kept = rows(docs), stages["quality_rules"](spark, docs, sf)
+    good = {r["doc_id"] for r in registry.QUERIES["op10_quality"](spark, sf).filter("kept").collect()}
+    assert rows(kept) == {i: r for i, r in whole.items() if i in good}
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    single = stages["near_duplicates"](spark, kept, sf)
+    heads = {i for i, _, c in copies([(r["doc_id"], r["text"]) for r in rows(kept).values()]) if i == c}
+    assert rows(single) == {i: r for i, r in whole.items() if i in heads}
+    single = spark.createDataFrame(single.collect(), docs.schema)
+    clean = rows(stages["decontamination"](spark, single, sf))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    plain = {i: leaks([(i, r["text"])], items)[0] for i, r in rows(single).items()}
+    hit = {i for i, told in plain.items() if not told.startswith(f"({i}, ") or eval(told)[2] > 0}  # noqa: S307
+    assert hit and set(clean) <= set(heads) and {i for i in heads if i not in hit} <= set(clean)
+    for i, r in clean.items():
+        assert r["text"] == whole[i]["text"] if i not in hit else len(r["text"]) < len(whole[i]["text"]) and r["n_chars"] == len(r["text"])
+    assert all(eval(told)[2] == 0 for told in leaks([(i, r["text"]) for i, r in clean.items()], items))  # noqa: S307
+    mixed = stages["source_mix"](spark, spark.createDataFrame([tuple(r.values()) for r in clean.values()], docs.schema), sf).collect()
+    times = Counter(r["doc_id"] for r in mixed)
+    assert max(times.values()) <= 2 and all(r.asDict() == clean[r["doc_id"]] for r in mixed)
+
+
 def test_stages_bear_odd_rows_and_none(spark):
     for df in (table(spark), table(spark, [])):
         for name, stage in corpus_pipeline.STAGES:
