@@ -226,7 +226,7 @@ def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.
     centred = weight * (f - mean)
     noise = 1e-9 * float(np.abs(centred).sum())
     best = {k: np.zeros(len(periods)) for k in ("power", "duration", "t0", "depth")}
-    step = max(1, (1 << 16) // max(n, 4 * bins))
+    step = max(1, (1 << 17) // max(n, 4 * bins))
     for lo in range(0, len(periods), step):
         p = periods[lo : lo + step, None]
         m = len(p)
@@ -237,25 +237,28 @@ def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.
         before = np.zeros(m, np.int64)
         for d in durations:
             width = np.maximum(np.rint(d / p[:, 0] * bins), 1).astype(np.int64)
-            use = np.flatnonzero((d / p[:, 0] < 0.5) & (width < bins) & (width != before))  # of equal widths the first duration wins
+            use = (d / p[:, 0] < 0.5) & (width < bins) & (width != before)  # of equal widths the first duration wins
             before = width
-            if not len(use):
-                continue
-            ends = width[use, None] + np.arange(bins)
-            q = np.take_along_axis(cs[use], ends, axis=1) - cs[use, :bins]
-            r = np.take_along_axis(cw[use], ends, axis=1) - cw[use, :bins]
-            q = np.minimum(q, 0.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                power = q * q / (r * (n - r)) * n
-            power[(q > -noise) | (r <= 0) | (n - r <= 1e-9 * n)] = 0.0
-            j = np.argmax(power, axis=1)  # the earliest start wins ties
-            found = power[np.arange(len(use)), j]
-            better = found > top[use]
-            at, j = use[better], j[better]
-            top[at] = found[better]
-            best["power"][lo + at], best["duration"][lo + at] = found[better], d
-            best["depth"][lo + at] = -q[better, j] / r[better, j]
-            best["t0"][lo + at] = start + ((j + width[at] / 2) / bins % 1.0) * p[at, 0]
+            ends = np.append(np.flatnonzero((np.diff(width) != 0) | (np.diff(use.astype(np.int8)) != 0)) + 1, m)
+            for x, y in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):  # neighbours mostly share a width
+                if not use[x]:
+                    continue
+                k = int(width[x])
+                q, r = cs[x:y, k : k + bins] - cs[x:y, :bins], cw[x:y, k : k + bins] - cw[x:y, :bins]
+                q *= q < -noise
+                depth = q
+                power = q * q
+                power /= np.maximum(r * (n - r), 1e-9)
+                j = np.argmax(power, axis=1)  # the earliest start wins ties
+                rows = np.arange(y - x)
+                found = power[rows, j] * n
+                better = np.flatnonzero(found > top[x:y])
+                if len(better):
+                    at, j = x + better, j[better]
+                    top[at] = found[better]
+                    best["power"][lo + at], best["duration"][lo + at] = found[better], d
+                    best["depth"][lo + at] = -depth[better, j] / r[better, j]
+                    best["t0"][lo + at] = start + ((j + k / 2) / bins % 1.0) * p[at, 0]
     return best
 
 
