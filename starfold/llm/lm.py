@@ -32,10 +32,10 @@ SLOTS = (18, 19, 20)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in SLOTS])))
 #: Gates: how often a slot was seen, by powers of two.
 GATES = 10
-#: Weight of every gate before the step that fits them.
-START = 0.4
+#: What part each predictor's fitted chances have in the mix before a document refines it.
+SHARES = (0.3, 0.6, 0.5)
 #: A document's own weights are refined after its first 64 bits, then as often as its bits have doubled, then after each so many; and how strongly.
-FIRST, BLOCK, RATE = 64, 1024, 2e-4
+FIRST, BLOCK, RATE = 64, 1024, 4e-3
 TABLE_BLOCKS = 64
 U32 = np.uint32
 
@@ -97,20 +97,37 @@ def contexts(s: np.ndarray) -> list[np.ndarray]:
     return [two * U32(0xCC9E2D51), four ^ (four >> U32(15)), ((word ^ (word >> U64(29))) >> U64(3)).astype(U32) * U32(0xC2B2AE35) + U32(77)]
 
 
+def kinds(s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each predictor the distinct (context, symbol) of a chunk, and how often each occurs."""
+    out = []
+    for context in contexts(s):
+        both = np.sort(context.astype(U64) << U64(9) | s.astype(U64))
+        first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+        out.append(((both[first] >> U64(9)).astype(U32), (both[first] & U64(511)).astype(np.int32), np.diff(np.append(first, len(both)))))
+    return out
+
+
 def spots(s: np.ndarray, code: Code) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Slots of every bit in each predictor's table, the bits, and how many each symbol has."""
     n_bits = np.diff(code.at)[s]
+    at = bit_places(s, n_bits, code)
+    salt = (code.nodes * U32(0x9E3779B1))[at]
+    return [slots(context, n_bits, salt, width) for context, width in zip(contexts(s), SLOTS, strict=True)], code.bits[at], n_bits
+
+
+def bit_places(s: np.ndarray, n_bits: np.ndarray, code: Code) -> np.ndarray:
+    """Where the bits of the symbols stand in ``code``."""
     at = np.repeat(code.at[s] - (np.cumsum(n_bits) - n_bits), n_bits)
     at += np.arange(len(at))
-    salt = (code.nodes * U32(0x9E3779B1))[at]
-    out = []
-    for context, width in zip(contexts(s), SLOTS, strict=True):
-        x = np.repeat((context ^ (context >> U32(16))) * U32(0x85EBCA6B), n_bits)
-        x ^= salt
-        x *= U32(0xC2B2AE35)
-        x >>= U32(32 - width)
-        out.append(x)
-    return out, code.bits[at], n_bits
+    return at
+
+
+def slots(context: np.ndarray, n_bits: np.ndarray, salt: np.ndarray, width: int) -> np.ndarray:
+    x = np.repeat((context ^ (context >> U32(16))) * U32(0x85EBCA6B), n_bits)
+    x ^= salt
+    x *= U32(0xC2B2AE35)
+    x >>= U32(32 - width)
+    return x
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -131,6 +148,28 @@ def block_edges(n: int) -> np.ndarray:
     return np.concatenate(([0], doubled, np.arange(2 * BLOCK, n + BLOCK, BLOCK)))
 
 
+def gated_weights(counts: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """For each predictor and gate the weight under which its chances fit best, over all training bits.
+
+    A slot's counts say how often either bit came in it, so sums over slots are
+    sums over bits; each bit is left out of the counts that predict it.
+    """
+    out = np.full((len(SLOTS), GATES), 1.0)
+    for k in range(len(SLOTS)):
+        n = counts[STARTS[k] : STARTS[k + 1]].astype(float)
+        n = n[n.sum(axis=1) > 0]
+        g = gate(n.sum(axis=1) - 1)
+        for _ in range(rounds):
+            slope, bend = np.zeros(GATES), np.full(GATES, 1e-3)
+            for bit in (0, 1):
+                x = np.log((np.maximum(n[:, bit] - 1, 0) + 0.2) / (n[:, 1 - bit] + 0.2))
+                p = squash(out[k][g] * x)
+                slope += np.bincount(g, n[:, bit] * (1 - p) * x, GATES)
+                bend += np.bincount(g, n[:, bit] * p * (1 - p) * x * x, GATES)
+            out[k] = np.clip(out[k] + np.clip(slope / bend, -0.5, 0.5), 0, 2)
+    return out
+
+
 @dataclass(frozen=True)
 class Mixer:
     """tables: for every slot of all predictors, its gated weight times its stretched probability."""
@@ -201,7 +240,7 @@ def _train_rows(ids: list, of: int, out: int) -> np.ndarray:
 
 
 def train(table: DataFrame, of: int, out: int) -> Mixer:
-    """Counts of all training bits in the tables, then the gates' weights by one step over all of them, each bit's own count left out."""
+    """Counts of all training bits in the tables, and the gates' weights, which follow from the counts."""
     spark = table.sparkSession
     parts = table.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] // (1 << 24) + 1
 
@@ -232,48 +271,19 @@ def train(table: DataFrame, of: int, out: int) -> Mixer:
     size = int(STARTS[-1])
 
     def count(total, part, at):
-        where, bits, _ = spots(symbols(part, at)[0], code)
-        for k, x in enumerate(where):
+        for k, (context, symbol, often) in enumerate(kinds(symbols(part, at)[0])):
+            n_bits = np.diff(code.at)[symbol]
+            places = bit_places(symbol, n_bits, code)
+            x = slots(context, n_bits, (code.nodes * U32(0x9E3779B1))[places], SLOTS[k])
             a, n = 2 * STARTS[k], 2 << SLOTS[k]
-            total[a : a + n] += np.bincount(x.astype(np.int64) * 2 + bits, minlength=n)
+            total[a : a + n] += np.bincount(x.astype(np.int64) * 2 + code.bits[places], np.repeat(often, n_bits), n).astype(np.int64)
 
     counts = per_task(count, 2 * size, TABLE_BLOCKS).reshape(size, 2)
-    sent = spark.sparkContext.broadcast(np.minimum(counts, 1 << 30).astype(np.int32))
-    weights = np.full((len(SLOTS), GATES), START)
-    dims = weights.size
-    unit = 1 << 16
-
-    def slopes(total, part, at):
-        where, bits, _ = spots(symbols(part, at)[0], code)
-        z, xs, gs = 0.0, [], []
-        for k, x in enumerate(where):
-            n = sent.value[x + STARTS[k]]
-            hit = np.where(bits, n[:, 1], n[:, 0]).astype(np.float32) - 1
-            all_ = (n[:, 0] + n[:, 1]).astype(np.float32) - 1
-            x, g = np.log((hit + 0.2) / (all_ - hit + 0.2)), gate(all_)  # of what happened
-            xs.append(x)
-            gs.append(g)
-            z = z + np.float32(START) * x
-        p = squash(z)
-        error, bend = 1 - p, np.maximum(p * (1 - p), 1e-4)
-        grad = np.concatenate([np.bincount(g, error * x, minlength=GATES) for x, g in zip(xs, gs, strict=True)])
-        curve = np.zeros((dims, dims))
-        for i, (x, g) in enumerate(zip(xs, gs, strict=True)):
-            for j, (y, h) in enumerate(zip(xs, gs, strict=True)):
-                if j >= i:
-                    c = np.bincount(g * GATES + h, bend * x * y, minlength=GATES * GATES).reshape(GATES, GATES)
-                    curve[i * GATES : (i + 1) * GATES, j * GATES : (j + 1) * GATES] = c
-                    curve[j * GATES : (j + 1) * GATES, i * GATES : (i + 1) * GATES] = c.T
-        total += np.rint(np.concatenate((grad, curve.reshape(-1))) * unit).astype(np.int64)
-
-    v = per_task(slopes, dims + dims * dims, 1) / unit
-    step = np.linalg.lstsq(v[dims:].reshape(dims, dims) + 10 * np.eye(dims), v[:dims], rcond=None)[0]
-    weights = np.clip(START + step.reshape(weights.shape), 0, 1.5)
-    sent.unpersist()
+    weights = gated_weights(counts)
     tables = np.zeros(size, np.float32)
     for k in range(len(SLOTS)):
         n = counts[STARTS[k] : STARTS[k + 1]]
-        tables[STARTS[k] : STARTS[k + 1]] = weights[k][gate(n.sum(axis=1))] * stretched(n[:, 0], n[:, 1])
+        tables[STARTS[k] : STARTS[k + 1]] = SHARES[k] * weights[k][gate(n.sum(axis=1))] * stretched(n[:, 0], n[:, 1])
     return Mixer(code, tables)
 
 

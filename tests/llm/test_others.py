@@ -256,3 +256,20 @@ def math_exp(x):
     import math
 
     return math.exp(x)
+
+
+def test_gated_weights_fit_counts():
+    """Counts drawn from known chances: a predictor that is right gets weights near 1, one of noise near 0."""
+    rng = np.random.default_rng(8)
+    size = int(lm.STARTS[-1])
+    counts = np.zeros((size, 2), np.int64)
+    p = np.where(rng.random(4000) < 0.5, 0.1, 0.9)
+    n = 200
+    counts[:4000, 1] = rng.binomial(n, p)
+    counts[:4000, 0] = n - counts[:4000, 1]
+    a, b = int(lm.STARTS[1]), int(lm.STARTS[2])
+    counts[a : a + 4000, 1] = rng.integers(0, 2, 4000)  # each slot once or never in either bit
+    counts[a : a + 4000, 0] = 1 - counts[a : a + 4000, 1]
+    w = lm.gated_weights(counts)
+    assert abs(w[0][lm.gate(np.array([n - 1.0]))[0]] - 1) < 0.1 and b > a
+    assert w[1][0] == 1  # bits that were never seen elsewhere have no chances to weigh
