@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starfold.llm.common import load, shuffle_parts, written
@@ -247,12 +247,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     while not edges.isEmpty():
-        several, moved = Observation(), Observation()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") < F.col("u")).cast("long")).alias("below")).observe(several, F.sum((F.col("below") > 1).cast("long")).alias("n"))
-        large = joined(both.filter("v > u"), least.select("u", F.least("u", "m").alias("m")), "u").observe(moved, F.sum((F.col("m") < F.col("u")).cast("long")).alias("n"))
-        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
-        if not several.get["n"] and not moved.get["n"]:
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") < F.col("u")).cast("long")).alias("below")), "least")
+        large = joined(both.filter("v > u"), least.select("u", F.least("u", "m").alias("m")), "u")
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved")), "large")
+        if least.filter("below > 1").isEmpty() and large.filter("moved").isEmpty():
             break
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = joined(large, low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))

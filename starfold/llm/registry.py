@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starfold.llm import chat, classifier, decontaminate, lm, mixing, near_dedup, packing, quality, suffix, urls
+from starfold.llm import centroids, chat, classifier, decontaminate, filter_audit, lm, mixing, near_dedup, packing, quality, range_join, suffix, urls
 
 QUERIES = {
     "op1_suffix_dedup": suffix.op1_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_classifier": classifier.op8_classifier,
     "op9_lm": lm.op9_lm,
     "op10_quality": quality.op10_quality,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_range_join": range_join.op13_range_join,
 }
 ORACLE_SQL = {
     "op2_chat": chat.OP2_SQL,
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op4_mixing": mixing.OP4_SQL,
     "op6_urls": urls.OP6_SQL,
     "op10_quality": quality.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_centroids": centroids.OP12_SQL,
+    "op13_range_join": range_join.OP13_SQL,
 }
