@@ -1,8 +1,10 @@
 """Filter interaction audit: what each order of five filters keeps and removes.
 
 Words are dictionary-encoded over the whole corpus, and documents become the
-rows of a sparse document-term matrix in compressed row shards.  A row's sum is
-the number of words, its nonzero count that of distinct words; they decide two
+rows of a sparse document-term matrix in compressed row shards.  Each shard
+sends its distinct words, in order of their hashes, to buckets that number them;
+words themselves are compared there, never hashes alone.  A row's sum is the
+number of words, its nonzero count that of distinct words; they decide two
 filters.  Flags of the others come with the shards, and one row of counts per
 part and set of failed filters is all that the orders are computed from.
 """
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from starfold.llm.common import load, written
 from starfold.llm.near_dedup import joined
-from starfold.llm.shards import opened, pressed
-from starfold.llm.words import ANY, bounds, slices, spread
+from starfold.llm.shards import cuts, opened, pressed
+from starfold.llm.words import ANY, bounds, hashes, slices, spread
 
 LETTERS = "ABCDE"
 MASKS = 1 << len(LETTERS)
@@ -31,10 +33,12 @@ MIN_WORDS, MIN_DISTINCT, MAX_UPPER = 200, 50, 2
 MARKS = b"#$%&*|"
 #: Bytes of text in a shard of the matrix, a longer text alone.
 SHARD_BYTES = 1 << 22
+#: Distinct words of shards that one bucket numbers, about.
+BUCKET_WORDS = 1 << 20
 _UPPER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _MARK[list(MARKS)] = True
-SHARDS = "shard long, ids array<long>, parts array<string>, chars array<long>, upper array<long>, marked array<boolean>, digests array<binary>, indptr binary, indices binary, counts binary, words array<binary>"
+SHARDS = "shard long, ids array<long>, parts array<string>, chars array<long>, upper array<long>, marked array<boolean>, digests array<binary>, indptr binary, indices binary, counts binary, n_terms long, lengths binary, words binary"
 
 
 def per_row(hits: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -43,16 +47,33 @@ def per_row(hits: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(at, offs))
 
 
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive words of these lengths."""
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of words end to end, and their lengths."""
+    offs = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]], np.diff(offs)
+
+
+def word_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return hashes(data, ends - lengths, ends, False)
+
+
 def row_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """indptr, indices, counts of the rows' words, and the words themselves, by bytes: indices are into them."""
+    """indptr, indices, counts of the rows' words, and the words themselves in order of their hashes: indices are into them."""
     starts, ends, woff = bounds(data, offs, ANY)
-    lengths = ends - starts
-    held = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[ANY[data]]))])
-    coded = pc.dictionary_encode(held)
+    coded = pc.dictionary_encode(strings(data[ANY[data]], ends - starts))
     n = max(1, len(coded.dictionary))
-    cells, often = np.unique(spread(np.diff(woff)) * n + coded.indices.to_numpy(), return_counts=True)
+    order = np.argsort(word_hashes(*flat(coded.dictionary)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    cells, often = np.unique(spread(np.diff(woff)) * n + place[coded.indices.to_numpy()], return_counts=True)
     rows = len(offs) - 1
-    return np.searchsorted(cells, np.arange(rows + 1) * n), (cells % n).astype(np.uint32), often.astype(np.uint32), coded.dictionary
+    return np.searchsorted(cells, np.arange(rows + 1) * n), (cells % n).astype(np.uint32), often.astype(np.uint32), coded.dictionary.take(pa.array(order))
 
 
 def counted(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
@@ -64,14 +85,14 @@ def counted(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             data, offs = np.concatenate([d for _, d, _ in held]), np.concatenate([[0], *(np.diff(o) for _, _, o in held)]).cumsum()
             indptr, indices, counts, words = row_counts(data, offs)
-            raw = memoryview(data)
+            raw, (letters, lengths) = memoryview(data), flat(words)
             given = [pa.chunked_array([p.column(i) for p, _, _ in held]) for i in (0, 2)]
             cells = {
                 "shard": shard, "ids": given[0].to_pylist(), "parts": given[1].to_pylist(), "chars": per_row((data & 0xC0) != 0x80, offs).tolist(), "upper": per_row(_UPPER[data], offs).tolist(), "marked": (per_row(_MARK[data], offs) > 0).tolist(),
                 "digests": [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)],
-                "indptr": pressed(indptr.astype(np.int64)), "indices": pressed(indices), "counts": pressed(counts), "words": words.to_pylist(),
+                "indptr": pressed(indptr.astype(np.int64)), "indices": pressed(indices), "counts": pressed(counts), "n_terms": len(words), "lengths": pressed(lengths.astype(np.uint32)), "words": pressed(letters),
             }
-            return pa.RecordBatch.from_pylist([cells], pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("chars", pa.list_(pa.int64())), ("upper", pa.list_(pa.int64())), ("marked", pa.list_(pa.bool_())), ("digests", pa.list_(pa.binary())), ("indptr", pa.binary()), ("indices", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.binary()))]))
+            return pa.RecordBatch.from_pylist([cells], pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.string())), ("chars", pa.list_(pa.int64())), ("upper", pa.list_(pa.int64())), ("marked", pa.list_(pa.bool_())), ("digests", pa.list_(pa.binary())), ("indptr", pa.binary()), ("indices", pa.binary()), ("counts", pa.binary()), ("n_terms", pa.int64()), ("lengths", pa.binary()), ("words", pa.binary())]))
 
         for batch in batches:
             for one in slices(batch, "text", SHARD_BYTES >> 2):
@@ -87,36 +108,67 @@ def counted(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
     return written(given.mapInArrow(run, SHARDS), "counted")
 
 
-def dictionary(counted: DataFrame) -> DataFrame:
-    """word, term of all distinct words of the corpus, terms being 0, 1, 2, ...; written, so that numbers hold."""
-    spark = counted.sparkSession
-    distinct = counted.select(F.explode("words").alias("word")).distinct()
-    known = written(distinct.select("word", F.spark_partition_id().alias("slot"), F.monotonically_increasing_id().alias("at")), "dictionary")
-    slots = sorted(known.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
-    base = np.cumsum([0, *(r["n"] for r in slots)])
-    offsets = spark.createDataFrame([(r["slot"], int(b)) for r, b in zip(slots, base[:-1], strict=True)], "slot int, base long")
-    low = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return known.join(F.broadcast(offsets), "slot").select("word", (F.col("base") + low).alias("term"))
+def numbered(counted: DataFrame) -> DataFrame:
+    """bucket, shard, codes, lengths, words, written: what each bucket calls each shard's words.
+
+    A row of shard null has the bucket's distinct words: word i of it is term
+    bucket * 2**32 + i.  There are at most as many rows as words sent; a shard
+    sends each of its words once.
+    """
+    total = counted.agg(F.coalesce(F.sum("n_terms"), F.lit(0))).first()[0]
+    n = max(8, -(-total // BUCKET_WORDS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                letters, lengths = opened(row["words"]), opened(row["lengths"], np.uint32).astype(np.int64)
+                ends = np.concatenate(([0], np.cumsum(lengths)))
+                at = cuts(word_hashes(letters, lengths), n)
+                full = np.flatnonzero(np.diff(at))
+                spans = [(at[b], at[b + 1]) for b in full.tolist()]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "shard": pa.array([row["shard"]] * len(full), pa.int64()), "lengths": pa.array([pressed(lengths[a:b].astype(np.uint32)) for a, b in spans], pa.binary()), "words": pa.array([pressed(letters[ends[a] : ends[b]]) for a, b in spans], pa.binary())})
+
+    def number(table: pa.Table) -> pa.Table:
+        lengths = [opened(x, np.uint32) for x in table.column("lengths").to_pylist()]
+        coded = pc.dictionary_encode(strings(np.concatenate([opened(x) for x in table.column("words").to_pylist()]), np.concatenate(lengths).astype(np.int64)))
+        codes = np.split(coded.indices.to_numpy().astype(np.uint32), np.cumsum([len(x) for x in lengths])[:-1])
+        letters, sizes = flat(coded.dictionary)
+        none = [None] * len(codes)
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * (len(codes) + 1), pa.int32()), "shard": pa.array([*table.column("shard").to_pylist(), None], pa.int64()), "codes": pa.array([*map(pressed, codes), None], pa.binary()), "lengths": pa.array([*none, pressed(sizes.astype(np.uint32))], pa.binary()), "words": pa.array([*none, pressed(letters)], pa.binary())})
+
+    sent = counted.select("shard", "lengths", "words").mapInArrow(send, "bucket int, shard long, lengths binary, words binary")
+    return written(sent.groupBy("bucket").applyInArrow(number, "bucket int, shard long, codes binary, lengths binary, words binary"), "numbered")
+
+
+def dictionary(numbered: DataFrame) -> DataFrame:
+    """term, word (bytes) of all distinct words of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = strings(opened(row["words"]), opened(row["lengths"], np.uint32).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array((row["bucket"] << 32) + np.arange(len(words))), words.cast(pa.binary())], names=["term", "word"])
+
+    return numbered.filter("shard is null").select("bucket", "lengths", "words").mapInArrow(run, "term long, word binary")
 
 
-def term_matrix(counted: DataFrame) -> DataFrame:
+def term_matrix(counted: DataFrame, numbered: DataFrame) -> DataFrame:
     """The document-term matrix in shards of compressed rows over the corpus's terms.
 
     indptr (int64), indices (int64, terms) and counts (uint32) are as
     ``shards.pressed`` packs them; the other columns of ``counted`` stay but words.
     """
-    words = counted.select("shard", F.posexplode("words").alias("at", "word"))
-    coded = joined(words, dictionary(counted), "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("coded"))
-    table = joined(counted.drop("words"), coded.select("shard", F.col("coded.term").alias("terms")), "shard", "left")
-    names = [c for c in counted.columns if c != "words"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.select(*names).schema)
+    coded = numbered.filter("shard is not null").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("coded"))
+    table = joined(counted.drop("n_terms", "lengths", "words"), coded, "shard", "left")
+    names = [c for c in table.columns if c != "coded"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)
-                terms = one.column(one.schema.get_field_index("terms"))[0]
-                terms = terms.values.to_numpy() if terms.is_valid else np.zeros(0, np.int64)
+                coded = one.column(one.schema.get_field_index("coded"))[0].as_py() or []
+                terms = np.concatenate([np.zeros(0, np.int64), *(opened(x["codes"], np.uint32).astype(np.int64) + (x["bucket"] << 32) for x in coded)])
                 indices = terms[opened(one.column(one.schema.get_field_index("indices"))[0].as_py(), np.uint32)]
                 yield pa.RecordBatch.from_arrays([pa.array([pressed(indices)], pa.binary()) if c == "indices" else one.column(one.schema.get_field_index(c)) for c in names], names=names)
 
@@ -152,7 +204,8 @@ def flagged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     Labels that repeat an id count as one, good or toxic if any is.  A very long
     text is a shard alone.  Extra columns are neither read nor returned.
     """
-    rows = written(judged(term_matrix(counted(docs, key, text, part))), "flags")
+    held = counted(docs, key, text, part)
+    rows = written(judged(term_matrix(held, numbered(held))), "flags")
     first = rows.filter("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     first = written(first.select("digest", "first"), "first")  # its join below can split a hot digest
     known = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
