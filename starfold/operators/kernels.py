@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starfold.operators import gp
+
 MAD_SCALE = 1.4826
 
 
@@ -22,27 +24,36 @@ def dealt(lc: DataFrame) -> DataFrame:
     return lc.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "tic_id")
 
 
-def per_star(lc: DataFrame, work: Callable[[np.ndarray, np.ndarray, dict], dict[str, object]], schema: str, columns: tuple[str, ...] = ("period", "t0", "duration")) -> DataFrame:
-    """One row or more per star from its time-ordered time and flux (over the median); the ephemeris comes as a dict.
+def over_median(pdf: pd.DataFrame, scaled: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Flux, and its errors if there is a column err, over the median flux where that is positive."""
+    f = pdf["f"].to_numpy(float)
+    med = np.median(f) if scaled else 1.0
+    med = med if med > 0 else 1.0
+    return f / med, pdf["err"].to_numpy(float) / med if "err" in pdf else None
+
+
+def per_star(lc: DataFrame, work: Callable[[np.ndarray, np.ndarray, dict], dict[str, object]], schema: str, columns: tuple[str, ...] = ("period", "t0", "duration"), scaled: bool = True) -> DataFrame:
+    """One row or more per star from its time-ordered time and flux, over the median if ``scaled``; ``columns`` come as a dict.
 
-    A curve that a kernel can't handle gives a row with its error, not a failed job.
+    The dict also has tic_id, and the flux errors as ``errors``: None without a
+    column err.  A curve that a kernel can't handle gives a row with its error,
+    not a failed job.
     """
     names = [f.strip().split()[0] for f in schema.split(",")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time", kind="stable")
-        f = pdf["f"].to_numpy(float)
-        med = np.median(f)
+        f, errors = over_median(pdf, scaled)
         try:
-            out = work(pdf["time"].to_numpy(float), f / med if med > 0 else f, {c: float(pdf[c].iloc[0]) for c in columns} | {"tic_id": int(pdf["tic_id"].iloc[0])})
+            out = work(pdf["time"].to_numpy(float), f, {c: float(pdf[c].iloc[0]) for c in columns} | {"tic_id": int(pdf["tic_id"].iloc[0]), "errors": errors})
             frame = pd.DataFrame({k: np.atleast_1d(v) if not isinstance(v, list) else v for k, v in out.items()})
             frame["error"] = None
         except Exception as e:  # noqa: BLE001
-            frame = pd.DataFrame({"error": [f"{type(e).__name__}: {e}"]})
+            frame = pd.DataFrame({n: [None] for n in names} | {"error": [f"{type(e).__name__}: {e}"]}, dtype=object)
         frame["tic_id"] = pdf["tic_id"].iloc[0]
         return frame.reindex(columns=["tic_id", *names, "error"])
 
-    return dealt(lc.select("tic_id", "time", "f", *columns)).groupBy("tic_id").applyInPandas(run, f"tic_id long, {schema}, error string")
+    return dealt(lc.select("tic_id", "time", "f", *(c for c in ("err",) if c in lc.columns), *columns)).groupBy("tic_id").applyInPandas(run, f"tic_id long, {schema}, error string")
 
 
 def robust(x: np.ndarray) -> float:
@@ -179,24 +190,53 @@ def spline_trend(t: np.ndarray, f: np.ndarray, window: float) -> np.ndarray:
     return trend
 
 
-TRENDS = {"biweight": biweight_trend, "median": median_trend, "savgol": savgol_trend, "spline": spline_trend}
-#: Methods that need libraries which are absent take their stand-in.
-TRENDS |= {"gp": biweight_trend, "wotan": biweight_trend}
+def gp_trend(t: np.ndarray, f: np.ndarray, window: float, error: np.ndarray | None = None, scales: tuple[float, ...] = (1.0,)) -> np.ndarray:
+    """The Gaussian process of ``gp``; stretches of under 8 points, and those it can't solve, take the biweight."""
+    if len(t) >= 8:
+        try:
+            return gp.trend(t, f, window, error, robust(f), scales)
+        except ArithmeticError:
+            pass
+    return biweight_trend(t, f, window)
+
+
+TRENDS = {"biweight": biweight_trend, "median": median_trend, "savgol": savgol_trend, "spline": spline_trend, "gp": gp_trend}
+#: A method whose library is absent takes its stand-in.
+TRENDS |= {"wotan": biweight_trend}
+
+
+def trended(t: np.ndarray, f: np.ndarray, method: str, window: float, tolerance: float, error: np.ndarray | None = None) -> np.ndarray:
+    """The trend by segment; only the Gaussian process asks for errors."""
+    if method == "gp":
+        return np.concatenate([gp_trend(t[s], f[s], window, None if error is None else error[s]) for s in segments(t, tolerance)])
+    return np.concatenate([TRENDS[method](t[s], f[s], window) for s in segments(t, tolerance)])
 
 
 def detrend(t: np.ndarray, f: np.ndarray, method: str = "biweight", window: float = 0.9, tolerance: float = 0.5, upper: float = 3.0, lower: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Time, flat flux and trend of the points that are left: flux over its trend by segment, over its median, less outliers; single precision, as stored."""
+    """Time, flat flux and trend of the points that are left, see ``detrend_errors``."""
+    return detrend_errors(t, f, None, method, window, tolerance, upper, lower)[:3]
+
+
+def detrend_errors(
+    t: np.ndarray, f: np.ndarray, error: np.ndarray | None, method: str = "biweight", window: float = 0.9, tolerance: float = 0.5, upper: float = 3.0, lower: float = 20.0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Time, flat flux, trend and errors of the points that are left.
+
+    Flux over its trend by segment, over its median, less outliers; single
+    precision, as stored.  Errors are divided by what the flux is divided by.
+    """
     if not len(t):
-        return t, f, f
-    trend = np.concatenate([TRENDS[method](t[s], f[s], window) for s in segments(t, tolerance)])
+        return t, f, f, error
+    trend = trended(t, f, method, window, tolerance, error)
     good = np.isfinite(trend) & (trend > 0)
-    t, flat, trend = t[good], f[good] / trend[good], trend[good]
+    t, flat, trend, error = t[good], f[good] / trend[good], trend[good], None if error is None else error[good] / trend[good]
     if len(flat):
-        flat = flat / np.median(flat)
+        middle = np.median(flat)
+        flat, error = flat / middle, None if error is None else error / middle
         s = robust(flat - 1)
         keep = (flat - 1 <= upper * s) & (flat - 1 >= -lower * s) if len(flat) >= 3 and s > 0 else np.ones(len(flat), bool)
-        t, flat, trend = t[keep], flat[keep], trend[keep]
-    return t, flat.astype(np.float32).astype(float), trend
+        t, flat, trend, error = t[keep], flat[keep], trend[keep], None if error is None else error[keep]
+    return t, flat.astype(np.float32).astype(float), trend, error
 
 
 def frequencies(baseline: float, low: float, high: float, width: float, oversample: float) -> np.ndarray:
@@ -210,6 +250,38 @@ def frequencies(baseline: float, low: float, high: float, width: float, oversamp
 DURATIONS = np.array([0.04, 0.06, 0.08, 0.12, 0.16, 0.22, 0.30])
 
 
+def fold_places(dt: np.ndarray, base: float, periods: np.ndarray, bins: int) -> np.ndarray:
+    """The phase bin of each time since the start under each period, row by row on from ``bins`` times the row.
+
+    Turns are fixed-point: what a product of 64 bits drops is whole turns.  Both
+    factors are rounded up, so a point on an edge is in the bin behind it; a phase
+    is off by some 1e-8 turns at most.
+    """
+    x = np.ceil(dt / max(base, 1e-9) * 2.0**38).astype(np.uint64)
+    rate = np.ceil(base / periods * 2.0**26).astype(np.uint64)
+    place = x[None, :] * rate[:, None]
+    place += np.uint64(1 << 32)  # the next shift rounds down; the last 2**-32 of a turn is the start of the next
+    place >>= np.uint64(32)
+    place *= np.uint64(bins)
+    place >>= np.uint64(32)
+    place += (np.arange(len(periods), dtype=np.uint64) * np.uint64(bins))[:, None]
+    return place.view(np.int64)
+
+
+def folded_sums(dt: np.ndarray, base: float, periods: np.ndarray, bins: int, weight: np.ndarray | None, centred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (or counts) and sums of ``centred`` by period and phase bin; a few periods at a time, so that places stay in the cache."""
+    m, n = len(periods), len(dt)
+    held, sums = np.empty((m, bins)), np.empty((m, bins))
+    few = max(1, (1 << 16) // n)
+    for x in range(0, m, few):
+        place = fold_places(dt, base, periods[x : x + few], bins)
+        k, flat = len(place), place.reshape(-1)
+        tiled = lambda v, k=k: (np.tile(v, k) if k > 1 else v)
+        held[x : x + k] = np.bincount(flat, None if weight is None else tiled(weight), k * bins).reshape(k, bins)
+        sums[x : x + k] = np.bincount(flat, tiled(centred), k * bins).reshape(k, bins)
+    return held, sums
+
+
 def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.ndarray = DURATIONS, bins: int = 200, error: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """For each period the best box over a folded histogram: power, duration, mid-transit and depth.
 
@@ -218,20 +290,19 @@ def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.
     boxes as differences of running sums.
     """
     n = len(t)
-    weight = np.ones(n)
+    weight = None
     if error is not None and np.isfinite(error).any():
         weight = 1 / np.where(np.isfinite(error) & (error > 0), error, np.nanmedian(error)) ** 2
         weight *= n / weight.sum()
-    start, mean = t[0], float((weight * f).sum() / weight.sum())
-    centred = weight * (f - mean)
+    start, base, mean = t[0], float(t[-1] - t[0]), float(f.mean() if weight is None else (weight * f).sum() / weight.sum())
+    centred = f - mean if weight is None else weight * (f - mean)
     noise = 1e-9 * float(np.abs(centred).sum())
     best = {k: np.zeros(len(periods)) for k in ("power", "duration", "t0", "depth")}
-    step = max(1, (1 << 17) // max(n, 4 * bins))
+    step = max(1, (1 << 17) // (4 * bins))
     for lo in range(0, len(periods), step):
         p = periods[lo : lo + step, None]
         m = len(p)
-        place = np.minimum(((t - start) / p % 1.0 * bins).astype(np.int64), bins - 1) + np.arange(m)[:, None] * bins
-        w, s = (np.bincount(place.reshape(-1), np.broadcast_to(x, (m, n)).reshape(-1), m * bins).reshape(m, bins) for x in (weight, centred))
+        w, s = folded_sums(t - start, base, p[:, 0], bins, weight, centred)
         cw, cs = (np.concatenate((np.zeros((m, 1)), np.cumsum(np.concatenate((x, x), axis=1), axis=1)), axis=1) for x in (w, s))
         top = np.zeros(m)
         before = np.zeros(m, np.int64)
@@ -320,17 +391,18 @@ def lomb_scargle(t: np.ndarray, f: np.ndarray, freq: np.ndarray) -> np.ndarray:
 METHODS = ("bls", "tls", "ls", "acf")
 
 
-def search(t: np.ndarray, f: np.ndarray, method: str = "bls", low: float = 0.5, high: float | None = None, oversample: float = 3.0, durations: np.ndarray | None = None, error: np.ndarray | None = None) -> dict[str, object]:
+def search(t: np.ndarray, f: np.ndarray, method: str = "bls", low: float = 0.5, high: float | None = None, oversample: float = 3.0, durations: np.ndarray | None = None, error: np.ndarray | None = None, radius: float = 1.0, mass: float = 1.0) -> dict[str, object]:
     """The best detection by one method, with its spectrum as periods and power.
 
-    Under ten points give a row of nulls.  ``tls`` has no library here: the box
-    search takes its place, and ``tls_fallback`` says so.
+    Under ten points give a row of nulls.  ``tls`` takes the star's radius and
+    mass, the sun's where they are not known; where it fails, the box search
+    takes its place, and ``tls_fallback`` says so.
     """
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"unknown search method {method!r}; one of {', '.join(METHODS)}")
     none = float("nan")
-    out: dict[str, object] = {"period": none, "t0": none, "duration": none, "depth": none, "sde": none, "snr": none, "method": "bls" if method == "tls" else method, "tls_fallback": "bls" if method == "tls" else None, "periods": [], "power": []}
+    out: dict[str, object] = {"period": none, "t0": none, "duration": none, "depth": none, "sde": none, "snr": none, "method": method, "tls_fallback": None, "periods": [], "power": []}
     if len(t) < 10:
         return out
     base = float(t[-1] - t[0])
@@ -342,6 +414,15 @@ def search(t: np.ndarray, f: np.ndarray, method: str = "bls", low: float = 0.5,
         freq = np.linspace(1 / high, 1 / low, n)
         power = lomb_scargle(t, f, freq)
         return out | {"period": float(1 / freq[int(np.argmax(power))]), "sde": sde(power), "periods": (1 / freq)[::-1].tolist(), "power": power[::-1].tolist()}
+    if method == "tls":
+        from starfold.operators import tls
+
+        known = lambda v: float(v) if v is not None and np.isfinite(v) and v > 0 else 1.0
+        try:
+            found = tls.search(t, f, low, high, oversample, known(radius), known(mass), error)
+            return out | finalised(t, f, found) | {"periods": found["periods"].tolist(), "power": found["power"].tolist()}
+        except ArithmeticError:
+            out |= {"method": "bls", "tls_fallback": "bls"}
     widths = DURATIONS if durations is None else np.atleast_1d(np.asarray(durations, float))
     widths = widths[widths < 0.5 * high]
     widths = widths if len(widths) else np.array([min(float(DURATIONS[0]), 0.1 * high)])

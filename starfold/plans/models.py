@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starfold.config import Search
-from starfold.operators import kernels, learn
+from starfold.operators import blocks, gp, kernels, learn
 from starfold.plans import pipeline
 from starfold.plans.stars import FEATURE_NAMES, _flags, features
 from starfold.sources.tables import light_curves, stars, table
@@ -29,12 +29,28 @@ def _trend(method: str):
     QUERIES[f"detrend_{method}"] = lambda spark, sf: kernels.detrended(light_curves(spark, sf), method)
 
 
-for _name in ("biweight", "median", "savgol", "spline"):
+for _name in ("biweight", "median", "savgol", "spline", "gp"):
     _trend(_name)
 
+
+@query()
+def gp_scales(spark, sf):
+    """The likelihood of each curve under oscillators of one to eight times the window, and which scale has the greatest."""
+    def work(t, f, e):
+        sigma, rho, noise = gp.settings(t, f, 3.0, None, kernels.robust(f))
+        scales = np.array([1.0, 2.0, 4.0, 8.0])
+        found = gp.likelihoods(t, f, rho * scales, sigma, noise)
+        return {"rho": rho * scales, "log_likelihood": found, "best": found == found.max()}
+
+    return kernels.per_star(light_curves(spark, sf), work, "rho double, log_likelihood double, best boolean", ())
+
+
 _PERIODS = np.array([1.0 + 0.5 * i for i in range(8)])
 
 
+_TRANSITS = ("rp_rs", "transit_count", "distinct_transit_count", "depth_mean_odd", "depth_mean_even", "odd_even_mismatch")
+
+
 @query()
 def bls_search(spark, sf):
     """The box search alone over the full grid, without its spectrum."""
@@ -43,7 +59,7 @@ def bls_search(spark, sf):
 
 @query()
 def tls_search(spark, sf):
-    """The box search in the place of a library that is absent, marked so."""
+    """Limb-darkened dips over the periods and durations that each star's radius and mass allow."""
     return _search(spark, sf, "tls")
 
 
@@ -54,10 +70,13 @@ def lomb_scargle_search(spark, sf):
 
 def _search(spark, sf, method: str):
     def work(t, f, e):
-        found = kernels.search(t, f, method, Search.period_min, Search.period_max)
-        return {k: v for k, v in found.items() if k not in ("periods", "power", "peak")} | {"n_periods": len(found["periods"])}
+        found = kernels.search(t, f, method, Search.period_min, Search.period_max, radius=e["radius"], mass=e["mass"])
+        return {k: found.get(k) for k in ("period", "t0", "duration", "depth", "sde", "snr", "method", "tls_fallback", *(_TRANSITS if method == "tls" else ()))} | {"n_periods": len(found["periods"])}
 
-    return kernels.per_star(light_curves(spark, sf), work, "period double, t0 double, duration double, depth double, sde double, snr double, n_periods long, method string, tls_fallback string")
+    none = F.lit(float("nan"))
+    lc = light_curves(spark, sf).join(stars(spark, sf).select("tic_id", "radius", "mass"), "tic_id", "left").withColumns({c: F.coalesce(F.col(c), none) for c in ("radius", "mass")})
+    more = ", rp_rs double, transit_count long, distinct_transit_count long, depth_mean_odd double, depth_mean_even double, odd_even_mismatch double" if method == "tls" else ""
+    return kernels.per_star(lc, work, "period double, t0 double, duration double, depth double, sde double, snr double, n_periods long, method string, tls_fallback string" + more, ("radius", "mass"))
 
 
 @query()
@@ -72,7 +91,8 @@ def bls_kernel(spark, sf):
 
 @query()
 def two_stage_search(spark, sf):
-    return kernels.per_star(light_curves(spark, sf), lambda t, f, e: kernels.two_stage(t, f, Search.period_min, Search.period_max, Search.coarse, Search.fine), "period double, t0 double, duration double, depth double, sde double, snr double, n_periods long, method string")
+    """Coarse, then fine; a star of very many points is searched by several tasks."""
+    return blocks.two_stage(light_curves(spark, sf), Search.period_min, Search.period_max, Search.coarse, Search.fine)
 
 
 @query()
