@@ -148,12 +148,20 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False
     rows = queries.select(deal("vec_id", x).alias("x"), each(y).alias("y"), F.lit(True).alias("asks"), F.col("vec_id").cast("long").alias("id"), v)
     rows = rows.unionByName(vectors.select(each(x).alias("x"), deal("vec_id", y).alias("y"), F.lit(False).alias("asks"), F.col("vec_id").cast("long").alias("id"), v))
 
+    return best_of(rows.groupBy("x", "y").applyInArrow(meeting(k, cosine), NEAR), k)
+
+
+NEAR = "query_id long, vec_id long, d2 double"
+
+
+def meeting(k: int, cosine: bool):
+    """A grouped function: the k nearest of a group's vectors (asks: false) to each of its queries (asks: true)."""
+
     def meet(table: pa.Table) -> pa.Table:
         ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-        m = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
+        m = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         if cosine:
-            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m = np.where(size > 0, m / np.where(size > 0, size, 1), m)
+            m = directions(m)
         order = np.flatnonzero(~asks)[np.argsort(ids[~asks], kind="stable")]  # equal distances go by id
         out = {"query_id": [], "vec_id": [], "d2": []}
         for i in np.flatnonzero(asks).tolist():
@@ -164,7 +172,17 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, cosine: bool = False
             out["d2"] += d2[best].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "d2": pa.array(out["d2"], pa.float64())})
 
-    near = rows.groupBy("x", "y").applyInArrow(meet, "query_id long, vec_id long, d2 double")
+    return meet
+
+
+def directions(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows of zeros stay."""
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.where(size > 0, m / np.where(size > 0, size, 1), m)
+
+
+def best_of(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query with their rank; equal distances go by id."""
     order = Window.partitionBy("query_id").orderBy("d2", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starfold.config import Search
-from starfold.operators import blocks, gp, kernels, learn
+from starfold.operators import blocks, gp, index, kernels, learn
 from starfold.plans import pipeline
 from starfold.plans.stars import FEATURE_NAMES, _flags, features
-from starfold.sources.tables import light_curves, stars, table
+from starfold.sources.tables import kept_folder, light_curves, stars, table
 from starfold.streaming.sessions import star_sessions
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -175,3 +175,14 @@ def star_session_windows(spark, sf):
     """The streaming operator on a finished stream."""
     s = star_sessions(table(spark, sf, "events"))
     return s.select("tic_id", F.unix_micros("start").alias("start_us"), F.unix_micros("stop").alias("stop_us"), "n", "sum_f", "max_f")
+
+
+@query()
+def knn_index(spark, sf):
+    """The ten nearest of every twentieth vector by a kept index of all, with the share of true neighbours it finds."""
+    v = table(spark, sf, "embeddings")
+    path = kept_folder(spark, "index")
+    index.build(v, path)
+    asked, kept = v.filter("vec_id % 20 = 0"), index.Index(spark, path)
+    found = kept.nearest(asked)
+    return found.join(index.recall(found, kept.nearest(asked, exact=True)), "query_id")

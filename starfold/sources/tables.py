@@ -19,21 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again, for what is used more than once.
-
-    Only where that is unset, in local runs, a folder of this process is taken.
-    """
-    spark = df.sparkSession
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of ``spark.checkpoint.dir``; only where that is unset, in local runs, in one of this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="starfold-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a ``kept_folder`` and read again, for what is used more than once."""
+    path = kept_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
