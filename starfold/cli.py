@@ -1,4 +1,4 @@
-"""Command line: demo, run and report."""
+"""Command line: demo, run, train and report."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def demo(args) -> int:
 
     spark = session()
     lc = synthetic.generate(spark, synthetic.population(args.n, args.seed), args.days, args.minutes)
-    rows = pipeline.process(lc.withColumn("f", F.col("flux").cast("double")), lc.select("tic_id", "crowdsap", F.lit(1.0).alias("radius"), F.lit(1.0).alias("mass")).distinct(), config.load(args.config) if args.config else config.Config()).cache()
+    rows = pipeline.process(lc.withColumn("f", F.col("flux").cast("double")), lc.select("tic_id", "crowdsap", F.lit(1.0).alias("radius"), F.lit(1.0).alias("mass")).distinct(), config.load(args.config) if args.config else config.Config())
     files.write_catalog(rows, f"{args.out}/catalog", args.format)
     print(pipeline.report(rows))
     truth = rows.join(lc.select("tic_id", "label").distinct(), "tic_id")
@@ -29,33 +29,69 @@ def demo(args) -> int:
     return 0
 
 
-def run(args) -> int:
+def curves(spark, path: str):
+    """(tic_id, time, f, err) and the stars' attributes of all files under a path; ValueError or OSError if there are none."""
     from pyspark.sql import functions as F
 
+    from starfold.operators import clean
+    from starfold.sources import files
+
+    raw = files.read_folder(spark, path)
+    if "error" in raw.columns:
+        raw = raw.filter("error is null")
+    lc = clean.finite_points(raw.withColumns({"f": F.col("flux").cast("double"), "err": F.coalesce(F.col("flux_err").cast("double"), F.lit(float("nan")))}))
+    if "quality" in lc.columns:
+        lc = lc.filter("coalesce(quality, 0) = 0")
+    names = ("crowdsap", "radius", "mass", "teff", "tmag")
+    known = lc.groupBy("tic_id").agg(*((F.max(F.col(c).cast("double")) if c in lc.columns else F.lit(None).cast("double")).alias(c) for c in names))
+    return lc.select("tic_id", "time", "f", "err"), known
+
+
+def run(args) -> int:
     from starfold import config
-    from starfold.operators import catalog, clean
+    from starfold.operators import catalog, learn
     from starfold.plans import pipeline
     from starfold.sources import files
 
     spark = session()
     try:
-        raw = files.read_folder(spark, args.input)
+        lc, known = curves(spark, args.input)
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 2
-    if "error" in raw.columns:
-        raw = raw.filter("error is null")
-    lc = clean.finite_points(raw.withColumn("f", F.col("flux").cast("double")))
-    if "quality" in lc.columns:
-        lc = lc.filter("coalesce(quality, 0) = 0")
     if args.resume:
         lc = catalog.pending(lc, files.read_manifest(spark, f"{args.resume}/manifest"))
-    known = lc.groupBy("tic_id").agg(*(F.max(c).cast("double").alias(c) if c in lc.columns else F.lit(None).cast("double").alias(c) for c in ("crowdsap", "radius")), F.lit(None).cast("double").alias("mass"))
-    rows = pipeline.process(lc.select("tic_id", "time", "f"), known, config.load(args.config) if args.config else config.Config())
+    models = learn.load(args.models, ("ml",)) if args.models else None
+    rows = pipeline.process(lc, known, config.load(args.config) if args.config else config.Config(), models=models)
     files.write_bundle(rows, None, args.out, args.format)
     return 0
 
 
+def train(args) -> int:
+    """A model from the curves of labelled stars; labels are a CSV with a header of tic_id and label."""
+    from pyspark.sql import functions as F
+
+    from starfold import config
+    from starfold.operators import learn
+    from starfold.plans import pipeline, training
+    from starfold.sources import files
+    from starfold.sources.tables import saved
+
+    spark = session()
+    try:
+        lc, known = curves(spark, args.input)
+    except (ValueError, OSError) as e:
+        print(e, file=sys.stderr)
+        return 2
+    labels = spark.read.option("header", True).csv(args.labels).select(files.tic_number(F.col("tic_id")).alias("tic_id"), "label")
+    rows = saved(training.training_set(pipeline.features_of(lc, known, config.load(args.config) if args.config else config.Config()), labels), "training")
+    if rows.isEmpty():
+        print("no star has a known label", file=sys.stderr)
+        return 2
+    learn.save({"ml": learn.trained(rows, list(learn.FEATURES))}, args.out)
+    return 0
+
+
 def report(args) -> int:
     from starfold.plans import pipeline
     from starfold.sources import files
@@ -67,7 +103,7 @@ def report(args) -> int:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="starfold")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, fn in (("demo", demo), ("run", run), ("report", report)):
+    for name, fn in (("demo", demo), ("run", run), ("train", train), ("report", report)):
         s = sub.add_parser(name)
         s.set_defaults(fn=fn)
         s.add_argument("--format", default="parquet", choices=("csv", "json", "parquet"))
@@ -79,9 +115,13 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--seed", type=int, default=0)
             s.add_argument("--days", type=float, default=16.0)
             s.add_argument("--minutes", type=float, default=8.0)
-        if name == "run":
+        if name in ("run", "train"):
             s.add_argument("--input", required=True)
+        if name == "run":
             s.add_argument("--resume")
+            s.add_argument("--models")
+        if name == "train":
+            s.add_argument("--labels", required=True)
         if name == "report":
             s.add_argument("--catalog", required=True)
     args = p.parse_args(argv)

@@ -93,7 +93,7 @@ def with_truth(predicted: DataFrame, truth: DataFrame, order: str) -> DataFrame:
 
 
 def cone_search(targets: DataFrame, sources: DataFrame, radius: float) -> DataFrame:
-    """All sources within ``radius`` degrees of each target: (tic_id, source_id, distance).
+    """All sources within ``radius`` degrees of each target: (tic_id, source_id, mag, distance, and ruwe where sources have it).
 
     Both sides are dealt to cells of the sky one radius high; a source meets the
     cells around it only, so the join is by equal keys, not by distance.  Cells
@@ -104,13 +104,14 @@ def cone_search(targets: DataFrame, sources: DataFrame, radius: float) -> DataFr
     across = lambda b: F.greatest(F.floor(F.lit(360.0 / radius) * F.greatest(F.cos(F.radians(F.least(F.abs((b + 0.5) * radius - 90) + 1.5 * radius, F.lit(90.0)))), F.lit(0.0))), F.lit(1.0)).cast("int")
     cell = lambda r, b: F.floor(F.col(r) / 360.0 * across(b)).cast("int")
     t = targets.select("tic_id", F.col("ra").alias("ra1"), F.col("dec").alias("dec1")).withColumn("zone", band("dec1")).withColumn("cell", cell("ra1", F.col("zone")))
-    s = sources.select("source_id", F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "mag").withColumn("own", band("dec2")).withColumn("zone", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.least(F.col("own") + 1, F.lit(int(zones) + 1)))))
+    more = [c for c in ("ruwe",) if c in sources.columns]
+    s = sources.select("source_id", F.col("ra").alias("ra2"), F.col("dec").alias("dec2"), "mag", *more).withColumn("own", band("dec2")).withColumn("zone", F.explode(F.sequence(F.greatest(F.col("own") - 1, F.lit(0)), F.least(F.col("own") + 1, F.lit(int(zones) + 1)))))
     n = across(F.col("zone"))
     s = s.withColumn("mid", cell("ra2", F.col("zone"))).withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(F.col("mid") + k, n)))))
     a, b = F.radians("dec1"), F.radians("dec2")
     half = F.sin((b - a) / 2) * F.sin((b - a) / 2) + F.cos(a) * F.cos(b) * F.sin(F.radians(F.col("ra2") - F.col("ra1")) / 2) * F.sin(F.radians(F.col("ra2") - F.col("ra1")) / 2)
     found = t.join(s, ["zone", "cell"]).withColumn("distance", F.degrees(2 * F.asin(F.least(F.sqrt(half), F.lit(1.0)))))
-    return found.filter(F.col("distance") <= radius).select("tic_id", "source_id", "mag", "distance")
+    return found.filter(F.col("distance") <= radius).select("tic_id", "source_id", "mag", "distance", *more)
 
 
 def neighbours(cone: DataFrame) -> DataFrame:

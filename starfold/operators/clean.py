@@ -78,6 +78,15 @@ def inverse_variance(lc: DataFrame, error: str = "flux_err") -> DataFrame:
     return raw.withColumn("weight", F.col("_w") / F.sum("_w").over(star())).drop("_w")
 
 
+#: What the weights of a star add up to, as integers: sums of them don't depend on the order.
+UNITS = 1_000_000_000
+
+
+def weight_units(lc: DataFrame, error: str = "flux_err") -> DataFrame:
+    """weight: that of ``inverse_variance`` in ``UNITS``, as a whole number."""
+    return inverse_variance(lc, error).withColumn("weight", F.round(F.col("weight") * UNITS).cast("long"))
+
+
 def time_binned(lc: DataFrame, bins: int = 20) -> DataFrame:
     """Equal widths over each star's span; mean and standard error, null in bins without rows."""
     w = lc.select("tic_id", "time", "f", F.min("time").over(star()).alias("lo"), F.max("time").over(star()).alias("hi"))

@@ -282,18 +282,32 @@ def folded_sums(dt: np.ndarray, base: float, periods: np.ndarray, bins: int, wei
     return held, sums
 
 
+def point_weights(error: np.ndarray | None) -> np.ndarray | None:
+    """Inverse squared errors, one on average; unusable errors count as the median of the usable, and without any there are no weights."""
+    if error is None:
+        return None
+    good = np.isfinite(error) & (error > 0)
+    if not good.any():
+        return None
+    weight = 1 / np.where(good, error, np.median(error[good])) ** 2
+    return weight * (len(error) / weight.sum())
+
+
+def usable_errors(f: np.ndarray, error: np.ndarray | None) -> np.ndarray:
+    """Errors above 0, and the robust scatter, or else the plain one, in the place of the others."""
+    scatter = robust(f) or float(f.std()) or 1e-3
+    return np.full(len(f), scatter) if error is None else np.where(np.isfinite(error) & (error > 0), error, scatter)
+
+
 def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.ndarray = DURATIONS, bins: int = 200, error: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """For each period the best box over a folded histogram: power, duration, mid-transit and depth.
 
-    With errors points weigh by their inverse squares, without they weigh alike.
+    With errors points weigh by ``point_weights``, without they weigh alike.
     Periods go in blocks: one count for all their histograms, then each width's
     boxes as differences of running sums.
     """
     n = len(t)
-    weight = None
-    if error is not None and np.isfinite(error).any():
-        weight = 1 / np.where(np.isfinite(error) & (error > 0), error, np.nanmedian(error)) ** 2
-        weight *= n / weight.sum()
+    weight = point_weights(error)
     start, base, mean = t[0], float(t[-1] - t[0]), float(f.mean() if weight is None else (weight * f).sum() / weight.sum())
     centred = f - mean if weight is None else weight * (f - mean)
     noise = 1e-9 * float(np.abs(centred).sum())
@@ -519,7 +533,7 @@ def fit_trapezoid(t: np.ndarray, f: np.ndarray, period: float, t0: float, durati
     flat = float((((f - 1) / sigma) ** 2).sum())
     error = np.sqrt(np.maximum(np.diag(cov), 0)) * sigma
     bic = 4 * np.log(max(len(f), 1)) + chi2
-    return {"t0": t0 + x[0], "depth": x[1], "duration": x[2], "ingress": x[3], "t0_err": error[0], "depth_err": error[1], "duration_err": error[2], "bic_transit": bic, "bic_flat": flat, "delta_bic": flat - bic, "v_shape_metric": min(x[3] / 0.5, 1.0)}
+    return {"t0": t0 + x[0], "depth": x[1], "duration": x[2], "ingress": x[3], "t0_err": error[0], "depth_err": error[1], "duration_err": error[2], "bic_transit": bic, "bic_flat": flat, "delta_bic": flat - bic, "v_shape_metric": min(x[3] / 0.5, 1.0), "trapezoid_chi2": chi2}
 
 
 def occulted(z: np.ndarray, k: np.ndarray) -> np.ndarray:
@@ -638,8 +652,7 @@ def fit_transit(t: np.ndarray, f: np.ndarray, period: float, t0: float, duration
         return seed_only(period, t0, duration, depth or none, snr, "no period")
     if len(t) < 8:
         return seed_only(period, t0, duration, depth or none, snr, "under 8 points")
-    scatter = robust(f) or 1e-3
-    err = np.full(len(f), scatter) if error is None else np.where(np.isfinite(error) & (error > 0), error, np.nanmedian(error) if np.isfinite(error).any() else scatter)
+    err = usable_errors(f, error)
     trap = fit_trapezoid(t, f, period, t0 if np.isfinite(t0) else float(t[0]), duration, depth)
     height, width, at = float(np.clip(trap["depth"], 1e-6, 0.95)), trap["duration"], trap["t0"]
     k, b = float(np.sqrt(height)), 0.3

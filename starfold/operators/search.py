@@ -38,12 +38,18 @@ def fixed_periods(n: int, low: float = 1.0, step: float = 0.5) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("period_idx"), F.lit(low + step * i).alias("period")) for i in range(n)))
 
 
-def histogram(lc: DataFrame, periods: Column, bins: int) -> DataFrame:
-    """Counts and sums of flux by star, period and phase bin from the star's first time; partial sums make this one small shuffle."""
-    x = lc.select("tic_id", "f", (F.col("time") - F.min("time").over(star())).alias("dt")).select("tic_id", "f", "dt", F.inline(periods))
+def histogram(lc: DataFrame, periods: Column, bins: int, weight: str | None = None) -> DataFrame:
+    """Counts and sums of flux by star, period and phase bin from the star's first time; partial sums make this one small shuffle.
+
+    With ``weight``, a column of whole numbers (``clean.weight_units``), n and s
+    are sums of it and of flux times it, and all that follows is weighted.
+    """
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    x = lc.select("tic_id", "f", w.alias("w"), (F.col("time") - F.min("time").over(star())).alias("dt")).select("tic_id", "f", "w", "dt", F.inline(periods))
     turn = F.col("dt") / F.col("period")
     b = F.least(F.floor((turn - F.floor(turn)) * bins), F.lit(bins - 1)).cast("int")
-    return x.withColumn("bin", b).groupBy("tic_id", "period_idx", "period", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("s"))
+    n, s = (F.sum("w"), F.sum(F.col("w") * F.col("f"))) if weight else (F.count(F.lit(1)), F.sum("f"))
+    return x.withColumn("bin", b).groupBy("tic_id", "period_idx", "period", "bin").agg(n.alias("n"), s.alias("s"))
 
 
 def box_power(hist: DataFrame, bins: int, durations: tuple[float, ...]) -> DataFrame:

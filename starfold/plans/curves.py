@@ -251,6 +251,30 @@ def bls_power(spark, sf):
     return _spectrum(spark, sf)
 
 
+# the same with weights: the quality number in the place of an error
+_UNITS = "u0 AS (SELECT *, CASE WHEN quality > 0 THEN quality::DOUBLE END AS g FROM lc), u1 AS (SELECT *, coalesce(g, median(g) OVER (PARTITION BY tic_id), 1.0::DOUBLE) AS u FROM u0), u2 AS (SELECT *, round(1 / (u * u) / sum(1 / (u * u)) OVER (PARTITION BY tic_id) * 1000000000)::BIGINT AS w FROM u1), "
+_WBLS = (
+    _BLS.replace("d0 AS (SELECT tic_id, f, time", _UNITS + "d0 AS (SELECT tic_id, f, w, time").replace("FROM lc),\nhx AS", "FROM u2),\nhx AS")
+    .replace("per.period, f, least", "per.period, f, w, least").replace("count(*) AS n, sum(f)::BIGINT AS s", "sum(w)::BIGINT AS n, sum(w * f)::BIGINT AS s")
+)
+
+
+def _weighted(spark, sf):
+    lc = clean.weight_units(light_curves(spark, sf).withColumn("flux_err", F.col("quality").cast("double")))
+    return search.histogram(lc, search.fixed_periods(BLS_PERIODS), BLS_BINS, "weight")
+
+
+@query(_WBLS + " SELECT * FROM hist")
+def bls_weighted_histogram(spark, sf):
+    """Inverse-variance weights in the bins, as whole numbers that add up to 10**9 by star and period."""
+    return _weighted(spark, sf)
+
+
+@query(_WBLS + " SELECT tic_id, period_idx, period, power, dur_idx, start, depth FROM spec")
+def bls_weighted_power(spark, sf):
+    return search.spectrum(search.box_power(_weighted(spark, sf), BLS_BINS, BLS_DURATIONS))
+
+
 _BEST = _BLS + ", best AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY tic_id ORDER BY power DESC, period_idx) AS rn FROM spec) WHERE rn = 1)"
 
 

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from starfold.functions import columns as X
-from starfold.operators import catalog, classify, clean, fold, vetting
+from starfold.operators import catalog, classify, clean, fold, learn, vetting
 from starfold.plans.curves import COUNT_SQL, DEPTH_SQL, FOLD_SQL, FOLDED_SQL, SECOND_SQL
 from starfold.sources.tables import LC_SQL, STARS_SQL, light_curves, saved, stars, table
 
@@ -152,8 +152,8 @@ def fit_gate(spark, sf):
 
 
 _FEATURES = ("period", "log_period", "t0", "depth", "log_depth", "duration", "duration_over_period", "transit_snr", "n_transits", "odd_even_depth_sigma", "odd_depth", "even_depth", "secondary_depth", "secondary_snr", "secondary_phase", "secondary_to_primary", "uniqueness", "implied_rp_rjup", "stellar_density_ratio", "rp_rs", "crowdsap", "sweet_metric", "flux_mad", "radius", "mass", "tmag")
-#: All features in order; those that the bound tables have no numbers for are null.
-FEATURE_NAMES = ("period", "log_period", "t0", "depth", "log_depth", "duration", "duration_over_period", "ingress_egress_ratio", "transit_snr", "sde", "n_transits", "delta_bic", "odd_even_depth_sigma", "odd_depth", "even_depth", "secondary_depth", "secondary_snr", "secondary_phase", "secondary_to_primary", "v_shape_metric", "trapezoid_chi2", "uniqueness", "implied_rp_rjup", "stellar_density_ratio", "rp_rs", "a_rs", "b", "inclination", "crowdsap", "centroid_offset", "sweet_metric", "flux_mad", "oot_rms", "teff", "logg", "radius", "mass", "tmag")
+#: All features; those that the bound tables have no numbers for are null.
+FEATURE_NAMES = learn.FEATURES
 
 
 def features(m):

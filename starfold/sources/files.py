@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import json
 import warnings
 
 import numpy as np
@@ -35,6 +34,21 @@ def tic_number(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.trim(c)), r"^TIC\s*", "").try_cast("bigint")
 
 
+#: How names of archive files carry a star's number: after TIC, as 16 digits, or as nine after kplr or ktwo.
+STAR_NUMBER = r"(?i)tic[ _-]*0*(\d+)|(?<!\d)(\d{16})(?!\d)|(?:kplr|ktwo)0*(\d+)"
+
+
+def plain_name(c: Column) -> Column:
+    """A path or name of ``_metadata`` without its escapes, in which a plus is a plus."""
+    return F.url_decode(F.regexp_replace(c, r"\+", "%2B"))
+
+
+def star_number(file_name: Column) -> Column:
+    """The star's number in a file's name, null if it has none; other digits are dates, sectors or versions."""
+    found = [F.regexp_extract(file_name, STAR_NUMBER, k) for k in (1, 2, 3)]
+    return F.coalesce(*(F.when(x != "", x) for x in found)).try_cast("bigint")
+
+
 class DataUnavailable(RuntimeError):
     """Data that would have to come over a network."""
 
@@ -66,12 +80,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """time, flux, flux_err, metadata of ``META`` and source_path of one file or all in a folder.
 
     Files may differ in their columns and the order of them: those of one header
-    are read together, by their own names.  A file without id takes the number in
-    its name, or a hash of its path.  Files without time or flux are left out
+    are read together, by their own names.  A file without id takes the star's
+    number in its name (see ``star_number``), or a hash of its path.  Files without time or flux are left out
     with a warning; if no other is there, that is an error.
     """
     try:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+        lines = spark.read.text(path).select("value", plain_name(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
         heads = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
         kinds = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()  # paths, which Spark lists on the driver anyway
     except AnalysisException as e:
@@ -85,11 +99,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
             continue
         number = lambda c, to="double": F.expr(f"try_cast(`{c}` as {to})") if c else F.lit(None).cast(to)
         low = {c.lower(): c for c in raw.columns}
-        name = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{2,})", 1)
         given = tic_number(F.col(f"`{low['tic_id']}`")) if "tic_id" in low else F.lit(None).cast("long")
         part = raw.select(
             number(found["time"]).alias("time"), number(found["flux"]).cast("float").alias("flux"), number(found["flux_err"]).cast("float").alias("flux_err"),
-            F.coalesce(given, name.try_cast("bigint"), F.xxhash64("_metadata.file_path")).alias("tic_id"), *(number(low.get(m)).alias(m) for m in META if m != "tic_id"), F.col("_metadata.file_path").alias("source_path"),
+            F.coalesce(given, star_number(plain_name(F.col("_metadata.file_name"))), F.xxhash64("_metadata.file_path")).alias("tic_id"), *(number(low.get(m)).alias(m) for m in META if m != "tic_id"), F.col("_metadata.file_path").alias("source_path"),
         )
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -220,9 +233,10 @@ def write_sidecars(rows: DataFrame, path: str) -> None:
 
 
 def write_curves(lc: DataFrame, path: str) -> None:
-    """time, flux and flux_err as CSV with a header, in a folder by star."""
+    """tic_id, time, flux and flux_err as CSV with headers, in files dealt by id: a star's rows lie together, in order of time."""
+    parts = int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = lc.select("tic_id", "time", F.col("flux" if "flux" in lc.columns else "f").alias("flux"), (F.col("flux_err") if "flux_err" in lc.columns else F.lit(None)).cast("double").alias("flux_err"))
-    kept.repartition("tic_id").sortWithinPartitions("tic_id", "time").write.mode("overwrite").partitionBy("tic_id").option("header", True).csv(path)
+    kept.repartitionByRange(parts, "tic_id").sortWithinPartitions("tic_id", "time").write.mode("overwrite").option("header", True).csv(path)
 
 
 MANIFEST = "tic_id string, sector string, label string, confidence double, snr double, period double, done boolean"
@@ -267,6 +281,3 @@ def markdown(rows: DataFrame, most: int = 15) -> str:
     shown = lambda v: "" if v is None else f"{v:.5g}" if isinstance(v, float) else str(v)
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *(line([shown(v) for v in r]) for r in head)])
 
-
-def manifest_record(row: dict) -> str:
-    return json.dumps({k: row.get(k) for k in ("sector", "label", "confidence", "snr", "period")} | {"done": True})

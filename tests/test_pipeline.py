@@ -58,3 +58,43 @@ def test_ensemble_weights(spark):
     none = {c: F.lit(None).cast("double") for c in classify.CLASSES}
     row = spark.range(1).select(*(v.alias(k) for k, v in classify.mixed({"rules": p, "ml": q, "cnn": none}).items())).first()
     assert row["transit"] == pytest.approx((0.25 * 0.7 + 0.1) / 1.25) and sum(row) == pytest.approx(1)
+
+
+def test_errors_reach_search_and_fit(spark):
+    """Every fifth point is worthless and says so: with its errors the dip is found and measured, without them it is not."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    t = np.arange(0, 16, 0.02)
+    f = np.where(np.abs(((t - 1) / 3.3 + 0.5) % 1 - 0.5) * 3.3 < 0.08, 0.997, 1.0) + rng.normal(0, 4e-4, len(t))
+    err = np.full(len(t), 4e-4)
+    bad = np.arange(0, len(t), 5)
+    f[bad] += rng.normal(0, 0.03, len(bad))
+    err[bad] = 0.03
+    lc = spark.createDataFrame([(1, float(a), float(b), float(c)) for a, b, c in zip(t, f, err, strict=True)], "tic_id long, time double, f double, err double")
+    setting = config.merged(config.Config(), {"detrend": {"method": "none"}, "search": {"period_min": 0.8, "period_max": 7.0}})
+    given, plain = (pipeline.process(x, config=setting).first() for x in (lc, lc.drop("err")))
+    assert given["period"] == pytest.approx(3.3, rel=0.01) and given["error"] is None
+    assert abs(plain["period"] / 3.3 - 1) > 0.01 or plain["depth"] > 1.5 * given["depth"]
+    flat = pipeline.flat_curves(lc, config.merged(setting, {"detrend": {"method": "gp"}}))
+    assert flat.filter("err > 0.02").count() > 100
+
+
+def test_training_and_a_run_with_its_model(spark, tmp_path, monkeypatch):
+    from starfold import cli
+    from starfold.sources import files
+
+    kinds = [k for _ in range(3) for k in ("transit", "eclipsing_binary", "blend", "variable")]
+    lc = synthetic.generate(spark, [(k, i) for i, k in enumerate(kinds)], 10, 30)
+    files.write_curves(lc, str(tmp_path / "in"))
+    rows = [f"TIC {r['tic_id']},{r['label']}" for r in lc.select("tic_id", "label").distinct().collect()]
+    (tmp_path / "labels.csv").write_text("tic_id,label\n" + "\n".join(rows) + "\n")
+    (tmp_path / "c.yaml").write_text("search:\n  period_min: 0.8\n  period_max: 4\n  coarse: 12\n")
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    same = ["--input", str(tmp_path / "in"), "--config", str(tmp_path / "c.yaml")]
+    assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--out", str(tmp_path / "models")]) == 0
+    assert cli.main(["run", *same, "--models", str(tmp_path / "models"), "--out", str(tmp_path / "out")]) == 0
+    got = files.read_catalog(spark, str(tmp_path / "out/catalog")).collect()
+    assert len(got) == len(kinds) and {r["classify_method"] for r in got} == {"ensemble"}
+    assert all(sum(r[f"prob_{c}"] for c in classify.CLASSES) == pytest.approx(1) for r in got)
+    assert cli.main(["run", "--input", str(tmp_path / "none"), "--out", str(tmp_path / "x")]) == 2

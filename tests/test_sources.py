@@ -16,7 +16,7 @@ def test_csv_aliases(spark, tmp_path):
 
 
 def test_csv_files_of_different_headers_and_without_ids(spark, tmp_path):
-    (tmp_path / "a12.csv").write_text("time,flux\n1.0,10\n2.0,11\n")
+    (tmp_path / "TIC-12.csv").write_text("time,flux\n1.0,10\n2.0,11\n")
     (tmp_path / "b.csv").write_text("flux,time,flux_err,tic_id\n20,5.0,0.5,TIC 77\n")
     (tmp_path / "c.csv").write_text("day,light\n1,2\n")
     with pytest.warns(UserWarning):
@@ -52,7 +52,21 @@ def test_bundle_and_manifest(spark, tmp_path):
     assert files.read_manifest(spark, str(tmp_path / "none")).count() == 0 and spark.read.text(f"{out}/sidecars").count() == 2
     files.write_curves(spark.createDataFrame([(3, 2.0, 1.0), (3, 1.0, 0.5)], "tic_id long, time double, f double"), str(tmp_path / "lc"))
     got = spark.read.option("header", True).csv(str(tmp_path / "lc"))
-    assert got.count() == 2 and got.columns == ["time", "flux", "flux_err", "tic_id"]
+    assert got.columns == ["tic_id", "time", "flux", "flux_err"] and [r["time"] for r in got.collect()] == ["1.0", "2.0"]
+    back = files.read_csv(spark, str(tmp_path / "lc"))
+    assert {(r["tic_id"], r["time"], r["flux"]) for r in back.collect()} == {(3, 1.0, 0.5), (3, 2.0, 1.0)}
+
+
+def test_ids_of_archive_files(spark, tmp_path):
+    names = {
+        "tess2018206045859-s0001-0000000038846515-0120-s_lc.csv": 38846515, "tess2018206045859-s0001-0000000038846999-0120-s_lc.csv": 38846999, "TIC 0077_s12_2019.csv": 77, "tic_5.csv": 5,
+        "kplr011904151-2009131105131_llc.csv": 11904151, "sector12-2018206045859.csv": None, "curve7.csv": None,
+    }
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(f"time,flux\n{i}.0,1\n")
+    got = {int(r["time"]): r["tic_id"] for r in files.read_csv(spark, str(tmp_path)).collect()}
+    assert all(got[i] == n for i, n in enumerate(names.values()) if n is not None)
+    assert len(set(got.values())) == len(names) and all(abs(got[i]) > 10**12 for i, n in enumerate(names.values()) if n is None)
 
 
 def card(k, v):
