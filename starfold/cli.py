@@ -72,7 +72,7 @@ def train(args) -> int:
     from pyspark.sql import functions as F
 
     from starfold import config
-    from starfold.operators import learn
+    from starfold.operators import boosting, learn
     from starfold.plans import pipeline, training
     from starfold.sources import files
     from starfold.sources.tables import saved
@@ -88,7 +88,7 @@ def train(args) -> int:
     if rows.isEmpty():
         print("no star has a known label", file=sys.stderr)
         return 2
-    learn.save({"ml": learn.trained(rows, list(learn.FEATURES))}, args.out)
+    learn.save({"ml": boosting.fit(rows, list(learn.FEATURES), rounds=args.rounds) if args.learner == "boosting" else learn.trained(rows, list(learn.FEATURES))}, args.out)
     return 0
 
 
@@ -122,6 +122,8 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--models")
         if name == "train":
             s.add_argument("--labels", required=True)
+            s.add_argument("--learner", default="boosting", choices=("boosting", "forest"))
+            s.add_argument("--rounds", type=int, default=400)
         if name == "report":
             s.add_argument("--catalog", required=True)
     args = p.parse_args(argv)

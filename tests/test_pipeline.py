@@ -82,6 +82,7 @@ def test_errors_reach_search_and_fit(spark):
 
 def test_training_and_a_run_with_its_model(spark, tmp_path, monkeypatch):
     from starfold import cli
+    from starfold.operators import learn
     from starfold.sources import files
 
     kinds = [k for _ in range(3) for k in ("transit", "eclipsing_binary", "blend", "variable")]
@@ -92,7 +93,9 @@ def test_training_and_a_run_with_its_model(spark, tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text("search:\n  period_min: 0.8\n  period_max: 4\n  coarse: 12\n")
     monkeypatch.setattr(cli, "session", lambda: spark)
     same = ["--input", str(tmp_path / "in"), "--config", str(tmp_path / "c.yaml")]
-    assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--out", str(tmp_path / "models")]) == 0
+    assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--rounds", "3", "--out", str(tmp_path / "models")]) == 0
+    assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--learner", "forest", "--out", str(tmp_path / "forest")]) == 0
+    assert set(learn.load(str(tmp_path / "forest"), ("ml",))) == {"ml"}
     assert cli.main(["run", *same, "--models", str(tmp_path / "models"), "--out", str(tmp_path / "out")]) == 0
     got = files.read_catalog(spark, str(tmp_path / "out/catalog")).collect()
     assert len(got) == len(kinds) and {r["classify_method"] for r in got} == {"ensemble"}
