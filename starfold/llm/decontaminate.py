@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from starfold.llm.common import load
+from starfold.llm.common import free, load
 from starfold.llm.words import ALNUM, LOWER, U64, bounds, grams, hashes, slices, spread
 
 WINDOW = 10
@@ -204,7 +205,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", columns: list[st
     known = F.lit(None).cast("array<struct<start: long, stop: long, words: long>>")
     out = docs.select(*dict.fromkeys([*carried, text])).withColumns({"items": F.array().cast("array<string>"), "spans": known})
     base = [f for f in docs.select(*dict.fromkeys([*carried, text])).schema]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base] + [FIELDS])
+    schema = StructType([*base, *StructType.fromDDL(FIELDS)])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("words", pa.int64())]))
     for block in blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)  # one copy for all tasks of a worker; at most a block's size
@@ -233,14 +234,20 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", columns: list[st
 
 def strip(docs: DataFrame, items: DataFrame, text: str = "text", least_words: int = 1, most_coverage: float = 0.5) -> DataFrame:
     """``docs`` without the spans of ``least_words`` hit words or more, and without
-    documents of whose words over ``most_coverage`` are hit.  Columns stay as they are."""
-    found = find(docs, items, text)
+    documents of whose words over ``most_coverage`` are hit.  All other columns stay as
+    they are, of whatever names: they are carried in a struct.  Null and empty texts
+    stay, repeated rows lose the same, and a very long text is scanned like any other."""
+    others = [c for c in docs.columns if c != text]
+    row = free("row", [text])
+    held = docs.select(F.struct(F.lit(0).alias("0"), *(F.col(f"`{c}`") for c in others)).alias(row), text)
+    found = find(held, items, text)
     raw = F.col(text).cast("binary")
     gone = F.filter("spans", lambda s: s["words"] >= least_words)
     left = F.aggregate(gone, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")), lambda acc, s: F.struct(s["stop"].alias("at"), F.array_append(acc["parts"], F.substring(raw, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")).cast("string")).alias("parts")))
     cut = F.concat(F.array_join(left["parts"], ""), F.substring(raw, left["at"].cast("int") + 1, F.octet_length(raw)).cast("string"))
     kept = found.filter(F.col("n_hit") <= F.col("n_words") * most_coverage)
-    return kept.withColumn(text, F.when(F.size(gone) > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    told = kept.withColumn(text, F.when(F.size(gone) > 0, cut).otherwise(F.col(text)))
+    return told.select(*(F.col(c) if c == text else F.col(row).getField(c).alias(c) for c in docs.columns))
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

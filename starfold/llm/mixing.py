@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starfold.llm.common import free
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: The weights dealt to the sources in code point order, again and again.
 WEIGHTS = (3, 1, 2)
@@ -54,18 +56,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     its source's rate alone, so reruns agree, however rows are partitioned.
     """
     sized = docs.drop("source_size", "target", "copies").withColumn("size", word_count())
-    goals = source_targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "_source")
+    own = free("_source", docs.columns)
+    goals = source_targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # One row per source: small enough to broadcast, or else AQE splits the hot source of the sort-merge join.
     return (
-        sized.join(goals, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        sized.join(goals, F.col("source").eqNullSafe(F.col(own)), "left").drop(own)
         .withColumn("copies", (F.floor(rate) + (chance(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("long"))
     )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """Each document as often as the mix takes it; ``columns`` of it, of whatever names."""
+    times = F.sequence(F.lit(1), F.col("copies").cast("int"))
+    return mixed.filter(F.col("copies") > 0).withColumn(free("_copy", mixed.columns), F.explode(times)).select(*(F.col(f"`{c}`") for c in columns))
+
+
+def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
+    """Whole rows of ``docs``, each as often as the mix takes it: columns named like the mix's own are carried unchanged."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+    return emit(mix(held, **settings), ["row"]).select("row.*")
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

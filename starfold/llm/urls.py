@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import load, written
+from starfold.llm.common import free, load, written
 from starfold.llm.words import U64, mix
 
 #: The rules of the query, as (host and path, verdict).
@@ -190,11 +190,12 @@ def judge(pages: DataFrame, listed_host: Column | None = None, rules=RULES, max_
         universe = read.select(F.col("host").alias("key")).distinct().withColumn("listed", F.coalesce(listed_host, F.lit(False)))
     universe = universe.withColumn("listed", F.col("listed") & (F.col("key") != ""))
     cascades = build_cascades(universe, max_bits)
-    seen = read.withColumns(dict(zip(("_a", "_b"), _pair("host"), strict=True)))
+    a, b, bad = (free(x, read.columns) for x in ("_a", "_b", "_bad"))
+    seen = read.withColumns(dict(zip((a, b), _pair("host"), strict=True)))
     if len(cascades) > 1:
         cascades = [pages.sparkSession.sparkContext.broadcast(c) for c in cascades]
-    seen = seen.withColumn("_bad", _member(cascades, "_a", "_b")).drop("_a", "_b")
-    return seen.withColumns({"rule": rule, "verdict": F.coalesce(says, F.when(F.col("_bad"), "block").otherwise("allow"))}).drop("_bad")
+    seen = seen.withColumn(bad, _member(cascades, a, b)).drop(a, b)
+    return seen.withColumns({"rule": rule, "verdict": F.coalesce(says, F.when(F.col(bad), "block").otherwise("allow"))}).drop(bad)
 
 
 def op6_urls(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from starfold.llm import decontaminate, urls
 from tests.llm.fixtures import table
 
 
@@ -55,3 +58,28 @@ def test_stages_bear_odd_rows_and_none(spark):
     for df in (table(spark), table(spark, [])):
         for name, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, "/root/testdata/sf0.001").count() <= 4 * df.count() + 1, name
+
+
+CLASHES = "size target source_size copies _copy _source row own rid n_words n_hit items spans known w rate level _a _b _bad id sa sb bands c component component_id unit kept n_shingles class_distance common_distance base_failed word_chars shard h pair".split()
+
+
+def test_columns_of_all_internal_names_come_back(spark):
+    """Every stage but the last, and the url judge, with a column of each name that operators use inside."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, "/root/testdata/sf0.001")
+        assert out.dtypes == more.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES), name
+        plain = stage(spark, docs, "/root/testdata/sf0.001").collect()
+        assert sorted(tuple(r[c] for c in docs.columns) for r in rows) == sorted(tuple(r) for r in plain), name
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    told = urls.judge(pages.select("*", *(F.concat(F.lit(f"{c}:"), F.col("page_id").cast("string")).alias(c) for c in CLASHES)))
+    assert all(r[c] == f"{c}:{r['page_id']}" for r in told.collect() for c in CLASHES)
+
+
+def test_docs_of_text_alone_are_stripped(spark):
+    docs = spark.createDataFrame([("a b c",), (None,)], "text string")
+    items = spark.createDataFrame([("i", "x y")], "item_id string, text string")
+    assert [r["text"] for r in decontaminate.strip(docs, items).collect()] == ["a b c", None]
