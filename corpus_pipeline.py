@@ -29,14 +29,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the benchmark's windows; n_chars follows the text.  Null and empty texts stay, repeated rows lose the same."""
+    """Texts without the benchmark's windows; n_chars follows the text.  Null and empty texts stay, repeated rows lose the same, very long ones are scanned whole.  Other columns of whatever names stay."""
     clean = decontaminate.strip(docs, load(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate takes it, at most twice; null sources are one, null and empty texts count 0 words."""
-    return mixing.emit(mixing.mix(docs), docs.columns)
+    """Each document as often as its source's rate takes it, at most twice; null sources are one, null and empty texts count 0 words.  Columns of whatever names stay."""
+    return mixing.mixed_rows(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
