@@ -1,4 +1,4 @@
-"""Command line: demo, run, train and report."""
+"""Command line: demo, run, follow, train and report."""
 
 from __future__ import annotations
 
@@ -29,24 +29,6 @@ def demo(args) -> int:
     return 0
 
 
-def curves(spark, path: str):
-    """(tic_id, time, f, err) and the stars' attributes of all files under a path; ValueError or OSError if there are none."""
-    from pyspark.sql import functions as F
-
-    from starfold.operators import clean
-    from starfold.sources import files
-
-    raw = files.read_folder(spark, path)
-    if "error" in raw.columns:
-        raw = raw.filter("error is null")
-    lc = clean.finite_points(raw.withColumns({"f": F.col("flux").cast("double"), "err": F.coalesce(F.col("flux_err").cast("double"), F.lit(float("nan")))}))
-    if "quality" in lc.columns:
-        lc = lc.filter("coalesce(quality, 0) = 0")
-    names = ("crowdsap", "radius", "mass", "teff", "tmag")
-    known = lc.groupBy("tic_id").agg(*((F.max(F.col(c).cast("double")) if c in lc.columns else F.lit(None).cast("double")).alias(c) for c in names))
-    return lc.select("tic_id", "time", "f", "err"), known
-
-
 def run(args) -> int:
     from starfold import config
     from starfold.operators import catalog, learn
@@ -55,7 +37,7 @@ def run(args) -> int:
 
     spark = session()
     try:
-        lc, known = curves(spark, args.input)
+        lc, known = files.curves(spark, args.input)
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 2
@@ -67,6 +49,19 @@ def run(args) -> int:
     return 0
 
 
+def follow(args) -> int:
+    """Takes the files of a folder in batches, and goes on where an earlier run ended."""
+    from starfold import config
+    from starfold.operators import learn
+    from starfold.streaming import arrivals
+
+    spark = session()
+    models = learn.load(args.models, ("ml",)) if args.models else None
+    query = arrivals.follow(spark, args.input, args.out, config.load(args.config) if args.config else config.Config(), models, args.most, not args.forever)
+    query.awaitTermination()
+    return 0
+
+
 def train(args) -> int:
     """A model from the curves of labelled stars; labels are a CSV with a header of tic_id and label."""
     from pyspark.sql import functions as F
@@ -79,7 +74,7 @@ def train(args) -> int:
 
     spark = session()
     try:
-        lc, known = curves(spark, args.input)
+        lc, known = files.curves(spark, args.input)
     except (ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 2
@@ -103,7 +98,7 @@ def report(args) -> int:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="starfold")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, fn in (("demo", demo), ("run", run), ("train", train), ("report", report)):
+    for name, fn in (("demo", demo), ("run", run), ("follow", follow), ("train", train), ("report", report)):
         s = sub.add_parser(name)
         s.set_defaults(fn=fn)
         s.add_argument("--format", default="parquet", choices=("csv", "json", "parquet"))
@@ -115,11 +110,15 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--seed", type=int, default=0)
             s.add_argument("--days", type=float, default=16.0)
             s.add_argument("--minutes", type=float, default=8.0)
-        if name in ("run", "train"):
+        if name in ("run", "follow", "train"):
             s.add_argument("--input", required=True)
+        if name in ("run", "follow"):
+            s.add_argument("--models")
         if name == "run":
             s.add_argument("--resume")
-            s.add_argument("--models")
+        if name == "follow":
+            s.add_argument("--most", type=int, default=10_000)
+            s.add_argument("--forever", action="store_true")
         if name == "train":
             s.add_argument("--labels", required=True)
             s.add_argument("--learner", default="boosting", choices=("boosting", "forest"))

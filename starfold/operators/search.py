@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,25 @@ def period_grid(baselines: DataFrame, low: float = 1.0, high: float | None = Non
     return g.select("tic_id", "n", F.posexplode(F.transform(F.sequence(F.col("n") - 1, F.lit(0), F.lit(-1)), lambda i: 1 / (F.col("fmin") + F.col("df") * i))).alias("period_idx", "period"))
 
 
+class GridRows:
+    """The rows of ``period_grid`` for one star, one after the other: a long grid never is one array."""
+
+    def eval(self, baseline: float | None, low: float, high: float | None, width: float, oversample: float, most: int) -> Iterator[tuple[int, int, float]]:
+        top = high or (baseline or 0.0) / 2
+        if baseline and baseline > 0 and top > low:
+            first, step = 1 / top, oversample * width / (baseline * baseline)
+            n = max(min(math.ceil((1 / low - first) / step) + 1, most), 16)
+            for i in range(n):
+                yield n, i, 1 / (first + step * (n - 1 - i))
+
+
+def period_grid_rows(baselines: DataFrame, low: float = 1.0, high: float | None = None, width: float = 0.3, oversample: float = 40.0, most: int = 2000000) -> DataFrame:
+    """``period_grid`` by a table function joined laterally."""
+    grid = F.udtf(GridRows, returnType="n int, period_idx int, period double")
+    rows = grid(F.col("baseline").outer(), F.lit(low), F.lit(high).cast("double"), F.lit(width), F.lit(oversample), F.lit(most))
+    return baselines.lateralJoin(rows).select("tic_id", "n", "period_idx", "period")
+
+
 def period_grid_cached(baselines: DataFrame, low: float = 1.0, oversample: float = 1.0) -> DataFrame:
     """The other grid: step 1 / (oversample * baseline), longest period the baseline itself."""
     g = baselines.filter(F.col("baseline") > low).withColumn("df", 1 / (F.lit(oversample) * F.col("baseline")))

@@ -207,12 +207,21 @@ def transit_epochs(spark, sf):
 _SPAN = _W + ", sp AS (SELECT tic_id, max(time) - min(time) AS baseline FROM lc GROUP BY tic_id)"
 
 
-@query(_SPAN + """, g AS (SELECT *, 1 / (baseline / 2) AS fmin, 12.0::DOUBLE / (baseline * baseline) AS df FROM sp), n AS (SELECT *, greatest(least(ceil((1.0::DOUBLE - fmin) / df) + 1, 2000000), 16)::INT AS n FROM g WHERE baseline / 2 > 1.0)
+_GRID = (_SPAN + """, g AS (SELECT *, 1 / (baseline / 2) AS fmin, 12.0::DOUBLE / (baseline * baseline) AS df FROM sp), n AS (SELECT *, greatest(least(ceil((1.0::DOUBLE - fmin) / df) + 1, 2000000), 16)::INT AS n FROM g WHERE baseline / 2 > 1.0)
 SELECT tic_id, n, period_idx::INT AS period_idx, 1 / (fmin + df * (n - 1 - period_idx)) AS period FROM (SELECT *, unnest(range(0, n)) AS period_idx FROM n)""")
+
+
+@query(_GRID)
 def period_grid(spark, sf):
     return search.period_grid(search.spans(light_curves(spark, sf)))
 
 
+@query(_GRID)
+def period_grid_rows(spark, sf):
+    """The same grid by a table function."""
+    return search.period_grid_rows(search.spans(light_curves(spark, sf)))
+
+
 @query(_SPAN + """, g AS (SELECT *, 1 / baseline AS df FROM sp WHERE baseline > 1.0), n AS (SELECT *, (floor((1.0::DOUBLE - 1 / baseline) / df) + 1)::INT AS n FROM g)
 SELECT tic_id, period_idx::INT AS period_idx, 1 / (1 / baseline + df * (n - 1 - period_idx)) AS period FROM (SELECT *, unnest(range(0, n)) AS period_idx FROM n)""")
 def period_grid_cache(spark, sf):

@@ -63,7 +63,11 @@ def panel_phase_zoom(spark, sf):
     return fold.panel_phase(light_curves(spark, sf), zoom=True)
 
 
-@query(FOLD_SQL + f" SELECT * FROM ({_panel_sql(f'SELECT tic_id, f, phase AS x FROM fo WHERE {_ODD}', 40, ', chr(111) || chr(100) || chr(100) AS side')}) UNION ALL SELECT * FROM ({_panel_sql(f'SELECT tic_id, f, phase AS x FROM fo WHERE NOT ({_ODD})', 40, ', chr(101) || chr(118) || chr(101) || chr(110) AS side')})".replace("chr(111) || chr(100) || chr(100)", "'odd'").replace("chr(101) || chr(118) || chr(101) || chr(110)", "'even'"))
+def _side_sql(side: str, which: str) -> str:
+    return "SELECT * FROM (" + _panel_sql(f"SELECT tic_id, f, phase AS x FROM fo WHERE {which}", 40, f", '{side}' AS side") + ")"
+
+
+@query(FOLD_SQL + " " + _side_sql("odd", _ODD) + " UNION ALL " + _side_sql("even", f"NOT ({_ODD})"))
 def panel_odd_even(spark, sf):
     return fold.panel_odd_even(light_curves(spark, sf))
 

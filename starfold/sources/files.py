@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starfold.operators import clean
 from starfold.operators.catalog import FLAG_COLUMNS, TEXT, conform
 
 #: Names under which files carry a column, in order of preference.
@@ -76,7 +77,7 @@ def read_labels(spark: SparkSession, path: str, mission: str = "tess") -> DataFr
         return spark.createDataFrame([], LABELS[mission])
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """time, flux, flux_err, metadata of ``META`` and source_path of one file or all in a folder.
 
     Files may differ in their columns and the order of them: those of one header
@@ -89,7 +90,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         heads = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("head"))
         kinds = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()  # paths, which Spark lists on the driver anyway
     except AnalysisException as e:
-        raise FileNotFoundError(path) from e
+        raise FileNotFoundError(str(path)) from e
     out, bad = None, []
     for kind in kinds:
         raw = spark.read.option("header", True).csv(kind["paths"])
@@ -112,14 +113,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Every light curve of a folder: FITS at any depth and CSV beside it, as time, flux, flux_err, quality, metadata, source_path, error."""
+def read_folder(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every light curve of a folder, or of a list of files: FITS at any depth and CSV beside it, as time, flux, flux_err, quality, metadata, source_path, error."""
     import itertools
 
+    if isinstance(path, str):
+        tables, binaries = path if path.endswith(".csv") else f"{path.rstrip('/')}/*.csv", path
+    else:
+        tables, binaries = [p for p in path if p.endswith(".csv")], [p for p in path if not p.endswith(".csv")]
     parts = []
-    for reader in (lambda: read_fits(spark, path), lambda: read_csv(spark, path if path.endswith(".csv") else f"{path.rstrip('/')}/*.csv")):
+    for reader, which in ((read_fits, binaries), (read_csv, tables)):
         try:
-            parts.append(reader())
+            if which:
+                parts.append(reader(spark, which))
         except (FileNotFoundError, ValueError, AnalysisException) as e:
             message = str(e).split("\n")[0]
             if not isinstance(e, FileNotFoundError):
@@ -129,6 +135,22 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return list(itertools.accumulate(parts, lambda a, b: a.unionByName(b, allowMissingColumns=True)))[-1]
 
 
+def curves(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(tic_id, time, f, err) of all good points under a path or of a list of files, and the stars' attributes.
+
+    ValueError or OSError if there are none.
+    """
+    raw = read_folder(spark, path)
+    if "error" in raw.columns:
+        raw = raw.filter("error is null")
+    lc = clean.finite_points(raw.withColumns({"f": F.col("flux").cast("double"), "err": F.coalesce(F.col("flux_err").cast("double"), F.lit(float("nan")))}))
+    if "quality" in lc.columns:
+        lc = lc.filter("coalesce(quality, 0) = 0")
+    names = ("crowdsap", "radius", "mass", "teff", "tmag")
+    known = lc.groupBy("tic_id").agg(*((F.max(F.col(c).cast("double")) if c in lc.columns else F.lit(None).cast("double")).alias(c) for c in names))
+    return lc.select("tic_id", "time", "f", "err"), known
+
+
 _KINDS = {"D": ">f8", "E": ">f4", "K": ">i8", "J": ">i4", "I": ">i2", "B": "u1", "L": "S1"}
 
 
@@ -185,7 +207,7 @@ def harvested(header: dict[str, object]) -> dict[str, float | None]:
 _FITS = "source_path string, tic_id long, sector int, tmag double, teff double, radius double, crowdsap double, ra double, dec double, time double, flux float, flux_err float, quality int, error string"
 
 
-def read_fits(spark: SparkSession, path: str, flux_column: str = "PDCSAP_FLUX") -> DataFrame:
+def read_fits(spark: SparkSession, path: str | list[str], flux_column: str = "PDCSAP_FLUX") -> DataFrame:
     """Long form of the binary tables under ``path``; a broken file gives one row with its error.
 
     Without the named flux the first known alias counts; errors are those of the
