@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.operators import clean
-from starfold.operators.catalog import FLAG_COLUMNS, TEXT, conform
+from starfold.operators.catalog import conform
+from starfold.sources import fits
 
 #: Names under which files carry a column, in order of preference.
 ALIASES = {
@@ -151,44 +152,6 @@ def curves(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataF
     return lc.select("tic_id", "time", "f", "err"), known
 
 
-_KINDS = {"D": ">f8", "E": ">f4", "K": ">i8", "J": ">i4", "I": ">i2", "B": "u1", "L": "S1"}
-
-
-def decode_fits(raw: bytes) -> tuple[dict[str, object], dict[str, np.ndarray]]:
-    """Header values of all units and the columns of the first binary table."""
-    at, header, columns = 0, {}, {}
-    while at < len(raw):
-        own: dict[str, object] = {}
-        ended = False
-        while not ended:
-            block = raw[at : at + 2880].decode("ascii", "replace")
-            at += 2880
-            for card in (block[i : i + 80] for i in range(0, 2880, 80)):
-                if card.startswith("END"):
-                    ended = True
-                    break
-                if card[8:10] == "= ":
-                    text = card[10:].strip()
-                    if text.startswith("'"):
-                        own[card[:8].strip()] = text[1:].split("'")[0].strip()
-                    else:
-                        text = text.split("/")[0].strip()
-                        own[card[:8].strip()] = text == "T" if text in ("T", "F") else float(text) if any(x in text for x in ".E") and text else int(text) if text.lstrip("+-").isdigit() else None
-            if at >= len(raw):
-                ended = True
-        header |= {k: v for k, v in own.items() if k not in header}
-        size = abs(int(own.get("BITPIX", 8))) // 8
-        for i in range(1, int(own.get("NAXIS", 0)) + 1):
-            size *= int(own.get(f"NAXIS{i}", 0))
-        size = size if own.get("NAXIS", 0) else 0
-        if own.get("XTENSION") == "BINTABLE" and not columns:
-            kind = np.dtype([(str(own[f"TTYPE{i}"]), _KINDS[str(own[f"TFORM{i}"])[-1]]) for i in range(1, int(own["TFIELDS"]) + 1)])
-            table = np.frombuffer(raw, kind, int(own["NAXIS2"]), at)
-            columns = {n: table[n] for n in kind.names}
-        at += -(-size // 2880) * 2880
-    return header, columns
-
-
 def harvested(header: dict[str, object]) -> dict[str, float | None]:
     """Of each of ``HEADERS`` the first name that has a number."""
     def first(names: tuple[str, ...]) -> float | None:
@@ -204,35 +167,37 @@ def harvested(header: dict[str, object]) -> dict[str, float | None]:
     return {k: first(names) for k, names in HEADERS.items()}
 
 
-_FITS = "source_path string, tic_id long, sector int, tmag double, teff double, radius double, crowdsap double, ra double, dec double, time double, flux float, flux_err float, quality int, error string"
+FITS = "source_path string, tic_id long, sector int, tmag double, teff double, radius double, crowdsap double, ra double, dec double, time double, flux float, flux_err float, quality int, error string"
 
 
-def read_fits(spark: SparkSession, path: str | list[str], flux_column: str = "PDCSAP_FLUX") -> DataFrame:
-    """Long form of the binary tables under ``path``; a broken file gives one row with its error.
+def curve_of(name: str, raw: bytes, flux_column: str = "PDCSAP_FLUX") -> pd.DataFrame:
+    """The rows of ``FITS`` of one file; a broken one gives one row with its error.
 
     Without the named flux the first known alias counts; errors are those of the
     column with ``_err`` after its name.
     """
-    names = [f.strip().split()[0] for f in _FITS.split(",")]
+    try:
+        header, cols = fits.decoded(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+        low = {k.lower(): v for k, v in cols.items()}
+        own = flux_column.lower() if flux_column.lower() in low else alias(list(low), "flux")
+        meta = harvested(header)
+        flux = low[own]
+        meta |= {k: None if meta[k] is None else int(meta[k]) for k in ("tic_id", "sector")}
+        out = pd.DataFrame({"source_path": name, **meta, "time": low[alias(list(low), "time")].astype(float), "flux": flux.astype(np.float32), "flux_err": low.get(f"{own}_err", np.full(len(flux), np.nan)).astype(np.float32), "quality": low.get("quality", np.zeros(len(flux))).astype(int), "error": None})
+    except Exception as e:  # noqa: BLE001
+        out = pd.DataFrame({"source_path": [name], "error": [f"{type(e).__name__}: {e}"]})
+    return out.reindex(columns=[f.strip().split()[0] for f in FITS.split(",")])
+
 
+def read_fits(spark: SparkSession, path: str | list[str], flux_column: str = "PDCSAP_FLUX") -> DataFrame:
+    """``FITS`` of the binary tables under ``path``, plain, gzipped or compressed by tiles; see ``curve_of``."""
     def run(frames):
         for frame in frames:
             for name, raw in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    content = gzip.decompress(bytes(raw)) if name.endswith(".gz") else bytes(raw)
-                    header, cols = decode_fits(content)
-                    low = {k.lower(): v for k, v in cols.items()}
-                    own = flux_column.lower() if flux_column.lower() in low else alias(list(low), "flux")
-                    meta = harvested(header)
-                    flux = low[own]
-                    meta |= {k: None if meta[k] is None else int(meta[k]) for k in ("tic_id", "sector")}
-                    out = pd.DataFrame({"source_path": name, **meta, "time": low[alias(list(low), "time")].astype(float), "flux": flux.astype(np.float32), "flux_err": low.get(f"{own}_err", np.full(len(flux), np.nan)).astype(np.float32), "quality": low.get("quality", np.zeros(len(flux))).astype(int), "error": None})
-                except Exception as e:  # noqa: BLE001
-                    out = pd.DataFrame({"source_path": [name], "error": [f"{type(e).__name__}: {e}"]})
-                yield out.reindex(columns=names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fits,fit,fits.gz,fit.gz}").load(path)
-    return files.select("path", "content").mapInPandas(run, _FITS)
+                yield curve_of(name, bytes(raw), flux_column)
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{fits,fit,fz,fits.gz,fit.gz}").load(path)
+    return found.select("path", "content").mapInPandas(run, FITS)
 
 
 def write_catalog(rows: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -21,7 +21,7 @@ from starfold.sources import files
 
 def names(spark: SparkSession, folder: str, most: int = 10_000) -> DataFrame:
     """The paths of light-curve files as they arrive, ``most`` a batch; contents are not read."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{csv,fits,fit,fits.gz,fit.gz}").option("maxFilesPerTrigger", most)
+    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{csv,fits,fit,fz,fits.gz,fit.gz}").option("maxFilesPerTrigger", most)
     return raw.schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
 
 

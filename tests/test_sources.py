@@ -1,8 +1,10 @@
+import gzip
+
 import numpy as np
 import pytest
 
 from starfold.operators import catalog
-from starfold.sources import files, synthetic
+from starfold.sources import files, fits, synthetic
 from starfold.streaming.sessions import point_stream, star_sessions
 
 
@@ -93,6 +95,92 @@ def test_fits(spark, tmp_path):
     assert len(good) == 5 and {r["tic_id"] for r in good} == {42} and sum(r["quality"] for r in good) == 32 and len(rows) == 6
 
 
+def rice_bytes(values, size, block=32):
+    """The Rice code by the book: for each block the shortest of all codes."""
+    bits, unpacked, wide = fits.RICE[size]
+    mask, out, last = (1 << wide) - 1, "", int(values[0]) & (1 << wide) - 1
+    out += format(last, f"0{wide}b")
+    for k in range(0, len(values), block):
+        diffs = []
+        for v in values[k : k + block]:
+            d = ((int(v) & mask) - last + (1 << wide - 1) & mask) - (1 << wide - 1)
+            diffs.append(d << 1 if d >= 0 else ~(d << 1))
+            last = int(v) & mask
+        diffs = [d & mask for d in diffs]
+        plain = format(unpacked + 1, f"0{bits}b") + "".join(format(d, f"0{wide}b") for d in diffs)
+        coded = ["0" * bits] if not any(diffs) else []
+        for code in range(unpacked):
+            if max(d >> code for d in diffs) < 200:
+                coded.append(format(code + 1, f"0{bits}b") + "".join("0" * (d >> code) + "1" + (format(d & (1 << code) - 1, f"0{code}b") if code else "") for d in diffs))
+        out += min([plain, *coded], key=len)
+    out += "0" * (-len(out) % 8)
+    return int(out, 2).to_bytes(len(out) // 8, "big")
+
+
+@pytest.mark.parametrize("size", [1, 2, 4])
+def test_rice_code(size):
+    rng = np.random.default_rng(size)
+    top = 1 << 8 * size - 1
+    for values in (rng.integers(-9, 9, 100), np.zeros(70, int), rng.integers(-top, top, 40), np.array([5]), np.cumsum(rng.integers(-3, 4, 200))):
+        values = values % 256 if size == 1 else np.clip(values, -top, top - 1)
+        assert np.array_equal(fits.rice(rice_bytes(values, size), len(values), size), values)
+
+
+def packed_fits(table, per=7):
+    """The table as tiles of ``per`` rows: times shuffled and zipped, errors as they are, fluxes zipped, flags by Rice."""
+    how = {"TIME": "GZIP_2", "PDCSAP_FLUX": "GZIP_1", "PDCSAP_FLUX_ERR": "NOCOMPRESS", "QUALITY": "RICE_1"}
+    heap, heads = b"", []
+    for k in range(0, len(table), per):
+        for name, kind in how.items():
+            x = np.ascontiguousarray(table[name][k : k + per])
+            raw = x.tobytes()
+            if kind == "GZIP_2":
+                raw = np.frombuffer(raw, np.uint8).reshape(len(x), -1).T.tobytes()
+            one = rice_bytes(x, 4) if kind == "RICE_1" else raw if kind == "NOCOMPRESS" else gzip.compress(raw)
+            heads.append((len(one), len(heap)))
+            heap += one
+    n = -(-len(table) // per)
+    head = "".join([card("SIMPLE", "T"), card("BITPIX", "8"), card("NAXIS", "0"), card("TICID", "43"), "END".ljust(80)]).ljust(2880)
+    cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", "8"), card("NAXIS", "2"), card("NAXIS1", str(8 * len(how))), card("NAXIS2", str(n)), card("PCOUNT", str(len(heap))), card("GCOUNT", "1"), card("TFIELDS", str(len(how))), card("ZTABLE", "T"), card("ZTILELEN", str(per)), card("ZNAXIS1", str(table.dtype.itemsize)), card("ZNAXIS2", str(len(table)))]
+    for i, (name, kind) in enumerate(how.items(), 1):
+        cards += [card(f"TTYPE{i}", f"'{name}'"), card(f"TFORM{i}", "'1PB'"), card(f"ZFORM{i}", f"'{ {'>f8': 'D', '>f4': 'E', '>i4': 'J'}[table.dtype[name].str] }'"), card(f"ZCTYP{i}", f"'{kind}'")]
+    text = "".join([*cards, "END".ljust(80)])
+    body = np.array(heads, ">i4").tobytes() + heap
+    return (head + text.ljust(-(-len(text) // 2880) * 2880)).encode() + body + b"\0" * (-len(body) % 2880)
+
+
+def plain_fits(table):
+    forms = {">f8": "D", ">f4": "E", ">i4": "J"}
+    head = "".join([card("SIMPLE", "T"), card("BITPIX", "8"), card("NAXIS", "0"), card("TICID", "43"), "END".ljust(80)]).ljust(2880)
+    cards = [card("XTENSION", "'BINTABLE'"), card("BITPIX", "8"), card("NAXIS", "2"), card("NAXIS1", str(table.dtype.itemsize)), card("NAXIS2", str(len(table))), card("PCOUNT", "0"), card("GCOUNT", "1"), card("TFIELDS", str(len(table.dtype.names)))]
+    for i, n in enumerate(table.dtype.names, 1):
+        cards += [card(f"TTYPE{i}", f"'{n}'"), card(f"TFORM{i}", f"'{forms[table.dtype[n].str]}'")]
+    body = table.tobytes()
+    return (head + "".join([*cards, "END".ljust(80)]).ljust(2880)).encode() + body + b"\0" * (-len(body) % 2880)
+
+
+def test_tables_packed_by_tiles_and_the_data_source(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    table = np.zeros(60, np.dtype([("TIME", ">f8"), ("PDCSAP_FLUX", ">f4"), ("PDCSAP_FLUX_ERR", ">f4"), ("QUALITY", ">i4")]))
+    table["TIME"], table["PDCSAP_FLUX"], table["PDCSAP_FLUX_ERR"], table["QUALITY"] = np.cumsum(rng.random(60)), rng.normal(1000, 3, 60), 3.0, rng.integers(-5, 5000, 60)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/plain.fits").write_bytes(plain_fits(table))
+    (tmp_path / "a/packed.fits.fz").write_bytes(packed_fits(table))
+    (tmp_path / "zipped.fits.gz").write_bytes(gzip.compress(plain_fits(table)))
+    (tmp_path / "bad.fz").write_bytes(packed_fits(table)[:-3000])
+    fits.register(spark)
+    by_source, by_files = spark.read.format("fits_curves").load(str(tmp_path)), files.read_fits(spark, str(tmp_path))
+    for df in (by_source, by_files):
+        rows = {}
+        for r in df.collect():
+            rows.setdefault(r["source_path"].rsplit("/")[-1], []).append((r["tic_id"], r["time"], r["flux"], r["flux_err"], r["quality"]) if r["error"] is None else r["error"])
+        assert set(rows) == {"plain.fits", "packed.fits.fz", "zipped.fits.gz", "bad.fz"} and len(rows["bad.fz"]) == 1 and isinstance(rows["bad.fz"][0], str)
+        assert rows["plain.fits"] == rows["packed.fits.fz"] == rows["zipped.fits.gz"] and [x[1] for x in rows["plain.fits"]] == table["TIME"].tolist()
+    assert by_source.rdd.getNumPartitions() == 4
+    few = spark.read.format("fits_curves").option("columns", "tic_id, time").load(f"file://{tmp_path}/a/packed.fits.fz")
+    assert few.columns == ["tic_id", "time"] and few.count() == 60
+
+
 @pytest.mark.parametrize("kind", ["csv", "json", "parquet"])
 def test_catalog_round_trip(spark, tmp_path, kind):
     rows = spark.createDataFrame([(1, 2.5, "transit", "x"), (2, None, None, "y")], "tic_id long, period double, class string, extra string")
