@@ -188,6 +188,14 @@ def best_of(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def percentile_triples(samples: DataFrame) -> DataFrame:
+    """tic_id, parameter, n, value, err_lo, err_hi of (tic_id, parameter, value): the median and how far the 16th and 84th percentile are from it."""
+    finite = samples.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    p = F.percentile("value", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
+    g = finite.groupBy("tic_id", "parameter").agg(F.count(F.lit(1)).alias("n"), p.alias("p"))
+    return g.select("tic_id", "parameter", "n", F.col("p")[1].alias("value"), (F.col("p")[1] - F.col("p")[0]).alias("err_lo"), (F.col("p")[2] - F.col("p")[1]).alias("err_hi"))
+
+
 def gaussian_fit(chi2: Column, n: Column, k: int) -> Column:
     """Bayes information criterion of k parameters."""
     return F.lit(float(k)) * F.log(F.greatest(n, F.lit(1)).cast("double")) + chi2

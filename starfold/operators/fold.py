@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions.columns import cycle, cycle_even, phase, wrapped
@@ -100,14 +100,23 @@ def window_depths(lc: DataFrame) -> DataFrame:
 
     Inside: half a duration around mid-transit; surroundings: 0.75 to 2.5 durations.
     """
+    g = folded(lc).groupBy("tic_id").agg(*depth_sums())
+    return g.select("tic_id", *depths_of_sums(), "all_in", "odd_in", "even_in", "all_out")
+
+
+def depth_sums() -> list[Column]:
+    """What ``window_depths`` gathers of a star's folded points."""
     near = F.abs(F.col("dt"))
     inside, around, odd = near <= F.col("duration") / 2, (near >= F.col("duration") * 0.75) & (near <= F.col("duration") * 2.5), F.pmod(F.col("cycle"), F.lit(2)) != 0
     aggs = []
     for name, which in (("all", F.lit(True)), ("odd", odd), ("even", ~odd)):
         aggs += [F.median(F.when(around & which, F.col("f"))).alias(f"{name}_base"), F.sum(F.when(inside & which, F.col("f"))).alias(f"{name}_sum"), F.count(F.when(inside & which, 1)).alias(f"{name}_in"), F.count(F.when(around & which, 1)).alias(f"{name}_out")]
-    g = folded(lc).groupBy("tic_id").agg(*aggs)
+    return aggs
+
+
+def depths_of_sums() -> list[Column]:
     depth = lambda n: F.when((F.col(f"{n}_in") >= 1) & (F.col(f"{n}_out") >= 3), F.col(f"{n}_base") - F.try_divide(F.col(f"{n}_sum"), F.col(f"{n}_in"))).alias(f"{n}_depth")
-    return g.select("tic_id", *(depth(n) for n in ("all", "odd", "even")), "all_in", "odd_in", "even_in", "all_out")
+    return [depth(n) for n in ("all", "odd", "even")]
 
 
 def folded_depth(lc: DataFrame) -> DataFrame:

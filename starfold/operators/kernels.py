@@ -273,12 +273,12 @@ def folded_sums(dt: np.ndarray, base: float, periods: np.ndarray, bins: int, wei
     m, n = len(periods), len(dt)
     held, sums = np.empty((m, bins)), np.empty((m, bins))
     few = max(1, (1 << 16) // n)
+    many, weights = np.tile(centred, few), None if weight is None else np.tile(weight, few)
     for x in range(0, m, few):
         place = fold_places(dt, base, periods[x : x + few], bins)
         k, flat = len(place), place.reshape(-1)
-        tiled = lambda v, k=k: (np.tile(v, k) if k > 1 else v)
-        held[x : x + k] = np.bincount(flat, None if weight is None else tiled(weight), k * bins).reshape(k, bins)
-        sums[x : x + k] = np.bincount(flat, tiled(centred), k * bins).reshape(k, bins)
+        held[x : x + k] = np.bincount(flat, None if weights is None else weights[: len(flat)], k * bins).reshape(k, bins)
+        sums[x : x + k] = np.bincount(flat, many[: len(flat)], k * bins).reshape(k, bins)
     return held, sums
 
 
@@ -562,6 +562,22 @@ def transit_flux(t: np.ndarray, period, t0, k, a, b, u1, u2, samples: int = 1, e
     return np.where(np.cos(angle) > 0, 1 - occulted(z, k) * dark, 1.0)
 
 
+def transit_misfit(t: np.ndarray, f: np.ndarray, err: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Chi squared of each row of x (period, t0, k, a, b, u1, u2): only points inside the transit are evaluated, all others lie on 1."""
+    period, t0, k, a, b = (v[:, None] for v in x.T[:5])
+    turn = (t - t0) / period
+    turn -= np.rint(turn)
+    tilt = np.minimum(b, a)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        widest = np.sqrt(np.clip(((1 + k) ** 2 - tilt * tilt) / np.maximum(a * a - tilt * tilt, 1e-300), 0, 1))
+    near = np.abs(turn) <= np.arcsin(widest) / (2 * np.pi) + 1e-9
+    row, at = np.nonzero(near & (np.abs(turn) <= 0.25))
+    p = x[row]
+    level = ((f - 1) / err) ** 2
+    gain = ((f[at] - transit_flux(t[at], p[:, 0], p[:, 1], p[:, 2], p[:, 3], p[:, 4], p[:, 5], p[:, 6])) / err[at]) ** 2 - level[at]
+    return level.sum() + np.bincount(row, gain, len(x))
+
+
 def a_of_duration(period: float, duration: float, k: float, b: float) -> float:
     s = np.sin(np.pi * duration / period)
     return float(np.sqrt(max((1 + k) ** 2 - b * b, 0.0)) / s) if s > 0 else float("nan")
@@ -640,6 +656,42 @@ def seed_only(period: float, t0: float, duration: float, depth: float, snr: floa
     return triples({p: (known.get(p, none), none, none) for p in PARAMETERS}) | {"bic_transit": none, "bic_flat": none, "delta_bic": none, "snr": snr, "v_shape_metric": none, "trapezoid_chi2": none, "acceptance": none, "n_samples": 0, "fit_method": "seed_only", "warning": warning}
 
 
+#: How far the walkers start from the trapezoid, by parameter; the period's and the time's are shares of their own ranges.
+STARTS = (0.002, 0.1, 0.01, 0.5, 0.05, 0.05, 0.05)
+
+
+def posterior_samples(t: np.ndarray, f: np.ndarray, err: np.ndarray, period: float, t0: float, width: float, k: float, a: float, b: float, steps: int, walkers: int, seed: int) -> tuple[dict[str, np.ndarray], float]:
+    """Samples of each of ``PARAMETERS`` under uniform priors around a trapezoid, and the share of moves taken.
+
+    Fixed values: priors reach 2 % of the period to either side, two durations (half
+    a per cent of the period at least) of mid-transit, a fifth to five times the
+    radius ratio, and 0.3 to 3 times the distance.
+    """
+    near = max(2 * width, 0.005 * period) if width > 0 else 0.02 * period
+    k0 = float(np.clip(k, 1e-3, 0.49))
+    low = np.array([0.98 * period, t0 - near, max(1e-3, 0.2 * k0), max(1.5, 0.3 * a), 0.0, 0.0, 0.0])
+    high = np.array([1.02 * period, t0 + near, min(0.5, 5 * k0), min(50.0, 3 * a), 1.0, 1.0, 1.0])
+    q1, q2 = sum(LIMB) ** 2, LIMB[0] / (2 * sum(LIMB))
+
+    def density(x: np.ndarray) -> np.ndarray:
+        good = ((x[:, [0, 1, 2, 3, 5, 6]] > low[[0, 1, 2, 3, 5, 6]]) & (x[:, [0, 1, 2, 3, 5, 6]] < high[[0, 1, 2, 3, 5, 6]])).all(axis=1) & (x[:, 4] >= 0) & (x[:, 4] < 1 + x[:, 2])
+        logp = np.full(len(x), -np.inf)
+        if good.any():
+            y = x[good]
+            root = np.sqrt(y[:, 5])
+            logp[good] = -0.5 * transit_misfit(t, f, err, np.column_stack((y[:, :5], 2 * root * y[:, 6], root * (1 - 2 * y[:, 6]))))
+        return logp
+
+    spread_of = np.array(STARTS) * [period, near, 1, 1, 1, 1, 1]
+    walkers = max(walkers, 14)
+    start = np.clip(np.array([period, t0, k0, a, b, q1, q2]) + spread_of * np.random.default_rng(seed).normal(size=(walkers, 7)), low + 1e-6, high - 1e-6)
+    s, taken = sample(density, start, steps, seed)
+    inc = np.degrees(np.arccos(np.clip(s[:, 4] / s[:, 3], 0, 1)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        wide = s[:, 0] / np.pi * np.arcsin(np.clip(np.sqrt(np.maximum((1 + s[:, 2]) ** 2 - s[:, 4] ** 2, 0)) / (s[:, 3] * np.sin(np.radians(inc))), -1, 1))
+    return {"period": s[:, 0], "t0": s[:, 1], "depth": s[:, 2] ** 2, "duration": wide, "rp_rs": s[:, 2], "a_rs": s[:, 3], "b": s[:, 4], "inclination": inc, "u1": 2 * np.sqrt(s[:, 5]) * s[:, 6], "u2": np.sqrt(s[:, 5]) * (1 - 2 * s[:, 6])}, taken
+
+
 def fit_transit(t: np.ndarray, f: np.ndarray, period: float, t0: float, duration: float, depth: float | None = None, snr: float = float("nan"), error: np.ndarray | None = None, posterior: bool = True, steps: int = 1500, walkers: int = 32, seed: int = 42) -> dict[str, object]:
     """Ten parameters with errors: a least-squares trapezoid, then, if ``posterior``, samples of the transit itself.
 
@@ -664,40 +716,27 @@ def fit_transit(t: np.ndarray, f: np.ndarray, period: float, t0: float, duration
     out = {"bic_transit": 4 * np.log(n) + own, "bic_flat": flat, "snr": fit_snr(f, err, model, height), "v_shape_metric": trap["v_shape_metric"], "trapezoid_chi2": own, "acceptance": none, "n_samples": 0, "fit_method": "trapezoid", "warning": None}
     values = {"period": (period, none, none), "t0": (at, trap["t0_err"], trap["t0_err"]), "depth": (height, trap["depth_err"], trap["depth_err"]), "duration": (width, trap["duration_err"], trap["duration_err"]), "rp_rs": (k, 0.5 * trap["depth_err"] / max(k, 1e-6), 0.5 * trap["depth_err"] / max(k, 1e-6)), "a_rs": (a, none, none), "b": (b, none, none), "inclination": (float(np.degrees(np.arccos(min(b / a, 1.0)))), none, none), "u1": (LIMB[0], none, none), "u2": (LIMB[1], none, none)}
     if posterior:
-        near = max(2 * width, 0.005 * period) if width > 0 else 0.02 * period
-        k0 = float(np.clip(k, 1e-3, 0.49))
-        low = np.array([0.98 * period, at - near, max(1e-3, 0.2 * k0), max(1.5, 0.3 * a), 0.0, 0.0, 0.0])
-        high = np.array([1.02 * period, at + near, min(0.5, 5 * k0), min(50.0, 3 * a), 1.0, 1.0, 1.0])
-        q1, q2 = sum(LIMB) ** 2, LIMB[0] / (2 * sum(LIMB))
-
-        def density(x: np.ndarray) -> np.ndarray:
-            good = ((x[:, [0, 1, 2, 3, 5, 6]] > low[[0, 1, 2, 3, 5, 6]]) & (x[:, [0, 1, 2, 3, 5, 6]] < high[[0, 1, 2, 3, 5, 6]])).all(axis=1) & (x[:, 4] >= 0) & (x[:, 4] < 1 + x[:, 2])
-            logp = np.full(len(x), -np.inf)
-            if good.any():
-                y = x[good].T[:, :, None]
-                m = transit_flux(t, y[0], y[1], y[2], y[3], y[4], 2 * np.sqrt(y[5]) * y[6], np.sqrt(y[5]) * (1 - 2 * y[6]))
-                logp[good] = -0.5 * (((f - m) / err) ** 2).sum(axis=1)
-            return logp
-
-        spread_of = np.array([0.002 * period, 0.1 * near, 0.01, 0.5, 0.05, 0.05, 0.05])
-        walkers = max(walkers, 14)
-        start = np.clip(np.array([period, at, k0, a, b, q1, q2]) + spread_of * np.random.default_rng(seed).normal(size=(walkers, 7)), low + 1e-6, high - 1e-6)
-        s, taken = sample(density, start, steps, seed)
-        inc = np.degrees(np.arccos(np.clip(s[:, 4] / s[:, 3], 0, 1)))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            wide = s[:, 0] / np.pi * np.arcsin(np.clip(np.sqrt(np.maximum((1 + s[:, 2]) ** 2 - s[:, 4] ** 2, 0)) / (s[:, 3] * np.sin(np.radians(inc))), -1, 1))
-        drawn = {"period": s[:, 0], "t0": s[:, 1], "depth": s[:, 2] ** 2, "duration": wide, "rp_rs": s[:, 2], "a_rs": s[:, 3], "b": s[:, 4], "inclination": inc, "u1": 2 * np.sqrt(s[:, 5]) * s[:, 6], "u2": np.sqrt(s[:, 5]) * (1 - 2 * s[:, 6])}
+        drawn, taken = posterior_samples(t, f, err, period, at, width, k, a, b, steps, walkers, seed)
         values = {}
         for p, v in drawn.items():
             lo, mid, hi = np.percentile(v[np.isfinite(v)], (16, 50, 84)) if np.isfinite(v).any() else (none, none, none)
             values[p] = (float(mid), float(mid - lo), float(hi - mid))
         best = [values[p][0] for p in ("period", "t0", "rp_rs", "a_rs", "b", "u1", "u2")]
         model = transit_flux(t, *best)
-        out |= {"bic_transit": 7 * np.log(n) + chi2(model), "snr": fit_snr(f, err, model, values["depth"][0]), "acceptance": taken, "n_samples": len(s), "fit_method": "posterior"}
+        out |= {"bic_transit": 7 * np.log(n) + chi2(model), "snr": fit_snr(f, err, model, values["depth"][0]), "acceptance": taken, "n_samples": len(drawn["period"]), "fit_method": "posterior"}
     out["snr"] = out["snr"] if np.isfinite(out["snr"]) else snr
     return triples(values) | out | {"delta_bic": flat - out["bic_transit"]}
 
 
+def drawn_rows(t: np.ndarray, f: np.ndarray, period: float, t0: float, duration: float, steps: int = 1500, walkers: int = 32, seed: int = 42) -> dict[str, list]:
+    """The posterior's samples as rows of (parameter, value), from the least-squares trapezoid on."""
+    fast = fit_transit(t, f, period, t0, duration, posterior=False)
+    if fast["fit_method"] == "seed_only":
+        raise ValueError(fast["warning"])
+    drawn, _ = posterior_samples(t, f, usable_errors(f, None), period, fast["t0"], fast["duration"], fast["rp_rs"], fast["a_rs"], fast["b"], steps, walkers, seed)
+    return {"parameter": [p for p in PARAMETERS for _ in drawn[p]], "value": np.concatenate([drawn[p] for p in PARAMETERS]).tolist()}
+
+
 def model_grid(fit: dict[str, float], points: int = 1000) -> dict[str, list[float]]:
     """The fitted transit over one period around its middle, for a panel."""
     if not (np.isfinite(fit["period"]) and fit["period"] > 0):

@@ -35,6 +35,12 @@ def multiple_event(depth: Column, cdpp_ppm: Column, n: Column) -> Column:
     return depth / (cdpp_ppm * 1e-6) * F.sqrt(F.greatest(n, F.lit(1)).cast("double"))
 
 
+def relative_depth(lc: DataFrame) -> DataFrame:
+    """depth: that of all transits over the star's median flux."""
+    med = lc.groupBy("tic_id").agg(F.median("f").alias("med"))
+    return fold.window_depths(lc).join(med, "tic_id").select("tic_id", (F.col("all_depth") / F.col("med")).alias("depth"))
+
+
 def sweet(lc: DataFrame) -> DataFrame:
     """Share of variance that a sine and cosine of the period take: a 3 by 3 least squares from nine sums."""
     w = F.lit(2 * math.pi) * F.col("time") / F.col("period")
@@ -42,17 +48,41 @@ def sweet(lc: DataFrame) -> DataFrame:
     su = lambda e, n: F.sum(e).alias(n)
     c = F.col
     g = x.groupBy("tic_id").agg(F.count(F.lit(1)).alias("n"), su(c("s"), "S"), su(c("c"), "C"), su(c("s") * c("s"), "SS"), su(c("c") * c("c"), "CC"), su(c("s") * c("c"), "SC"), su(c("y") * c("s"), "YS"), su(c("y") * c("c"), "YC"), su(c("y") * c("y"), "YY"))
-    # centred sums: the mean of y is zero, so the constant drops out
+    return g.select("tic_id", explained_share().alias("sweet_metric"))
+
+
+def explained_share() -> Column:
+    """The share from the nine sums: they are centred, as the mean of y is zero, so the constant drops out."""
+    c = F.col
     a, b, d = c("SS") - c("S") * c("S") / c("n"), c("CC") - c("C") * c("C") / c("n"), c("SC") - c("S") * c("C") / c("n")
     explained = (c("YS") * c("YS") * b - 2 * c("YS") * c("YC") * d + c("YC") * c("YC") * a) / (a * b - d * d)
-    return g.select("tic_id", F.when((c("n") >= 8) & (c("YY") > 0), X.clip(explained / c("YY"), 0.0, 1.0)).alias("sweet_metric"))
+    return F.when((c("n") >= 8) & (c("YY") > 0), X.clip(explained / c("YY"), 0.0, 1.0))
+
+
+def gathered(lc: DataFrame) -> DataFrame:
+    """All sums, medians and counts that vetting asks of a star's points: one shuffle by star, one aggregation."""
+    c = F.col
+    x = fold.folded(lc).withColumns({"med": F.median("f").over(clean.star()), "out": F.median(F.when(F.abs("dt") > c("duration") / 2, c("f"))).over(clean.star()), "mean": F.sum("f").over(clean.star()) / F.count(F.lit(1)).over(clean.star()), "step": c("us") - F.lag("us").over(clean.by_time())})
+    near, half = F.abs("dt"), c("duration") / 2
+    w = F.lit(2 * math.pi) * c("time") / c("period")
+    x = x.withColumns({"y": c("f") - c("mean"), "sn": F.sin(w), "cs": F.cos(w), "even_dt": F.abs(c("time") - c("t0") - c("cycle_even") * c("period"))})
+    sums = {"S": c("sn"), "C": c("cs"), "SS": c("sn") * c("sn"), "CC": c("cs") * c("cs"), "SC": c("sn") * c("cs"), "YS": c("y") * c("sn"), "YC": c("y") * c("cs"), "YY": c("y") * c("y")}
+    distinct = lambda which, cycle: F.size(F.collect_set(F.when(which <= half, c(cycle))))
+    g = x.groupBy("tic_id").agg(
+        *fold.depth_sums(), F.max("med").alias("med"), (F.median(F.abs(c("f") - c("med"))) * X.MAD_SCALE).alias("scale"), F.count(F.lit(1)).alias("n"), F.max("duration").alias("duration"), F.max("period").alias("period"),
+        (F.median(F.when(near > half, F.abs(c("f") - c("out")))) * X.MAD_SCALE).alias("sigma"), F.median("step").alias("cadence_us"), distinct(near, "cycle").alias("n_floor"), distinct(c("even_dt"), "cycle_even").alias("n_even"),
+        F.median(F.when((near > half) & (near <= half * 3), c("f"))).alias("fo"), F.median(F.when(near <= half * 0.8, c("f"))).alias("fi"), F.count(F.when(near <= half * 0.8, 1)).alias("ni"), F.count(F.when((near > half) & (near <= half * 3), 1)).alias("no"),
+        *(F.sum(v).alias(k) for k, v in sums.items()),
+    )
+    deep = F.when((c("n") >= 10) & (c("ni") >= 1) & (c("no") >= 3), c("fo") - c("fi"))
+    points = F.greatest(c("duration") / (c("cadence_us") / 86400000000.0) * c("n_even"), F.lit(1.0))
+    snr = F.when((c("n") >= 5) & (c("sigma") > 0), deep / (c("sigma") / F.sqrt(points)))
+    return g.select("tic_id", "med", "scale", "period", "duration", "all_in", "odd_in", "even_in", "n_floor", *fold.depths_of_sums(), snr.alias("snr"), explained_share().alias("sweet_metric"))
 
 
 def metrics(lc: DataFrame, stars: DataFrame) -> DataFrame:
     """The metrics of a star under its ephemeris, depths relative to its median flux; one row each."""
-    d = fold.window_depths(lc)
-    m = clean.robust_scale(lc)
-    j = d.join(m, "tic_id").join(fold.secondary_scan(lc).withColumnRenamed("n", "n_secondary"), "tic_id", "left").join(transit_snr(lc), "tic_id").join(fold.transit_counts(lc), "tic_id").join(sweet(lc), "tic_id").join(stars, "tic_id", "left")
+    j = gathered(lc).join(fold.secondary_scan(lc).withColumnRenamed("n", "n_secondary"), "tic_id", "left").join(stars, "tic_id", "left")
     c = F.col
     err = c("scale") / c("med")
     rel = lambda n: c(n) / c("med")

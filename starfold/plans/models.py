@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from starfold.config import Search
-from starfold.operators import blocks, gp, index, kernels, learn
+from starfold.operators import blocks, catalog, fold, gp, index, kernels, learn, vetting
 from starfold.plans import pipeline
 from starfold.plans.stars import FEATURE_NAMES, _flags, features
 from starfold.sources.tables import kept_folder, light_curves, stars, table
@@ -138,6 +138,25 @@ def mcmc_fit(spark, sf):
     return kernels.per_star(light_curves(spark, sf), work, kernels.FIT)
 
 
+@query()
+def posterior_triples(spark, sf):
+    """Median and distances to the 16th and 84th percentile of each parameter's own samples, by Spark's percentiles: 14 walkers of 60 steps, where a survey takes 32 of 1,500."""
+    def work(t, f, e):
+        return kernels.drawn_rows(t, f, e["period"], e["t0"], e["duration"], steps=60, walkers=14, seed=42 + e["tic_id"])
+
+    rows = kernels.per_star(light_curves(spark, sf), work, "parameter string, value double")
+    return catalog.percentile_triples(rows.filter("error is null"))
+
+
+@query()
+def mes_measured(spark, sf):
+    """Depth over the star's own combined noise of two hours, not over a constant, by the transits seen."""
+    lc = light_curves(spark, sf)
+    noise = kernels.per_star(lc, lambda t, f, e: {"cdpp_ppm": kernels.cdpp(t, f)}, "cdpp_ppm double").filter("error is null")
+    m = vetting.relative_depth(lc).join(fold.transit_counts(lc), "tic_id").join(noise.select("tic_id", "cdpp_ppm"), "tic_id")
+    return m.select("tic_id", "cdpp_ppm", vetting.multiple_event(F.col("depth"), F.when(F.col("cdpp_ppm") > 0, F.col("cdpp_ppm")), F.col("n_floor")).alias("mes"))
+
+
 @query()
 def fit_model_grid(spark, sf):
     """The least-squares fit as a curve of 200 phases."""

@@ -179,3 +179,32 @@ def test_first_finite_of_aliases(spark):
     rows = spark.createDataFrame([(1, None, float("nan"), True, 3.0), (2, 5.0, 4.0, False, None)], "id long, fit_depth double, depth double, flag boolean, det_depth double")
     first = lambda names, prefixes=("",): [r["x"] for r in rows.select(X.first_finite(rows.columns, names, prefixes).alias("x")).collect()]
     assert first(("depth",), ("fit_", "", "det_")) == [3.0, 5.0] and first(("flag", "depth")) == [1.0, 0.0] and first(("none",)) == [None, None]
+
+
+def test_misfit_by_the_points_inside_is_the_whole_one():
+    rng = np.random.default_rng(0)
+    t, f, err = np.sort(rng.uniform(0, 20, 700)), 1 + rng.normal(0, 1e-3, 700), rng.uniform(5e-4, 2e-3, 700)
+    x = np.column_stack((rng.uniform(0.4, 9, 60), rng.uniform(-2, 3, 60), rng.uniform(0.01, 0.5, 60), rng.uniform(1.0, 40, 60), rng.uniform(0, 1.45, 60), rng.uniform(0, 1, 60), rng.uniform(-0.5, 0.5, 60)))
+    x[:4, 3], x[:4, 4] = 1.0, 1.2  # nearer than the impact
+    y = x.T[:, :, None]
+    whole = (((f - K.transit_flux(t, *y)) / err) ** 2).sum(axis=1)
+    assert np.allclose(K.transit_misfit(t, f, err, x), whole, rtol=1e-10)
+
+
+def test_triples_are_those_of_the_samples(spark):
+    t = np.arange(0, 12, 0.03)
+    f = K.transit_flux(t, 3.0, 1.0, 0.1, 9.0, 0.2, 0.4, 0.3) + np.random.default_rng(1).normal(0, 4e-4, len(t))
+    d = K.drawn_rows(t, f, 3.0, 1.01, 0.22, steps=80, walkers=16)
+    rows = spark.createDataFrame([(7, p, v) for p, v in zip(d["parameter"], d["value"], strict=True)] + [(7, "b", None), (7, "b", float("nan"))], "tic_id long, parameter string, value double")
+    fit = K.fit_transit(t, f, 3.0, 1.01, 0.22, steps=80, walkers=16)
+    for r in catalog.percentile_triples(rows).collect():
+        assert (r["value"], r["err_lo"], r["err_hi"]) == pytest.approx((fit[r["parameter"]], fit[f"{r['parameter']}_err_lo"], fit[f"{r['parameter']}_err_hi"])), r["parameter"]
+        assert r["n"] == fit["n_samples"]
+
+
+def test_ruwe_comes_through_the_cone(spark):
+    targets = spark.createDataFrame([(1, 10.0, 5.0), (2, 200.0, -40.0)], "tic_id long, ra double, dec double")
+    sources = spark.createDataFrame([(11, 10.001, 5.0, 9.0, 1.3), (12, 10.0, 5.002, 12.5, 4.0), (13, 200.0, -40.001, 8.0, None)], "source_id long, ra double, dec double, mag double, ruwe double")
+    got = {r["tic_id"]: r for r in catalog.neighbours(catalog.cone_search(targets, sources, 0.01)).collect()}
+    assert (got[1]["target_id"], got[1]["n_neighbors"], got[1]["delta_mag"], got[1]["target_ruwe"]) == (11, 1, 3.5, 1.3)
+    assert (got[2]["n_neighbors"], got[2]["delta_mag"], got[2]["target_ruwe"]) == (0, None, None)
