@@ -312,12 +312,16 @@ def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.
     centred = f - mean if weight is None else weight * (f - mean)
     noise = 1e-9 * float(np.abs(centred).sum())
     best = {k: np.zeros(len(periods)) for k in ("power", "duration", "t0", "depth")}
-    step = max(1, (1 << 17) // (4 * bins))
+    step = max(1, (1 << 18) // (4 * bins))
+    room, other = np.empty((step, bins)), np.empty((step, bins))
+    counts = np.arange(n + 1)
+    scale = 1 / np.sqrt(np.maximum(counts * (n - counts), 1).astype(float)) * ((counts > 0) & (counts < n))
     for lo in range(0, len(periods), step):
         p = periods[lo : lo + step, None]
         m = len(p)
         w, s = folded_sums(t - start, base, p[:, 0], bins, weight, centred)
-        cw, cs = (np.concatenate((np.zeros((m, 1)), np.cumsum(np.concatenate((x, x), axis=1), axis=1)), axis=1) for x in (w, s))
+        w = w.astype(np.int64) if weight is None else w
+        cw, cs = (np.concatenate((np.zeros((m, 1), x.dtype), np.cumsum(np.concatenate((x, x), axis=1), axis=1)), axis=1) for x in (w, s))
         top = np.zeros(m)
         before = np.zeros(m, np.int64)
         for d in durations:
@@ -329,20 +333,25 @@ def box_search(t: np.ndarray, f: np.ndarray, periods: np.ndarray, durations: np.
                 if not use[x]:
                     continue
                 k = int(width[x])
-                q, r = cs[x:y, k : k + bins] - cs[x:y, :bins], cw[x:y, k : k + bins] - cw[x:y, :bins]
-                q *= q < -noise
-                depth = q
-                power = q * q
-                power /= np.maximum(r * (n - r), 1e-9)
-                j = np.argmax(power, axis=1)  # the earliest start wins ties
+                # a dip's power is the square of its sum over the root of r (n - r): the least of these ratios is the deepest
+                q = np.subtract(cs[x:y, k : k + bins], cs[x:y, :bins], out=room[: y - x])
+                r = cw[x:y, k : k + bins] - cw[x:y, :bins]
+                ratio = other[: y - x]
+                if weight is None:
+                    np.take(scale, r, out=ratio, mode="clip")
+                    ratio *= q
+                else:
+                    np.divide(q, np.sqrt(np.maximum(r * (n - r), 1e-9)), out=ratio)
+                j = np.argmin(ratio, axis=1)  # the earliest start wins ties
                 rows = np.arange(y - x)
-                found = power[rows, j] * n
+                deep = q[rows, j]
+                found = np.where(deep < -noise, ratio[rows, j], 0.0) ** 2 * n
                 better = np.flatnonzero(found > top[x:y])
                 if len(better):
                     at, j = x + better, j[better]
                     top[at] = found[better]
                     best["power"][lo + at], best["duration"][lo + at] = found[better], d
-                    best["depth"][lo + at] = -depth[better, j] / r[better, j]
+                    best["depth"][lo + at] = -deep[better] / r[better, j]
                     best["t0"][lo + at] = start + ((j + k / 2) / bins % 1.0) * p[at, 0]
     return best
 
