@@ -26,9 +26,9 @@ COSINE = 0.95
 #: Vectors that a cell is meant to have, and those that one task holds while others stream by.
 CELL, BLOCK = 1 << 15, 1 << 15
 #: Pivots: as many as cells of ``CELL`` need, within these limits; larger cells are dealt out in blocks.
-FEWEST, MOST = 12, 4096
-#: Vectors that stream by at a time.
-STRIP = 512
+FEWEST, MOST = 12, 2048
+#: Vectors that stream by at a time, and distances from pivots that a task holds at once.
+STRIP, HELD = 512, 1 << 20
 #: Single precision decides a cosine that is farther than this from the limit; double precision decides the others.
 NEAR = 1e-5
 _SLACK = 1e-9
@@ -103,11 +103,19 @@ def pivots_of(classes: DataFrame, kind: type, dim: int, radius: float) -> np.nda
     return found
 
 
+def pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their rows' distances from ``k`` pivots are ``HELD`` at most."""
+    step = max(1, HELD // k)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+
+
 def homes(classes: DataFrame, kind: type, pivots: np.ndarray) -> DataFrame:
     """c, copies, v, cell (the nearest pivot) and away (its distance) of each class; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, len(pivots)):
             away = distances(unit(unpacked(batch.column(2), kind, pivots.shape[1])[0]), pivots)
             cell = away.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away[np.arange(len(cell)), cell])], names=["c", "copies", "v", "cell", "away"])
@@ -136,7 +144,7 @@ def routed(placed: DataFrame, kind: type, pivots: np.ndarray, radius: float) ->
     between, first = distances(pivots, pivots), np.concatenate(([0], np.cumsum(blocks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, k):
             c, home = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             away = distances(unit(unpacked(batch.column(2), kind, dim)[0]), pivots)
             own = away[np.arange(len(c)), home][:, None]
