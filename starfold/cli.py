@@ -43,7 +43,7 @@ def run(args) -> int:
         return 2
     if args.resume:
         lc = catalog.pending(lc, files.read_manifest(spark, f"{args.resume}/manifest"))
-    models = learn.load(args.models, ("ml",)) if args.models else None
+    models = learn.load(args.models) if args.models else None
     rows = pipeline.process(lc, known, config.load(args.config) if args.config else config.Config(), models=models)
     files.write_bundle(rows, None, args.out, args.format)
     return 0
@@ -56,7 +56,7 @@ def follow(args) -> int:
     from starfold.streaming import arrivals
 
     spark = session()
-    models = learn.load(args.models, ("ml",)) if args.models else None
+    models = learn.load(args.models) if args.models else None
     query = arrivals.follow(spark, args.input, args.out, config.load(args.config) if args.config else config.Config(), models, args.most, not args.forever)
     query.awaitTermination()
     return 0
@@ -67,7 +67,7 @@ def train(args) -> int:
     from pyspark.sql import functions as F
 
     from starfold import config
-    from starfold.operators import boosting, learn
+    from starfold.operators import boosting, convnet, learn
     from starfold.plans import pipeline, training
     from starfold.sources import files
     from starfold.sources.tables import saved
@@ -79,11 +79,15 @@ def train(args) -> int:
         print(e, file=sys.stderr)
         return 2
     labels = spark.read.option("header", True).csv(args.labels).select(files.tic_number(F.col("tic_id")).alias("tic_id"), "label")
-    rows = saved(training.training_set(pipeline.features_of(lc, known, config.load(args.config) if args.config else config.Config()), labels), "training")
+    features, views = pipeline.features_of(lc, known, config.load(args.config) if args.config else config.Config())
+    rows, names = saved(training.training_set(features, labels), "training"), list(learn.FEATURES)
     if rows.isEmpty():
         print("no star has a known label", file=sys.stderr)
         return 2
-    learn.save({"ml": boosting.fit(rows, list(learn.FEATURES), rounds=args.rounds) if args.learner == "boosting" else learn.trained(rows, list(learn.FEATURES))}, args.out)
+    models = {"ml": boosting.fit(rows, names, rounds=args.rounds) if args.learner == "boosting" else learn.trained(rows, names)}
+    if args.steps:
+        models["cnn"] = convnet.fit(training.training_set(views, labels), training.BINS, steps=args.steps, filters=args.filters)
+    learn.save(models, args.out)
     return 0
 
 
@@ -123,6 +127,8 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--labels", required=True)
             s.add_argument("--learner", default="boosting", choices=("boosting", "forest"))
             s.add_argument("--rounds", type=int, default=400)
+            s.add_argument("--steps", type=int, default=0, help="steps of a network on the views besides; none by default")
+            s.add_argument("--filters", type=int, default=16)
         if name == "report":
             s.add_argument("--catalog", required=True)
     args = p.parse_args(argv)

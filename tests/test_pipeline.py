@@ -93,11 +93,16 @@ def test_training_and_a_run_with_its_model(spark, tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text("search:\n  period_min: 0.8\n  period_max: 4\n  coarse: 12\n")
     monkeypatch.setattr(cli, "session", lambda: spark)
     same = ["--input", str(tmp_path / "in"), "--config", str(tmp_path / "c.yaml")]
-    assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--rounds", "3", "--out", str(tmp_path / "models")]) == 0
+    assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--rounds", "3", "--steps", "2", "--filters", "2", "--out", str(tmp_path / "models")]) == 0
+    assert set(learn.load(str(tmp_path / "models"))) == {"ml", "cnn"}
     assert cli.main(["train", *same, "--labels", str(tmp_path / "labels.csv"), "--learner", "forest", "--out", str(tmp_path / "forest")]) == 0
     assert set(learn.load(str(tmp_path / "forest"), ("ml",))) == {"ml"}
     assert cli.main(["run", *same, "--models", str(tmp_path / "models"), "--out", str(tmp_path / "out")]) == 0
     got = files.read_catalog(spark, str(tmp_path / "out/catalog")).collect()
     assert len(got) == len(kinds) and {r["classify_method"] for r in got} == {"ensemble"}
     assert all(sum(r[f"prob_{c}"] for c in classify.CLASSES) == pytest.approx(1) for r in got)
+    with pytest.warns(UserWarning):  # the forest's folder has no network
+        assert cli.main(["run", *same, "--models", str(tmp_path / "forest"), "--out", str(tmp_path / "out2")]) == 0
+    other = {r["tic_id"]: r["prob_transit"] for r in files.read_catalog(spark, str(tmp_path / "out2/catalog")).collect()}
+    assert any(abs(other[r["tic_id"]] - r["prob_transit"]) > 1e-6 for r in got)
     assert cli.main(["run", "--input", str(tmp_path / "none"), "--out", str(tmp_path / "x")]) == 2

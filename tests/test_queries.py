@@ -13,7 +13,8 @@ def test_against_sql(spark, name):
 def test_rows(spark, name):
     df = registry.QUERIES[name](spark, DIR)
     rows = df.collect()
-    assert rows and len({r["tic_id"] for r in rows}) > 1 and all(r["class"] for r in rows if name == "ensemble_classes")
+    key = "tic_id" if "tic_id" in df.columns else "query_id"
+    assert rows and len({r[key] for r in rows}) > 1 and all(r["class"] for r in rows if name == "ensemble_classes")
     if "error" in df.columns:
         assert all(r["error"] is None for r in rows)
 
