@@ -208,3 +208,14 @@ def test_ruwe_comes_through_the_cone(spark):
     got = {r["tic_id"]: r for r in catalog.neighbours(catalog.cone_search(targets, sources, 0.01)).collect()}
     assert (got[1]["target_id"], got[1]["n_neighbors"], got[1]["delta_mag"], got[1]["target_ruwe"]) == (11, 1, 3.5, 1.3)
     assert (got[2]["n_neighbors"], got[2]["delta_mag"], got[2]["target_ruwe"]) == (0, None, None)
+
+
+def test_savgol_of_few_points_a_window():
+    rng = np.random.default_rng(5)
+    for step, n in ((1.0, 12), (1.4, 5), (1.4, 6), (0.9, 40)):
+        t, f = np.arange(n) * step, rng.uniform(0.9, 1.1, n)
+        assert K.points(t, 3.0) == 3
+        trend = K.savgol_trend(t, f, 3.0)
+        assert len(trend) == n and np.isfinite(trend).all()
+    t = np.arange(30) * 1.0
+    assert np.allclose(K.savgol_trend(t, 1 + 0.01 * t * t, 3.0), 1 + 0.01 * t * t)  # parabolas are kept
