@@ -219,3 +219,29 @@ def test_savgol_of_few_points_a_window():
         assert len(trend) == n and np.isfinite(trend).all()
     t = np.arange(30) * 1.0
     assert np.allclose(K.savgol_trend(t, 1 + 0.01 * t * t, 3.0), 1 + 0.01 * t * t)  # parabolas are kept
+
+
+def test_cone_in_blocks_is_the_whole_one(spark, monkeypatch):
+    """Crowded poles and equator, missing magnitudes, sources at exactly the radius; cells in several blocks, and no side broadcast."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    sky = [(i, float(r), float(d), None if i % 40 == 7 else float(m)) for i, (r, d, m) in enumerate(zip(rng.uniform(0, 360, 900), np.concatenate([rng.uniform(86, 90, 300), rng.uniform(-2, 2, 300), rng.uniform(-90, 90, 300)]), rng.integers(6, 12, 900), strict=True))]
+    sky += [(900, 10.0, 0.0, 5.0), (901, 10.0, 3.0, 5.5), (902, 13.0, 0.0, 5.0)]
+    sources = spark.createDataFrame(sky, "source_id long, ra double, dec double, mag double")
+    targets = sources.filter("source_id % 3 = 0").withColumnRenamed("source_id", "tic_id")
+    monkeypatch.setattr(catalog, "TARGET_BLOCK", 16)
+    monkeypatch.setattr(catalog, "SOURCE_BLOCK", 32)
+    cone = catalog.cone_search(targets, sources, 3.0)
+    assert "Broadcast" not in cone._jdf.queryExecution().executedPlan().toString()
+    ra, dec = np.radians([r[1] for r in sky]), np.radians([r[2] for r in sky])
+    pairs = set()
+    for i in range(0, len(sky), 3):
+        h = np.sin((dec - dec[i]) / 2) ** 2 + np.cos(dec[i]) * np.cos(dec) * np.sin((ra - ra[i]) / 2) ** 2
+        pairs |= {(i, int(j)) for j in np.flatnonzero(np.degrees(2 * np.arcsin(np.minimum(np.sqrt(h), 1))) <= 3.0)}
+    rows = cone.collect()
+    assert len(rows) == len(pairs) and {(r["tic_id"], r["source_id"]) for r in rows} == pairs
+    want = {tuple(r) for r in catalog.neighbours(cone).collect()}
+    assert {tuple(r) for r in catalog.cone_neighbours(targets, sources, 3.0).collect()} == want and len(want) == len(range(0, len(sky), 3))
+    got = catalog.cone_neighbours(targets, sources.withColumn("ruwe", F.col("source_id") / 2.0), 3.0).collect()
+    assert got and all(r["target_ruwe"] == r["target_id"] / 2 for r in got)
