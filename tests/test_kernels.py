@@ -245,3 +245,23 @@ def test_cone_in_blocks_is_the_whole_one(spark, monkeypatch):
     assert {tuple(r) for r in catalog.cone_neighbours(targets, sources, 3.0).collect()} == want and len(want) == len(range(0, len(sky), 3))
     got = catalog.cone_neighbours(targets, sources.withColumn("ruwe", F.col("source_id") / 2.0), 3.0).collect()
     assert got and all(r["target_ruwe"] == r["target_id"] / 2 for r in got)
+
+
+def test_nearest_by_candidates_are_the_plain_ones():
+    """Equal distances, long vectors, queries among the vectors, NaN: rows are those of all exact distances, of which few are told."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(400, 8)), rng.integers(-2, 3, (400, 8)), 1e6 + rng.normal(size=(100, 8))]).astype(float)
+    for rows in (v, np.concatenate([v, np.full((1, 8), np.nan)]), v[:3]):
+        ids, asks = np.arange(2 * len(rows)) % len(rows), np.arange(2 * len(rows)) < len(rows)
+        m = np.concatenate([rows, rows])
+        table = pa.table({"id": ids, "asks": asks, "v": pa.array(m.tolist(), pa.list_(pa.float64()))})
+        got = catalog.meeting(5, False)(table)
+        want = []
+        for q in range(len(rows)):
+            d2 = ((rows - rows[q]) ** 2).sum(axis=1)
+            want += [(q, int(j), float(d2[j])) for j in np.argsort(d2, kind="stable")[:5]]
+        found = list(zip(*(got.column(c).to_pylist() for c in ("query_id", "vec_id", "d2")), strict=True))
+        assert repr(found) == repr(want)
+    assert max(len(some) for _, some in catalog.candidates(v[:400], np.arange(400), v[:400], 5)) < 20
