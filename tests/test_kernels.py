@@ -265,3 +265,23 @@ def test_nearest_by_candidates_are_the_plain_ones():
         found = list(zip(*(got.column(c).to_pylist() for c in ("query_id", "vec_id", "d2")), strict=True))
         assert repr(found) == repr(want)
     assert max(len(some) for _, some in catalog.candidates(v[:400], np.arange(400), v[:400], 5)) < 20
+
+
+def test_powers_of_shuffled_curves_are_those_of_the_box_search():
+    """One fold serves all shuffles of a curve: the search itself runs once, and every digit stays."""
+    rng = np.random.default_rng(11)
+    for n in (12, 67, 400):
+        t, f = np.sort(rng.uniform(0, 30, n)), 1 + rng.normal(0, 1e-2, n)
+        grid = 1 / np.linspace(1 / 13.0, 1 / 0.5, 60)
+        many = np.array([f, *(rng.permutation(f) for _ in range(9))])
+        want = np.array([K.box_search(t, g, grid)["power"] for g in many])
+        assert (K.box_powers(t, many, grid) == want).all()
+    calls, search = [], K.box_search
+    K.box_search = lambda *a, **b: calls.append(1) or search(*a, **b)
+    try:
+        fap = K.false_alarm(t, f, grid, 20, 3)
+    finally:
+        K.box_search = search
+    draw = np.random.default_rng(3)
+    top = K.sde(search(t, f, grid)["power"])
+    assert len(calls) == 1 and fap == (sum(K.sde(search(t, draw.permutation(f), grid)["power"]) >= top for _ in range(20)) + 1) / 21
