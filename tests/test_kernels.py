@@ -285,3 +285,53 @@ def test_powers_of_shuffled_curves_are_those_of_the_box_search():
     draw = np.random.default_rng(3)
     top = K.sde(search(t, f, grid)["power"])
     assert len(calls) == 1 and fap == (sum(K.sde(search(t, draw.permutation(f), grid)["power"]) >= top for _ in range(20)) + 1) / 21
+
+
+def _curves(m):
+    rng = np.random.default_rng(17)
+    out = []
+    for i in range(m):
+        t = np.sort(rng.uniform(0, 30, 40 + 3 * i))
+        out.append((t, K.transit_flux(t, 3.0, 1.0, 0.1 + 0.02 * i, 9.0, 0.2, 0.4, 0.3) + rng.normal(0, 1e-3, len(t)), {"period": 3.0, "t0": 1.01, "duration": 0.3, "tic_id": i}))
+    return out
+
+
+def _alike(a, b):
+    assert a.keys() == b.keys()
+    for k, v in a.items():
+        assert b[k] == v if isinstance(v, str | None) else b[k] == pytest.approx(v, rel=1e-7, abs=1e-12, nan_ok=True), k
+
+
+def test_curves_fitted_together_are_those_fitted_alone():
+    """Curves of different lengths, one that can't be fitted among them; the passes over points are as many as for one curve."""
+    curves = _curves(6)
+    curves.insert(2, (curves[0][0][:5], curves[0][1][:5], curves[0][2]))
+    for posterior in (False, True):
+        together = K.fit_transits(curves, posterior, 40, 16, [42 + i for i in range(7)])
+        for i, ((t, f, e), got) in enumerate(zip(curves, together, strict=True)):
+            _alike(K.fit_transit(t, f, e["period"], e["t0"], e["duration"], posterior=posterior, steps=40, walkers=16, seed=42 + i), got)
+    assert together[2]["fit_method"] == "seed_only" and together[3]["fit_method"] == "posterior"
+    passes, whole = [], K.transit_misfits
+    K.transit_misfits = lambda *a: passes.append(1) or whole(*a)
+    try:
+        K.drawn_rows_of(curves[3:], 20, 14, [1, 2, 3, 4])
+    finally:
+        K.transit_misfits = whole
+    assert len(passes) <= 1 + 2 * 20
+
+
+def test_bundles_of_stars_give_a_row_each(spark):
+    """Stars in bundles, one alone that is larger than a bundle, one without an id, one that fails: others keep their rows."""
+    rows = [(i, float(k), 5.0 + k % 3) for i, n in ((1, 20), (2, 31), (3, 9), (4, K.BUNDLE + 1), (None, 4)) for k in range(n)]
+    lc = spark.createDataFrame(rows, "tic_id long, time double, f double").repartition(3)
+
+    def work(curves):
+        if any(e["tic_id"] == 3 for *_, e in curves):
+            raise ValueError("three")
+        return [{"n": len(t), "m": len(curves), "ordered": bool((np.diff(t) > 0).all())} for t, _, e in curves]
+
+    got = {r["tic_id"]: r for r in K.per_stars(lc, work, "n long, m long, ordered boolean", ()).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {1: 20, 2: 31, 3: None, 4: K.BUNDLE + 1, None: 4}
+    assert got[3]["error"] == "ValueError: three" and got[4]["m"] == 1 and all(r["ordered"] and r["error"] is None for k, r in got.items() if k != 3)
+    several = K.per_stars(lc.filter("tic_id < 3").coalesce(1), lambda c: [{"m": len(c)} for _ in c], "m long", ()).collect()
+    assert sorted(r["tic_id"] for r in several) == [1, 2]
