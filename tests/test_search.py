@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from starfold.operators import blocks, gp, kernels as K, tls
+from starfold.operators import blocks, gp, kernels as K, search, tls
 
 
 def dipping(seed, period, depth, width, noise, days=27.0, step=0.02):
@@ -144,3 +144,15 @@ def test_grid_size_is_that_of_the_grid(spark):
     for base, low, high, over in ((27.3, 0.5, 13.0, 2.0), (80.0, 2.85, 3.15, 5.0), (1.0, 0.5, 0.55, 2.0)):
         n = spark.range(1).select(blocks.n_periods(F.lit(base), F.lit(low), F.lit(high), over).alias("n")).first()["n"]
         assert n == len(K.frequencies(base, low, high, float(K.DURATIONS[0]), over))
+
+
+def test_partitions_of_the_box_search_grow_with_the_points(spark):
+    """A task holds all bins and boxes of its stars, so more points mean more partitions, not larger ones; adaptive execution does not join them."""
+    lc = spark.range(6000).selectExpr("id % 600 as tic_id", "cast(id div 600 as double) as time", "id % 7 as f")
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    for points, want in ((1 << 15, least), (100, 60)):
+        dealt = search.by_star(lc, points)
+        assert dealt.rdd.getNumPartitions() == want
+        hist = search.histogram(dealt, search.fixed_periods(8), 40)
+        plan = hist._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and hist.agg({"n": "sum"}).first()[0] == 8 * 6000
