@@ -104,3 +104,12 @@ def test_one_class_missing_columns_and_few_rows(spark):
     assert all(r[1] > 0.5 and sum(r) == pytest.approx(1) for r in p)
     few = B.out_of_fold(df, ["a", "b"], "tic_id", classes=2, rounds=2, depth=1).collect()
     assert len(few) == 5
+
+
+def test_weights_broadcast_a_row_a_class_and_never_the_rows(spark, tmp_path):
+    """The side of the join that is sent to all is the counts, whatever the rows' size is taken for."""
+    spark.range(3000).selectExpr("id", "cast(id % 3 % 2 as double) as y").write.parquet(str(tmp_path / "rows"))
+    got = learn.balanced(spark.read.parquet(str(tmp_path / "rows")), "y")
+    assert {(r["y"], r["weight"]): r["n"] for r in got.groupBy("y", "weight").agg(F.count("id").alias("n")).collect()} == {(0.0, 0.75): 2000, (1.0, 1.5): 1000}
+    joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("BuildRight" in line for line in joins)
