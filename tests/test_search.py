@@ -156,3 +156,22 @@ def test_partitions_of_the_box_search_grow_with_the_points(spark):
         hist = search.histogram(dealt, search.fixed_periods(8), 40)
         plan = hist._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and hist.agg({"n": "sum"}).first()[0] == 8 * 6000
+
+
+def test_short_curves_find_what_long_ones_do_by_the_screened_search(monkeypatch):
+    """Random, flat, spiky and tiny curves, sorted and unsorted periods: every number to the last digit."""
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.uniform(0, 27, 71))
+    noise = rng.normal(1, 0.01, 71)
+    spiky = np.where(np.arange(71) == 9, 50.0, 1 + 1e-7 * noise)
+    grid = K.frequencies(27.0, 0.5, 13.0, 0.3, 2.0)
+    cases = [(t, f, p, b) for f in (noise, np.ones(71), spiky, np.round(noise, 2), noise * 1e-30) for p in (grid, rng.permutation(grid)[:400]) for b in (200, 41)]
+    cases += [(t[:n], noise[:n], grid, 200) for n in (2, 3, 10)] + [(t, np.where(np.arange(71) == 3, np.nan, noise), grid, 200), (np.sort(rng.uniform(0, 27, 900)), rng.normal(1, 0.01, 900), grid[:300], 200)]
+    used = []
+    monkeypatch.setattr(K, "box_search_short", lambda *a, f=K.box_search_short: used.append(1) or f(*a))
+    short = [K.box_search(t, f, p, bins=b) for t, f, p, b in cases]
+    assert len(used) == len(cases)
+    monkeypatch.setattr(K, "SHORT", 0)
+    for got, (t, f, p, b) in zip(short, cases, strict=True):
+        want = K.box_search(t, f, p, bins=b)
+        assert len(used) == len(cases) and all(np.array_equal(got[k], want[k]) for k in want), (len(t), len(p), b)
