@@ -106,3 +106,23 @@ def test_training_and_a_run_with_its_model(spark, tmp_path, monkeypatch):
     other = {r["tic_id"]: r["prob_transit"] for r in files.read_catalog(spark, str(tmp_path / "out2/catalog")).collect()}
     assert any(abs(other[r["tic_id"]] - r["prob_transit"]) > 1e-6 for r in got)
     assert cli.main(["run", "--input", str(tmp_path / "none"), "--out", str(tmp_path / "x")]) == 2
+
+
+def test_stars_are_vetted_together_as_alone(monkeypatch):
+    """One fit of trapezoids for all stars of a bundle; a star without duration has none."""
+    import numpy as np
+
+    from starfold.operators import kernels
+
+    rng = np.random.default_rng(3)
+    curves = []
+    for i, n in enumerate((40, 71, 55, 66)):
+        t = np.sort(rng.uniform(0, 27, n))
+        curves.append((t, rng.normal(1, 0.01, n), {"period": 1.3 + i, "t0": 0.4, "duration": 0.0 if i == 2 else 0.22, "depth": 0.02, "sde": 5.0, "snr": 8.0}))
+    alone = [pipeline.vetted(*c) for c in curves]
+    calls = []
+    monkeypatch.setattr(kernels, "fit_trapezoids", lambda *a, f=kernels.fit_trapezoids: calls.append(len(a[0])) or f(*a))
+    together = pipeline.vetted_stars(curves)
+    assert calls == [3] and np.isnan(together[2]["v_shape_metric"])
+    for a, b in zip(alone, together, strict=True):
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-6, atol=0, equal_nan=True) for k in a)
