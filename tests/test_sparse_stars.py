@@ -69,3 +69,10 @@ def test_a_catalog_of_sparse_stars_is_whole(spark, folder):
 
     rows = classify.labelled(classify.veto(classify.softmax(classify.rule_scores(vetting.flags(vetting.metrics(light_curves(spark, folder), stars(spark, folder)))))))
     assert sum(r["n"] for r in catalog.class_counts(rows).collect()) == 5
+
+
+@pytest.mark.parametrize("name", ["catalog_display", "catalog_summary", "dashboard_filter", "panel_probabilities", "panel_text"])
+def test_panels_and_catalogs_of_sparse_stars_end(spark, folder, name):
+    from starfold.plans import registry
+
+    registry.QUERIES[name](spark, folder).collect()  # the jobs end without an error
