@@ -76,3 +76,32 @@ def test_panels_and_catalogs_of_sparse_stars_end(spark, folder, name):
     from starfold.plans import registry
 
     registry.QUERIES[name](spark, folder).collect()  # the jobs end without an error
+
+
+def test_learners_take_infinite_features_as_missing(spark):
+    import numpy as np
+
+    from starfold.operators import boosting, learn
+
+    odd = [math.inf, -math.inf, math.nan, None]
+    rows = spark.createDataFrame([(i, float(i % 2), odd[i] if i < 4 else float(i), float(i % 2)) for i in range(25)], "tic_id long, y double, a double, b double")
+    fill = learn.medians(rows, ["a", "b"])
+    assert fill == {"a": 14.0, "b": 0.0}
+    data = learn.assembled(rows, ["a", "b"], fill)
+    assert [r["vector"].toArray().tolist() for r in data.filter("tic_id < 4").orderBy("tic_id").collect()] == [[14.0, i % 2] for i in range(4)]
+    assert learn.forest(data, ["a", "b"], trees=3).featureImportances.toArray()[1] > 0.5
+    assert learn.applied(learn.trained(rows, ["a", "b"], trees=3), rows).count() == 25
+    trees = boosting.fit(rows, ["a", "b"], classes=2, rounds=1, depth=2)
+    assert np.isfinite(trees.edges).all() and len(set(trees.binned(np.array([[v, 0.0] for v in (math.inf, -math.inf, math.nan, 14.0)])).T[0].tolist())) == 1
+
+
+def test_a_forest_on_sparse_stars_ends(spark, tmp_path):
+    """Every point of the stars is there six times: the median step is zero, so signals are infinite."""
+    import duckdb
+
+    from starfold.plans import registry
+
+    for t in TABLES:
+        times = ", range(6)" if t == "events" else ""
+        duckdb.connect().sql(f"COPY (SELECT t.* FROM '{DIR}/{t}.parquet' t{times}) TO '{tmp_path}/{t}.parquet'")
+    assert registry.QUERIES["forest_importances"](spark, str(tmp_path)).count() == 38
