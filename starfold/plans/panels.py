@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starfold.functions import columns as X
 from starfold.operators import classify, clean, fold
 from starfold.plans.curves import FOLD_SQL
 from starfold.plans.stars import VETO_SQL, _classified
@@ -105,8 +106,9 @@ def text_lines(rows: DataFrame) -> DataFrame:
     from starfold.operators.vetting import FLAGS
 
     raised = F.concat_ws(", ", *(F.when(F.col(n), n) for n in FLAGS))
-    lines = {"CLASS": F.concat(F.upper("class"), F.lit(" (confidence "), F.format_string("%.2f", F.col("confidence")), F.lit(")")), "SNR": F.when(F.col("transit_snr").isNotNull(), F.format_string("%.1f", F.col("transit_snr"))).otherwise("n/a"), "FLAGS": F.when(raised == "", "none").otherwise(raised)}
-    return rows.select("tic_id", F.inline(F.array(*(F.struct(F.lit(k).alias("line"), v.alias("shown")) for k, v in lines.items()))))
+    lines = {"CLASS": F.concat(F.upper("class"), F.lit(" (confidence "), X.printed(F.col("confidence"), "%.2f"), F.lit(")")), "SNR": F.coalesce(X.printed(F.col("transit_snr"), "%.1f"), F.lit("n/a")), "FLAGS": F.when(raised == "", "none").otherwise(raised)}
+    shown = rows.select("tic_id", *(v.alias(k) for k, v in lines.items()))
+    return shown.select("tic_id", F.inline(F.array(*(F.struct(F.lit(k).alias("line"), F.col(k).alias("shown")) for k in lines))))
 
 
 @query()

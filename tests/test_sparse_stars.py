@@ -105,3 +105,19 @@ def test_a_forest_on_sparse_stars_ends(spark, tmp_path):
         times = ", range(6)" if t == "events" else ""
         duckdb.connect().sql(f"COPY (SELECT t.* FROM '{DIR}/{t}.parquet' t{times}) TO '{tmp_path}/{t}.parquet'")
     assert registry.QUERIES["forest_importances"](spark, str(tmp_path)).count() == 38
+
+
+def test_a_sheet_prints_numbers_as_sql_does(spark):
+    import duckdb
+
+    from starfold.operators.vetting import FLAGS
+    from starfold.plans.panels import text_lines
+
+    ties = [i / 1000 for i in range(5, 1000, 10)]
+    snr = [math.inf, -math.inf, math.nan, None, -0.04, *((2 * i + 1) / 20 for i in range(95))]
+    flags = ", ".join(f"{f} boolean" for f in FLAGS)
+    rows = spark.createDataFrame([(i, "other", c, s, *[False] * len(FLAGS)) for i, (c, s) in enumerate(zip(ties, snr, strict=True))], f"tic_id long, class string, confidence double, transit_snr double, {flags}")
+    got = {(r["tic_id"], r["line"]): r["shown"] for r in text_lines(rows).collect()}
+    form = lambda f, v: duckdb.connect().execute(f"SELECT printf('{f}', ?::DOUBLE)", [v]).fetchall()[0][0]
+    for i, (c, s) in enumerate(zip(ties, snr, strict=True)):
+        assert got[i, "CLASS"] == f"OTHER (confidence {form('%.2f', c)})" and got[i, "SNR"] == ("n/a" if s is None else form("%.1f", s)) and got[i, "FLAGS"] == "none"
