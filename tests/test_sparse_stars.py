@@ -121,3 +121,18 @@ def test_a_sheet_prints_numbers_as_sql_does(spark):
     form = lambda f, v: duckdb.connect().execute(f"SELECT printf('{f}', ?::DOUBLE)", [v]).fetchall()[0][0]
     for i, (c, s) in enumerate(zip(ties, snr, strict=True)):
         assert got[i, "CLASS"] == f"OTHER (confidence {form('%.2f', c)})" and got[i, "SNR"] == ("n/a" if s is None else form("%.1f", s)) and got[i, "FLAGS"] == "none"
+
+
+def test_points_without_a_star_have_no_row(spark, folder, tmp_path):
+    import duckdb
+
+    from starfold.plans import registry
+
+    con = duckdb.connect()
+    for t in TABLES:
+        more = f" UNION ALL SELECT * REPLACE (NULL::BIGINT AS user_id) FROM '{folder}/{t}.parquet' WHERE user_id = 15" if t == "events" else ""
+        con.sql(f"COPY (SELECT * FROM '{folder}/{t}.parquet'{more}) TO '{tmp_path}/{t}.parquet'")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for name in ("primary_significance", "fallback_classifier"):
+        want = con.sql(f"SELECT tic_id FROM ({registry.ORACLE_SQL[name]})").fetchall()
+        assert sorted(r["tic_id"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(r[0] for r in want) == [1, 8, 15, 22, 29]
