@@ -119,7 +119,8 @@ def vetting_sheet(spark, sf):
 def sheet(lc: DataFrame, rows: DataFrame) -> DataFrame:
     """All panels of all stars in long form: (tic_id, panel, series, x, y, shown).
 
-    A star that a panel has nothing for is absent from that panel only.
+    A star that a panel has nothing for is absent from that panel only.  All
+    transits are shown, however many: only the queries of single panels end at 200 and 400.
     """
     none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
 
@@ -128,10 +129,10 @@ def sheet(lc: DataFrame, rows: DataFrame) -> DataFrame:
 
     c = F.col
     parts = [
-        part("curve", lc, F.lit("points"), c("time"), c("f")), part("curve", fold.epochs(lc), F.lit("transits"), c("time"), none),
+        part("curve", lc, F.lit("points"), c("time"), c("f")), part("curve", fold.epochs(lc, None), F.lit("transits"), c("time"), none),
         part("phase", fold.panel_phase(lc), F.lit("bins"), c("center"), c("mean")), part("phase_zoom", fold.panel_phase(lc, zoom=True), F.lit("bins"), c("center"), c("mean")),
         part("odd_even", fold.panel_odd_even(lc), c("side"), c("center"), c("mean")), part("secondary", fold.panel_secondary(lc), F.lit("bins"), c("center"), c("mean")),
-        part("river", fold.river(lc), c("row"), c("bin"), c("mean")), part("probabilities", probability_bars(rows), c("class"), none, c("probability")), part("text", text_lines(rows), c("line"), none, none, c("shown")),
+        part("river", fold.river(lc, most=None), c("row"), c("bin"), c("mean")), part("probabilities", probability_bars(rows), c("class"), none, c("probability")), part("text", text_lines(rows), c("line"), none, none, c("shown")),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -34,6 +34,16 @@ def test_drawings_have_a_mark_for_each_row_of_the_panels(spark):
         assert sum(float(e.get("width")) for e in root.iter(f"{SVG}rect") if e.get("class") == "bar") == pytest.approx(figures.WIDE - 2 * figures.MARGIN, abs=0.05)
 
 
+def test_sheets_show_all_transits(spark):
+    lc = spark.range(2000).select(F.lit(1).cast("long").alias("tic_id"), (F.col("id") * 21600000000).alias("us"), (F.col("id") / 4).alias("time"), (100 + F.col("id") % 4).alias("f"), F.lit(1.0).alias("period"), F.lit(0.25).alias("t0"), F.lit(0.3).alias("duration"))
+    panels = saved(sheet(lc, _classified(spark, DIR).filter("tic_id = 1")), "panels")
+    assert panels.filter("panel = 'river'").select("series").distinct().count() == 501
+    assert panels.filter("series = 'transits'").select("x").distinct().count() == 500
+    svg = ET.fromstring(figures.drawings(panels).first()["svg"])
+    kinds = Counter(e.get("class") for e in svg.iter())
+    assert kinds["transit"] == 500 and kinds["cell"] == panels.filter("panel = 'river'").count() == 2000
+
+
 def test_odd_panels_are_drawn(spark):
     rows = [(1, "text", "FLAGS", None, None, "a < b & c"), (1, "phase", "bins", 1.0, 5.0, None), (1, "phase", "bins", None, 5.0, None), (1, "other", "bins", 1.0, 1.0, None), (2, "text", "SNR", None, None, None)]
     got = {r["tic_id"]: r["svg"] for r in figures.drawings(spark.createDataFrame(rows, "tic_id long, panel string, series string, x double, y double, shown string")).collect()}
