@@ -48,3 +48,22 @@ def test_two_stage_search_covers_short_periods(spark, monkeypatch):
     monkeypatch.setattr(models, "light_curves", lambda spark, sf: lc)
     r = registry.QUERIES["two_stage_search"](spark, DIR).first()
     assert r["error"] is None and r["n_periods"] > 20_000 and abs(r["period"] - 0.73) < 0.002
+
+
+def test_long_views_are_filled_in_one_pass(spark):
+    import numpy as np
+    from starfold.operators import fold
+
+    n, known = 30_001, {7: 1.0, 8: -3.0, 500: 2.5, 29_000: 4.0}
+    bins = spark.createDataFrame([(1, b, v) for b, v in known.items()] + [(1, 600, None), (2, 30_001, 1.0)], "tic_id long, bin int, median double")
+    filled = fold.filled_view(bins, n, stars=spark.createDataFrame([(1,), (2,), (None,)], "tic_id long"))
+    # a frame that ends at the star's last bin is added up again for every row
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().executedPlan().toString().lower()
+    got = filled.toPandas()
+    assert np.allclose(got[got.tic_id == 1].sort_values("bin").value, np.interp(np.arange(n), list(known), list(known.values())), rtol=0, atol=1e-12)
+    assert len(got) == 3 * n and not got[got.tic_id != 1].value.any()
+
+
+def test_views_are_dealt_by_points_not_bytes(spark):
+    spread = registry.QUERIES["view_global"](spark, DIR).selectExpr("spark_partition_id() as part").distinct().count()
+    assert spread > 2
