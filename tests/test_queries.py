@@ -67,3 +67,20 @@ def test_long_views_are_filled_in_one_pass(spark):
 def test_views_are_dealt_by_points_not_bytes(spark):
     spread = registry.QUERIES["view_global"](spark, DIR).selectExpr("spark_partition_id() as part").distinct().count()
     assert spread > 2
+
+
+def test_views_meet_as_arrays(spark):
+    from starfold.operators import fold
+    from starfold.plans import training
+    from starfold.sources.tables import light_curves
+
+    lc = light_curves(spark, DIR)
+    rows = training.view_rows(lc, 40, 20)
+    # one row a star and view, not one a bin, goes through the last shuffle
+    assert "union" not in rows._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["tic_id"]: r["view"] for r in rows.collect()}
+    want = {}
+    for kind, n in (("global", 40), ("local", 20)):
+        for r in fold.view(lc, kind, n).orderBy("tic_id", "bin").collect():
+            want.setdefault(r["tic_id"], []).append(r["value"])
+    assert got == want and len(got) > 1
