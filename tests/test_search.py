@@ -175,3 +175,18 @@ def test_short_curves_find_what_long_ones_do_by_the_screened_search(monkeypatch)
     for got, (t, f, p, b) in zip(short, cases, strict=True):
         want = K.box_search(t, f, p, bins=b)
         assert len(used) == len(cases) and all(np.array_equal(got[k], want[k]) for k in want), (len(t), len(p), b)
+
+
+def test_screened_and_long_searches_of_sparse_periods_agree(monkeypatch):
+    """Periods far apart are searched in double at once; screened, they have the same numbers to the last digit."""
+    rng = np.random.default_rng(6)
+    t, dense = np.sort(rng.uniform(0, 27, 71)), K.frequencies(27.0, 0.5, 13.0, 0.04, 3.0)
+    sparse = 1 / np.linspace(1 / 13, 2, 60)
+    assert K.evenly(dense, K.DURATIONS, 200, 360) and not K.evenly(sparse, K.DURATIONS, 200, 360)
+    noise = rng.normal(1, 0.01, 71)
+    cases = [(f, p, b) for f in (noise, np.ones(71), np.where(np.arange(71) == 9, 50.0, 1 + 1e-7 * noise), np.round(noise, 2)) for p in (sparse, K.frequencies(27.0, 0.5, 13.0, 0.3, 2.0), rng.permutation(dense)[:400], dense[:3000]) for b in (200, 41)]
+    chosen = [K.box_search(t, f, p, bins=b) for f, p, b in cases]
+    monkeypatch.setattr(K, "evenly", lambda *a: True)
+    for got, (f, p, b) in zip(chosen, cases, strict=True):
+        screened, long = K.box_search_short(t, f, p, K.DURATIONS, b), K.box_search_long(t, f, p, K.DURATIONS, b, None)
+        assert all(np.array_equal(got[k], screened[k]) and np.array_equal(got[k], long[k]) for k in long), (len(p), b)
