@@ -373,3 +373,37 @@ def test_powers_of_many_curves_take_a_box_once_for_each_of_its_contents():
     many = np.array([rng.permutation(f) for _ in range(200)])
     plain = min(cpu(lambda: (_plain_powers(t, many, grid), K.box_search(t, f, grid), [K.sde(p) for p in many])) for _ in range(4))
     assert min(cpu(lambda: K.false_alarm(t, f, grid, 200, 1)) for _ in range(4)) < 0.6 * plain
+
+
+def test_moves_are_drawn_at_once_and_are_those_drawn_step_by_step(monkeypatch):
+    asked = []
+
+    class Counted:
+        def __init__(self, seed, make=np.random.default_rng):
+            self.rng = make(seed)
+
+        def __getattr__(self, name):
+            if name != "bit_generator":
+                asked.append(name)
+            return getattr(self.rng, name)
+
+    def plain(seeds, steps, k):
+        lots = []
+        for rng in map(np.random.default_rng, seeds):
+            lots.append([[(rng.random(k), rng.integers(0, k, k), rng.random(k)) for _ in (0, 1)] for _ in range(steps)])
+        return lots
+
+    for k, dims in ((16, 7), (7, 7), (2, 3)):
+        rngs = [np.random.default_rng(s) for s in (5, 6, 7)]
+        got = [K.moves(rngs, steps, [k, k], dims) for steps in (4, 3)]
+        for i, lot in enumerate(plain((5, 6, 7), 7, k)):
+            for step, halves in enumerate(lot):
+                for half, (z, mates, luck) in enumerate(halves):
+                    stretch, mate, edge = (v[step - 4 * (step >= 4)] for v in got[step >= 4][half])
+                    assert (stretch[i] == (1 + z) ** 2 / 2).all() and (mate[i] == mates).all()
+                    assert np.allclose(edge[:, i], (np.log(luck), (dims - 1) * np.log((1 + z) ** 2 / 2)), rtol=1e-14, atol=0)
+
+    monkeypatch.setattr(np.random, "default_rng", Counted)
+    start = np.random.Generator(np.random.PCG64(1)).normal(size=(2, 32, 3))
+    K.sample(lambda x, own: -0.5 * (x * x).sum(axis=1), start, 300, [1, 2])
+    assert len(asked) < 300
