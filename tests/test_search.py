@@ -190,3 +190,44 @@ def test_screened_and_long_searches_of_sparse_periods_agree(monkeypatch):
     for got, (f, p, b) in zip(chosen, cases, strict=True):
         screened, long = K.box_search_short(t, f, p, K.DURATIONS, b), K.box_search_long(t, f, p, K.DURATIONS, b, None)
         assert all(np.array_equal(got[k], screened[k]) and np.array_equal(got[k], long[k]) for k in long), (len(p), b)
+
+
+def _plain_dips(t, dip, weight, grid):
+    """``tls.fitted`` of the sun's radius and mass, a whole array for each step."""
+    best, share = {k: np.zeros(len(grid)) for k in ("gain", "duration", "t0", "depth")}, tls.transit_share(grid, 1.0, 1.0)
+    bins = np.clip(2 ** np.ceil(np.log2(tls.WITHIN / (tls.SHORT * share))), tls.FEWEST, tls.MOST).astype(int)
+    for size in np.unique(bins).tolist():
+        at = np.flatnonzero(bins == size)
+        widths = np.unique(np.rint(tls.WITHIN * tls.STEP ** np.arange(np.log(tls.LONGEST * size / tls.WITHIN) / np.log(tls.STEP) + 1)).astype(int))
+        place = K.fold_places(t - t[0], float(t[-1] - t[0]), grid[at], size).reshape(-1)
+        fh, fl = (np.fft.rfft(np.bincount(place, np.tile(v, len(at)), len(at) * size).reshape(-1, size)) for v in (weight, weight * dip))
+        for w in widths[widths <= max(tls.LONGEST * size, tls.WITHIN)].tolist():
+            q = np.concatenate((tls.profile(w), np.zeros(size - w)))
+            ok = np.flatnonzero((w >= tls.SHORT * share[at] * size * 0.999) & ((w <= tls.LONG * share[at] * size) | (w == widths[0])))
+            if len(ok):
+                top, below = np.fft.irfft(fl[ok] * np.conj(np.fft.rfft(q)), size), np.fft.irfft(fh[ok] * np.conj(np.fft.rfft(q * q)), size)
+                gain = np.where((top > 0) & (below > 1e-6 * weight.mean()), top, 0.0) ** 2 / np.maximum(below, 1e-300)
+                j = gain.argmax(axis=1)
+                rows = np.flatnonzero(gain.max(axis=1) > best["gain"][at[ok]])
+                to, j = at[ok[rows]], j[rows]
+                best["gain"][to], best["duration"][to], best["t0"][to], best["depth"][to] = gain[rows, j], w / size * grid[to], t[0] + ((j + w / 2) / size % 1.0) * grid[to], top[rows, j] / below[rows, j]
+    return best
+
+
+def test_dips_are_fitted_in_reused_rooms_to_the_last_digit():
+    import time
+
+    rng = np.random.default_rng(8)
+
+    def cpu(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    for n, f, weight in ((70, rng.normal(1, 0.1, 70), np.ones(70)), (300, rng.normal(1, 0.1, 300), rng.uniform(0.5, 2, 300)), (40, np.ones(40), np.ones(40))):
+        t = np.sort(rng.uniform(0, 27, n))
+        grid = tls.periods(float(t[-1] - t[0]), 0.5, 13.0)
+        want, got = _plain_dips(t, 1 - f, weight, grid), tls.fitted(t, 1 - f, weight, grid, 1.0, 1.0)
+        assert all(np.array_equal(want[k], got[k]) for k in want), n
+        plain = min(cpu(lambda: _plain_dips(t, 1 - f, weight, grid)) for _ in range(3))
+        assert min(cpu(lambda: tls.fitted(t, 1 - f, weight, grid, 1.0, 1.0)) for _ in range(3)) < 0.85 * plain, n
